@@ -3,30 +3,35 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 #: Characters over which the splitting of texts into words is the same in every Unicode version.
-_PLAIN = regex.compile(r"[^\t\n\r\x20-\x7e¡-ɏ‐-‧€]")
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_OTHER = re.compile(r"[^\t\n\r\x20-\x7e¡-ɏ‐-‧€]")
+#: For these, the words of a byte-level tokenizer: contractions, letters, numbers, other marks, white space.
+_SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
+_CHAINED = re.compile(rf" [{_LETTER}]+").fullmatch
 _state: dict[str, object] = {}
 
 
 class _Encoder:
-    """Ids of whole texts by a byte-level BPE file; a bounded memo holds the ids of words seen before.
+    """Ids of whole texts by a byte-level BPE file, as little-endian unsigned 32-bit numbers; a bounded memo holds
+    the ids of words seen before.
 
     Merges never cross the words that the tokenizer splits a text into, so equal words have equal ids. A text with
-    other characters, or with a special token's string, goes to the tokenizer as it is.
+    other characters, or with a special token's string, goes to the tokenizer as it is. New words that begin with a
+    space go to the tokenizer as one text, whose words they are again.
     """
 
-    LIMIT = 300_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,22 +39,31 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        if _PLAIN.search(text) or any(s in text for s in self.special):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        words, known = _SPLIT.findall(text), self.words
-        try:
-            return [i for w in words for i in known[w]]
-        except KeyError:
-            pass
-        if len(known) > self.LIMIT:
-            known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = tuple(e.ids)
-        return [i for w in words for i in known[w]]
+        self.words: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        chained = [w for w in new if _CHAINED(w)]
+        for lo in range(0, len(chained), 4096):
+            part = chained[lo : lo + 4096]
+            got = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            ids, owner = np.array(got.ids, "<u4"), np.array(got.word_ids)
+            ends = np.searchsorted(owner, np.arange(len(part)), "right").tolist()
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                self.words[w] = raw[at : 4 * end]
+                at = 4 * end
+        rest = [w for w in new if w not in self.words]
+        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.words) > self.LIMIT:
+            self.words.clear()
+        split = [None if _OTHER.search(t) or any(s in t for s in self.special) else _SPLIT.findall(t) for t in texts]
+        if new := set().union(*(w for w in split if w)).difference(self.words):
+            self._learn(sorted(new))
+        known = self.words.__getitem__
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(known, w)) for t, w in zip(texts, split, strict=True)]
 
 
 def encoder(path: str) -> _Encoder:
@@ -62,10 +76,12 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "do
     """(doc_id, doc_tokens, ids): ids as little-endian unsigned 32-bit numbers, with `end_id` last; a null text has only that."""
 
     def compute(batches):
-        model = encoder(tokenizer)
+        model, end = encoder(tokenizer), int(end_id).to_bytes(4, "little")
         for batch in batches:
-            ids = [np.array([*model.encode(t or ""), end_id], "<u4") for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "doc_tokens", "ids"])
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                ids = [x + end for x in model.encode([t or "" for t in part.column(1).to_pylist()])]
+                yield pa.record_batch([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "doc_tokens", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(compute, "doc_id long, doc_tokens long, ids binary")
 
