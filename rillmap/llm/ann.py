@@ -83,8 +83,8 @@ class Tables:
 def fit(sample: np.ndarray, total: int, k: int, norm: float) -> Tables:
     """Tables for `total` vectors: hashes by log of their number, probes by the sampled queries' recall."""
     many = 4
-    hashes = int(np.clip(round(np.log2(max(total, 64)) / 2), 3, 16))
-    tables = Tables(sample.shape[1], norm, many, hashes, 1.2)
+    hashes = int(np.clip(round(np.log2(max(total, 64)) * 0.62), 3, 16))
+    tables = Tables(sample.shape[1], norm, many, hashes, 2.4)
     queries = sample[:: max(1, len(sample) // TRIALS)][:TRIALS]
     true = np.argsort(-(queries @ sample.T), axis=1, kind="stable")[:, 1 : k + 1]
     sequence = tables.sequence(MOST_PROBES)

@@ -102,7 +102,7 @@ def _by_key(batches, column: int):
         yield pa.Table.from_batches(held)
 
 
-def _collapse(batches):
+def _collapse(batches, hot: int = HOT):
     """Second pass, an anchor's contexts together: later copies of a context are removals; of anchors with several
     contexts the first occurrences go on to be sorted."""
     names = ["anchor", "doc_id", "place", "n", "gone", "hot"]
@@ -127,7 +127,7 @@ def _collapse(batches):
         group = np.cumsum(new_a) - 1
         kinds = np.bincount(group, weights=first)[group]
         keep = gone | (first & (kinds > 1))
-        yield pa.record_batch([a[keep], d[keep], p[keep], n[keep], gone[keep], kinds[keep] > HOT], names)
+        yield pa.record_batch([a[keep], d[keep], p[keep], n[keep], gone[keep], kinds[keep] > hot], names)
 
 
 def _fetch(batches, length: int):
@@ -342,7 +342,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     found = base.where(F.octet_length("text") >= length).mapInArrow(lambda x: _windows(x, length), "anchor long, context long, doc_id long, place long, n long, gone boolean")
     key = F.expr("case when gone then xxhash64(doc_id, place) else anchor end")
     dealt = found.select(key.alias("key"), "anchor", "context", "doc_id", "place", "n", "gone").repartition("key").sortWithinPartitions("key")
-    settled = materialize(dealt.mapInArrow(_collapse, "anchor long, doc_id long, place long, n long, gone boolean, hot boolean"))
+    settled = materialize(dealt.mapInArrow(lambda x, hot=_collapse.__defaults__[0]: _collapse(x, hot), "anchor long, doc_id long, place long, n long, gone boolean, hot boolean"))
     release(spark)
     tag, start = F.shiftright("place", 32).alias("tag"), F.expr("place & 4294967295").alias("start")
     wanted = settled.where(~F.col("gone")).groupBy("doc_id", tag).agg(F.collect_list(F.struct("anchor", "place", "n", "hot")).alias("wanted"))
