@@ -114,7 +114,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: Frac
     `repeats` times its source at most. Documents meet their quotas through `route`: all documents of a pattern are
     taken k times, and a seeded choice of them once more, up to the flow that the pattern got. The choice is a
     threshold on a seeded hash: histograms of BINS bins (partially aggregated, however hot a source is) find the bin
-    in which the flow ends, again inside that bin until it has BIN_ROWS documents at most; of that bin, documents are
+    in which the flow ends, again inside that bin until it has BIN_ROWS documents at most, and join the next bins up to
+    that number; of these, documents are
     taken in seeded order while they fit. So a source misses its target by less than its last bin's shortest document
     left out, and no task sees more than a bin. Repeated rows with one id and text share their fate unless the last
     bin divides them. Texts that are null or have no word take nothing. The driver holds one row for each pattern.
@@ -186,7 +187,7 @@ def _thresholds(rows: DataFrame) -> DataFrame:
     while todo:
         bounds = make(todo)
         # (u - low) / width without overflow: in decimal
-        width = F.expr(f"cast(high as decimal(20)) - cast(low as decimal(20)) + 1")
+        width = F.expr("cast(high as decimal(20)) - cast(low as decimal(20)) + 1")
         spot = F.expr("cast(u as decimal(20)) - cast(low as decimal(20))")
         binned = rows.join(F.broadcast(bounds), rows.pattern.eqNullSafe(bounds.p)).where("u >= low and u <= high and size > 0")
         binned = binned.withColumn("bin", F.floor(spot.cast("double") / width.cast("double") * BINS).cast("int"))
@@ -194,10 +195,15 @@ def _thresholds(rows: DataFrame) -> DataFrame:
         following = {}
         for p, (_, _, gap) in todo.items():
             mine = sorted((r for r in counts if tuple(r.p) == p), key=lambda r: r.bin)
-            for r in mine:
+            for k, r in enumerate(mine):
                 if r.size > gap:
                     if r.n <= BIN_ROWS or r.lo == r.hi:
-                        done[p] = (r.lo, r.hi, gap)
+                        n, hi = r.n, r.hi
+                        for later in mine[k + 1 :]:  # more documents to fit into the gap
+                            if n + later.n > BIN_ROWS:
+                                break
+                            n, hi = n + later.n, later.hi
+                        done[p] = (r.lo, hi, gap)
                     else:
                         following[p] = (r.lo, r.hi, gap)
                     break
