@@ -31,7 +31,7 @@ class _Encoder:
     space go to the tokenizer as one text, whose words they are again.
     """
 
-    LIMIT = 500_000
+    LIMIT = 150_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
