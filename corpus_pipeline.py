@@ -13,7 +13,7 @@ from rillmap.llm.packing import pack
 from rillmap.llm.quality import keep_good
 from rillmap.llm.queries import table, tokenizer_path
 from rillmap.llm.secrets import redact
-from rillmap.llm.simhash import deduplicate
+from rillmap.llm.simhash import drop_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
-    return deduplicate(docs)
+    """One document of each group stays whose sets of five-word shingles have a similarity of 0.8 or more."""
+    return drop_copies(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

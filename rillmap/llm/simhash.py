@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, local_components, materialize
+from .common import MULT, SPACE, Substrings, components, local_components, materialize, mix, text_blocks
 
 SEED = 42
 #: A block of a candidate table above this many fingerprints is split by further equal bits.
@@ -48,21 +48,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def close_pairs(fps: np.ndarray, radius: int, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of fingerprints within `radius` bits.
+    """Index pairs i < j of fingerprints within `radius` bits; a fingerprint is a 64-bit number or a row of bytes.
 
-    The fingerprints are transposed to 64 bit planes, 64 fingerprints to a machine word. For a block of queries,
+    The fingerprints are transposed to bit planes, 64 fingerprints to a machine word. For a block of queries,
     each plane's differing bits are added to vertical counters by carry-save steps (and, xor); a counter that passes
-    the radius sets its overflow bit for good, and a block of words stops at the first plane after which every bit
-    has overflowed.
+    the radius sets its overflow bit for good, and a block of words stops when, at every sixteenth of the planes, each
+    of its bits has overflowed.
     """
     n, levels = len(fps), max(1, int(radius + 1).bit_length())
     out_a, out_b = [], []
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)
-    order = np.argsort(np.abs(bits.mean(0) - 0.5), kind="stable") if n else np.arange(64)  # the most telling planes first
+    raw = fps if fps.ndim == 2 else fps.astype(">u8").view(np.uint8).reshape(n, 8)
+    bits = np.unpackbits(raw, axis=1)
+    width = bits.shape[1]
+    order = np.argsort(np.abs(bits.mean(0) - 0.5), kind="stable") if n else np.arange(width)  # the most telling planes first
     for lo in range(0, n, block):
         part = bits[lo : lo + block]
-        padded = np.zeros((-(-len(part) // 64) * 64, 64), np.uint8)
+        padded = np.zeros((-(-len(part) // 64) * 64, width), np.uint8)
         padded[: len(part)] = part
         planes = np.packbits(padded.T.copy(), axis=1).view(">u8").astype(np.uint64)
         tail = np.zeros(planes.shape[1], np.uint64)
@@ -80,9 +82,9 @@ def close_pairs(fps: np.ndarray, radius: int, block: int = 4096) -> tuple[np.nda
                     c ^= carry
                     carry &= ~c
                 over[live] |= carry
-                past = over[live] | _exceeds(counters, radius)
-                over[live] = past
-                if done % 4 == 0 or done == 64:
+                if done % (width // 16) == 0:
+                    past = over[live] | _exceeds(counters, radius)
+                    over[live] = past
                     keep = (past != full).any(1)
                     if not keep.all():
                         live, counters = live[keep], [c[keep] for c in counters]
@@ -201,3 +203,172 @@ def deduplicate(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_c
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
     numbered = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__stay")), "left_semi")
     return numbered.withColumn("__nth", F.expr(f"row_number() over (partition by `{id_col}` order by xxhash64(`{text_col}`))")).where("__nth = 1").drop("__nth")
+
+
+#: Bits of the wide fingerprint, 64 from each of 16 hashes of a shingle: so many estimate a similarity to about 0.03.
+WIDE = 1024
+#: Hash orders in which rows may meet.
+ORDERS = 8
+#: Rows of a block that one task compares; a larger block is split by length, then into pairs of tiles.
+TILE = 8192
+_SALTS = mix(np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+_LOWER = np.array([k + 32 if 65 <= k <= 90 else k for k in range(256)], np.uint8)
+
+
+def wide_radius(similarity: float) -> int:
+    """Differing bits of WIDE that sets of this Jaccard similarity exceed in about one case of 40.
+
+    Sets of similarity s and near sizes have the cosine 2s / (1 + s); a bit differs with the angle's share of pi.
+    Two standard deviations are added, so that the pairs at the threshold are kept.
+    """
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(WIDE * p + 2 * np.sqrt(WIDE * p * (1 - p)))
+
+
+def _sketch(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text of a block: distinct shingles, wide fingerprint (bytes), and the least values of ORDERS hashes."""
+    n = len(off) - 1
+    data = _LOWER[data]
+    inside = ~SPACE[data]
+    first = np.zeros(len(data) + 1, bool)
+    first[off] = True
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | first[1:-1]
+    ends[:-1] &= ~inside[1:] | first[1:-1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    owner = np.searchsorted(off, start, "right") - 1
+    word = Substrings(data).hash(start, end)
+    words = np.bincount(owner, minlength=n)
+    place = np.arange(len(word)) - (np.cumsum(words) - words)[owner]
+    at = np.flatnonzero(place < np.maximum(words - width + 1, 1)[owner])
+    owner = owner[at]
+    long_ = np.minimum(words, width)[owner]
+    h = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            more = k < long_
+            h[more] = h[more] * MULT + word[at[more] + k]
+        h = mix(h + long_.astype(np.uint64))
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h, owner = h[new], owner[new]
+    count = np.bincount(owner, minlength=n)
+    prints, least = np.zeros((n, WIDE // 8), np.uint8), np.zeros((n, ORDERS), np.uint64)
+    some = np.flatnonzero(count)
+    if not len(some):
+        return count, prints, least
+    begin = (np.cumsum(count) - count)[some]
+    chunks = -(-count[some] // 255)  # bits are counted in bytes, so in at most 255 rows together
+    at_chunk = np.cumsum(chunks) - chunks
+    chunk = np.repeat(begin - 255 * at_chunk, chunks) + 255 * np.arange(chunks.sum())
+    stop = np.append(chunk[1:], len(h))
+    ones = np.zeros((len(chunk), WIDE), np.uint8)
+    hashes = np.empty((len(h), len(_SALTS)), np.uint64)
+    for k, salt in enumerate(_SALTS):
+        hashes[:, k] = mix(h ^ salt)
+        if k < ORDERS:
+            least[some, k] = np.minimum.reduceat(hashes[:, k], begin)
+    for lo in range(0, len(chunk), 64):
+        hi = min(lo + 64, len(chunk))
+        part = hashes[chunk[lo] : stop[hi - 1]]
+        bits = np.unpackbits(part.view(np.uint8), axis=1).view(np.uint64)
+        ones[lo:hi] = np.add.reduceat(bits, chunk[lo:hi] - chunk[lo], axis=0).view(np.uint8)
+    total = np.add.reduceat(ones, at_chunk, axis=0, dtype=np.int64)
+    prints[some] = np.packbits(2 * total > count[some, None], axis=1)
+    return count, prints, least
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """(doc_id, u, shingles, fp, least): of each row a hash of its text, its number of distinct word shingles, the
+    WIDE-bit SimHash of that set, and the set's least element in 8 hash orders. Narrow."""
+
+    def compute(batches):
+        for batch in batches:
+            count, prints, least = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, WIDE // 8), np.uint8), np.zeros((batch.num_rows, ORDERS), np.uint64)
+            for lo, hi, data, off in text_blocks(batch.column(2), 1 << 20):
+                count[lo:hi], prints[lo:hi], least[lo:hi] = _sketch(data, off, width)
+            fp = pa.Array.from_buffers(pa.binary(WIDE // 8), batch.num_rows, [None, pa.py_buffer(prints.tobytes())]).cast(pa.binary())
+            flat = pa.ListArray.from_arrays(np.arange(0, least.size + 1, least.shape[1], dtype=np.int32), pa.array(least.ravel().view(np.int64)))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(count), fp, flat], ["doc_id", "u", "shingles", "fp", "least"])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("u"), text.alias("text")).mapInArrow(compute, "doc_id long, u long, shingles long, fp binary, least array<long>")
+
+
+def copy_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """A spanning set of links (a, b) between rows (node, shingles, fp, least), one for each distinct sketch.
+
+    Sets of similarity s share their least element in an order with probability s, so rows meet in blocks of equal
+    least elements, 8 orders in all: a pair at 0.8 meets nowhere once in 390000. There the bit-sliced comparison
+    links rows within wide_radius bits. A block above TILE rows is split by number of shingles, each row in its own
+    band and the next (sizes whose ratio is below the similarity need not meet), and a band above TILE into tiles,
+    each pair of which is compared in its own task: no block is dropped or capped, and none grows in one task.
+    """
+    radius = wide_radius(similarity)
+
+    def compare(batches):
+        held, place, size = [], None, 0
+        for batch in batches:
+            spot = batch.column(0).to_numpy()
+            cuts = [0, *np.flatnonzero(spot[1:] != spot[:-1]) + 1, len(spot)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if spot[lo] != place and size >= BATCH:
+                    yield found(held)
+                    held, size = [], 0
+                place = spot[lo]
+                held.append(batch.slice(lo, hi - lo))
+                size += hi - lo
+        if held:
+            yield found(held)
+
+    def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        # whole blocks; pairs found between two of them are links as well
+        rows = pa.Table.from_batches(held)
+        node, at = np.unique(rows.column("node").to_numpy(), return_index=True)
+        prints = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint8).reshape(-1, WIDE // 8)[at]
+        a, b = close_pairs(prints, radius)
+        root = local_components(len(node), a, b)
+        moved = np.flatnonzero(root != np.arange(len(node)))
+        return pa.record_batch([node[moved], node[root[moved]]], ["a", "b"])
+
+    keyed = nodes.select("node", F.posexplode("least").alias("t", "key"))
+    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialize(keyed.join(sizes, ["t", "key"]).join(nodes.select("node", "shingles", "fp"), "node").select(F.xxhash64("t", "key").alias("place"), "n", "node", "shingles", "fp"))
+    small = met.where(F.col("n") <= TILE).select("place", "node", "fp")
+    band = F.floor(F.log(F.greatest("shingles", F.lit(1)).cast("double")) / F.lit(float(-np.log(similarity)))).cast("long")
+    hot = met.where(F.col("n") > TILE).withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("place", "band").alias("place"), "node", "fp")
+    tiles = hot.groupBy("place").agg(F.count("*").alias("n")).select("place", F.ceil(F.col("n") / F.lit(float(TILE))).cast("long").alias("tiles"))
+    dealt = hot.join(tiles, "place").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
+    dealt = dealt.select(F.xxhash64("place", F.least("own", "other"), F.greatest("own", "other")).alias("place"), "node", "fp")
+    return small.union(dealt).repartition("place").sortWithinPartitions("place").mapInArrow(compare, "a long, b long")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, u, component_id, kept), one for each input row: its text's hash, its group and whether it stays.
+
+    Texts are sets of `width`-word shingles, A-Z in lower case (a shorter text is one shingle), and link where the
+    wide SimHash estimates a Jaccard similarity of `similarity` or more, less a margin that keeps the pairs at the
+    threshold. Texts with equal sketches are one node, known by a 64-bit hash, before any comparison; null texts
+    and texts without words are copies of each other. component_id is the group's smallest doc_id, null only where
+    all are null. Kept are the rows of one (doc_id, text) in each group, that of the smallest doc_id and then hash.
+    Extra columns are ignored. An empty table gives no rows.
+    """
+    rows = materialize(sketches(docs, id_col, text_col, width).withColumn("node", F.xxhash64("fp", "least", "shingles")))
+    nodes = rows.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("fp").alias("fp"), F.first("least").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "u")).alias("best"))
+    nodes = materialize(nodes)
+    found = components(copy_links(nodes, similarity))
+    rooted = nodes.join(found, "node", "left").select("node", "best", F.coalesce("root", "node").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("best").alias("top")), "root").select("node", "top")
+    return rows.join(named, "node").select("doc_id", "u", F.col("top.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("u") == F.col("top.u"))).alias("kept"))
+
+
+def drop_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, one for each group of near_copies; of repeated rows one."""
+    stay = near_copies(docs, similarity, width, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("u").alias("__u")).distinct()
+    own = docs.withColumn("__u", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn("__id", F.col(id_col).cast("long"))
+    kept = own.join(stay, own["__id"].eqNullSafe(stay["__id"]) & (own["__u"] == stay["__u"]), "left_semi")
+    return kept.withColumn("__nth", F.expr("row_number() over (partition by __id, __u order by __u)")).where("__nth = 1").select(*docs.columns)
