@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -211,6 +213,8 @@ WIDE = 1024
 ORDERS = 8
 #: Rows of a block that one task compares; a larger block is split by length, then into pairs of tiles.
 TILE = 8192
+#: Shingles of a block whose sets one task compares.
+HELD = 1 << 22
 _SALTS = mix(np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _LOWER = np.array([k + 32 if 65 <= k <= 90 else k for k in range(256)], np.uint8)
 
@@ -225,8 +229,28 @@ def wide_radius(similarity: float) -> int:
     return int(WIDE * p + 2 * np.sqrt(WIDE * p * (1 - p)))
 
 
-def _sketch(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text of a block: distinct shingles, wide fingerprint (bytes), and the least values of ORDERS hashes."""
+@cache
+def sure_radius(similarity: float, most: int = 64) -> int:
+    """Differing bits of WIDE that no two sets of this Jaccard similarity or more exceed but by six standard deviations.
+
+    A bit is a strict majority, so in small sets ties make it differ oftener than in large ones (4 of 5 shingles:
+    0.19, the limit for large sets at 0.8: 0.15). The exact share is taken for all sizes up to `most`, the limit above.
+    """
+    worst = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    chance = [np.array([comb(n, k) for k in range(n + 1)], float) / 2.0**n for n in range(most + 1)]
+    for small in range(1, most + 1):
+        for large in range(small, most + 1):
+            both = int(np.ceil(similarity * (small + large) / (1 + similarity) - 1e-9))
+            if both > small:
+                break
+            shared = np.arange(both + 1)
+            ones = [np.array([chance[n - both][2 * (k + np.arange(n - both + 1)) > n].sum() for k in shared]) for n in (small, large)]
+            worst = max(worst, float((chance[both] * (ones[0] * (1 - ones[1]) + ones[1] * (1 - ones[0]))).sum()))
+    return int(WIDE * worst + 6 * np.sqrt(WIDE * worst * (1 - worst)))
+
+
+def _shingles(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(count, hashes): of each text of a block its number of distinct shingles, and their hashes one text after another."""
     n = len(off) - 1
     data = _LOWER[data]
     inside = ~SPACE[data]
@@ -253,8 +277,13 @@ def _sketch(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
     h, owner = h[order], owner[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner = h[new], owner[new]
-    count = np.bincount(owner, minlength=n)
+    return np.bincount(owner[new], minlength=n), h[new]
+
+
+def _sketch(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text of a block: distinct shingles, wide fingerprint (bytes), and the least values of ORDERS hashes."""
+    n = len(off) - 1
+    count, h = _shingles(data, off, width)
     prints, least = np.zeros((n, WIDE // 8), np.uint8), np.zeros((n, ORDERS), np.uint64)
     some = np.flatnonzero(count)
     if not len(some):
@@ -297,62 +326,149 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("u"), text.alias("text")).mapInArrow(compute, "doc_id long, u long, shingles long, fp binary, least array<long>")
 
 
-def copy_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """A spanning set of links (a, b) between rows (node, shingles, fp, least), one for each distinct sketch.
+def _deal(met: DataFrame, similarity: float, *held: str) -> DataFrame:
+    """Rows (place, node, *held) of met (place, node, shingles, weight, *held), so that a task's blocks are bounded.
 
-    Sets of similarity s share their least element in an order with probability s, so rows meet in blocks of equal
-    least elements, 8 orders in all: a pair at 0.8 meets nowhere once in 390000. There the bit-sliced comparison
-    links rows within wide_radius bits. A block above TILE rows is split by number of shingles, each row in its own
-    band and the next (sizes whose ratio is below the similarity need not meet), and a band above TILE into tiles,
-    each pair of which is compared in its own task: no block is dropped or capped, and none grows in one task.
+    A block above TILE rows or HELD weight is split by number of shingles, each row in its own band and the next
+    (sizes whose ratio is below the similarity need not meet), and a band above them into tiles, each pair of which
+    is compared in its own task: no block is dropped or capped, and none grows in one task.
     """
-    radius = wide_radius(similarity)
+    share = F.greatest(F.count("*") / F.lit(float(TILE)), F.sum("weight") / F.lit(float(HELD)))
+    sizes = met.groupBy("place").agg(F.count("*").alias("n"), share.alias("share")).where("n > 1").select("place", "share")
+    sized = met.join(sizes, "place")
+    small = sized.where("share <= 1").select("place", "node", *held)
+    band = F.floor(F.log(F.greatest("shingles", F.lit(1)).cast("double")) / F.lit(float(-np.log(similarity)))).cast("long")
+    hot = sized.where("share > 1").withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("place", "band").alias("place"), "node", "weight", *held)
+    tiles = hot.groupBy("place").agg(F.ceil(share).cast("long").alias("tiles"))
+    dealt = hot.join(tiles, "place").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
+    return small.union(dealt.select(F.xxhash64("place", F.least("own", "other"), F.greatest("own", "other")).alias("place"), "node", *held))
+
+
+def _compare(batches, found):
+    """found(rows) over whole blocks, BATCH rows or HELD / 4 bytes and more together; pairs found between two of them count as well."""
+    held, place, size, heavy = [], None, 0, 0
+    for batch in batches:
+        spot = batch.column(0).to_numpy()
+        cuts = [0, *np.flatnonzero(spot[1:] != spot[:-1]) + 1, len(spot)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if lo == hi:
+                continue
+            if spot[lo] != place and (size >= BATCH or heavy >= HELD // 4):
+                yield found(pa.Table.from_batches(held))
+                held, size, heavy = [], 0, 0
+            place = spot[lo]
+            held.append(batch.slice(lo, hi - lo))
+            size += hi - lo
+            heavy += held[-1].get_total_buffer_size() * (hi - lo) // batch.num_rows
+    if held:
+        yield found(pa.Table.from_batches(held))
+
+
+def _moved(node: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    moved = np.flatnonzero(root != np.arange(len(node)))
+    return pa.record_batch([node[moved], node[root[moved]]], ["a", "b"])
 
-    def compare(batches):
-        held, place, size = [], None, 0
-        for batch in batches:
-            spot = batch.column(0).to_numpy()
-            cuts = [0, *np.flatnonzero(spot[1:] != spot[:-1]) + 1, len(spot)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if lo == hi:
-                    continue
-                if spot[lo] != place and size >= BATCH:
-                    yield found(held)
-                    held, size = [], 0
-                place = spot[lo]
-                held.append(batch.slice(lo, hi - lo))
-                size += hi - lo
-        if held:
-            yield found(held)
 
-    def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        # whole blocks; pairs found between two of them are links as well
-        rows = pa.Table.from_batches(held)
+def _prints(rows: pa.Table, at: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint8).reshape(-1, WIDE // 8)[at]
+
+
+def _similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Smallest index reachable from each set over those pairs a-b whose exact Jaccard similarity is `similarity` or more.
+
+    Pairs of sets that are linked already are not counted again.
+    """
+    label = np.arange(len(sets))
+    if not len(a):
+        return label
+    size = np.array([len(x) for x in sets])
+    begin = np.concatenate([[0], np.cumsum(size)])
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(known), bool)
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    cuts = np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        one, others = a[lo], b[lo:hi]
+        least, most = np.minimum(size[one], size[others]), np.maximum(size[one], size[others])
+        others = others[(label[others] != label[one]) & (least > 0) & (least >= similarity * most - 1e-9)]
+        own = flat[begin[one] : begin[one + 1]]
+        mark[own] = True
+        for k in range(0, len(others), 512):
+            some = others[k : k + 512]
+            step = size[some]
+            head = np.cumsum(step) - step
+            both = np.add.reduceat(mark[flat[np.repeat(begin[some] - head, step) + np.arange(step.sum())]], head, dtype=np.int64)
+            near = some[both >= similarity * (size[one] + step - both) - 1e-9]
+            if len(near):
+                joined = np.unique(label[np.append(near, one)])
+                label[np.isin(label, joined)] = joined[0]
+        mark[own] = False
+    return label
+
+
+def rough_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) that span every pair at `similarity` and pairs below it: a filter, by sketches only.
+
+    `nodes` are rows (node, shingles, fp, least), one for each distinct sketch. Sets of similarity s share their least
+    element in an order with probability s, so rows meet in blocks of equal least elements, 8 orders in all: a pair at
+    0.8 meets nowhere once in 390000. There the bit-sliced comparison links rows within sure_radius bits.
+    """
+    radius = sure_radius(similarity)
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
         node, at = np.unique(rows.column("node").to_numpy(), return_index=True)
-        prints = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint8).reshape(-1, WIDE // 8)[at]
-        a, b = close_pairs(prints, radius)
-        root = local_components(len(node), a, b)
-        moved = np.flatnonzero(root != np.arange(len(node)))
-        return pa.record_batch([node[moved], node[root[moved]]], ["a", "b"])
+        return _moved(node, local_components(len(node), *close_pairs(_prints(rows, at), radius)))
 
     keyed = nodes.select("node", F.posexplode("least").alias("t", "key"))
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(keyed.join(sizes, ["t", "key"]).join(nodes.select("node", "shingles", "fp"), "node").select(F.xxhash64("t", "key").alias("place"), "n", "node", "shingles", "fp"))
-    small = met.where(F.col("n") <= TILE).select("place", "node", "fp")
-    band = F.floor(F.log(F.greatest("shingles", F.lit(1)).cast("double")) / F.lit(float(-np.log(similarity)))).cast("long")
-    hot = met.where(F.col("n") > TILE).withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("place", "band").alias("place"), "node", "fp")
-    tiles = hot.groupBy("place").agg(F.count("*").alias("n")).select("place", F.ceil(F.col("n") / F.lit(float(TILE))).cast("long").alias("tiles"))
-    dealt = hot.join(tiles, "place").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
-    dealt = dealt.select(F.xxhash64("place", F.least("own", "other"), F.greatest("own", "other")).alias("place"), "node", "fp")
-    return small.union(dealt).repartition("place").sortWithinPartitions("place").mapInArrow(compare, "a long, b long")
+    met = keyed.join(sizes, ["t", "key"]).join(nodes.select("node", "shingles", "fp"), "node")
+    met = materialize(met.select(F.xxhash64("t", "key").alias("place"), "node", "shingles", F.lit(0).cast("long").alias("weight"), "fp"))
+    return _deal(met, similarity, "fp").repartition("place").sortWithinPartitions("place").mapInArrow(lambda x: _compare(x, found), "a long, b long")
+
+
+def copy_links(nodes: DataFrame, docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """A spanning set of links (a, b) between nodes whose shingle sets have a Jaccard similarity of `similarity` or more.
+
+    `nodes` are rows (node, shingles, fp, least, best), `docs` rows (doc_id, u, text). Members of a component of
+    rough_links meet, in a component above TILE rows those of equal least elements; pairs within sure_radius bits are
+    counted on the sets themselves (64-bit hashes of the shingles), made again from one text of each such node.
+    """
+    radius = sure_radius(similarity)
+
+    def compute(batches):
+        for batch in batches:
+            for lo, hi, data, off in text_blocks(batch.column(3), 1 << 20):
+                count, h = _shingles(data, off, width)
+                edges = np.append(0, np.cumsum(count * 8)).astype(np.int32)
+                sets = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(h.tobytes())])
+                yield pa.record_batch([*(batch.column(k).slice(lo, hi - lo) for k in range(3)), sets], ["node", "shingles", "fp", "hashes"])
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        node, at = np.unique(rows.column("node").to_numpy(), return_index=True)
+        hashes = rows.column("hashes").to_pylist()
+        return _moved(node, _similar([np.frombuffer(hashes[k], np.uint64) for k in at], *close_pairs(_prints(rows, at), radius), similarity))
+
+    rough = components(rough_links(nodes, similarity))
+    rough = materialize(rough.union(rough.select(F.col("root").alias("node"), "root")).distinct())
+    sizes = rough.groupBy("root").agg(F.count("*").alias("n"))
+    members = rough.join(sizes, "root").join(nodes, "node")
+    apart = members.where(F.col("n") > TILE).select("node", "root", F.posexplode("least").alias("t", "key"))
+    spots = members.where(F.col("n") <= TILE).select("node", F.xxhash64("root").alias("place")).union(apart.select("node", F.xxhash64("root", "t", "key").alias("place")))
+    one = F.col("best.doc_id").alias("__id"), F.col("best.u").alias("__u")
+    wanted = members.select("node", "shingles", "fp", *one)
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__id"]) & (docs["u"] == wanted["__u"]))
+    sets = texts.select("node", "shingles", "fp", "text").mapInArrow(compute, "node long, shingles long, fp binary, hashes binary")
+    sets = materialize(sets)
+    met = spots.join(sets, "node").withColumn("weight", F.col("shingles"))
+    return _deal(met, similarity, "fp", "hashes").repartition("place").sortWithinPartitions("place").mapInArrow(lambda x: _compare(x, found), "a long, b long")
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, u, component_id, kept), one for each input row: its text's hash, its group and whether it stays.
 
-    Texts are sets of `width`-word shingles, A-Z in lower case (a shorter text is one shingle), and link where the
-    wide SimHash estimates a Jaccard similarity of `similarity` or more, less a margin that keeps the pairs at the
-    threshold. Texts with equal sketches are one node, known by a 64-bit hash, before any comparison; null texts
+    Texts are sets of `width`-word shingles, A-Z in lower case (a shorter text is one shingle), and link where their
+    Jaccard similarity is `similarity` or more, counted exactly; sketches only choose the pairs. Texts with equal sketches are one node, known by a 64-bit hash, before any comparison; null texts
     and texts without words are copies of each other. component_id is the group's smallest doc_id, null only where
     all are null. Kept are the rows of one (doc_id, text) in each group, that of the smallest doc_id and then hash.
     Extra columns are ignored. An empty table gives no rows.
@@ -360,7 +476,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col
     rows = materialize(sketches(docs, id_col, text_col, width).withColumn("node", F.xxhash64("fp", "least", "shingles")))
     nodes = rows.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("fp").alias("fp"), F.first("least").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "u")).alias("best"))
     nodes = materialize(nodes)
-    found = components(copy_links(nodes, similarity))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    found = components(copy_links(nodes, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("u"), text.alias("text")), similarity, width))
     rooted = nodes.join(found, "node", "left").select("node", "best", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("best").alias("top")), "root").select("node", "top")
     return rows.join(named, "node").select("doc_id", "u", F.col("top.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("u") == F.col("top.u"))).alias("kept"))

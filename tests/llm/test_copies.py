@@ -93,3 +93,30 @@ def test_no_rows(spark):
 
     assert drop_copies(spark.createDataFrame([], DOCS)).count() == 0
     assert drop_copies(spark.createDataFrame([(None, None, None, None, None)] * 2 + [(3, " ", None, None, None)], DOCS)).collect()[0].doc_id == 3
+
+
+@pytest.mark.parametrize("tile", [8192, 2])
+def test_links_are_exact(spark, tile, monkeypatch):
+    """Pairs from 0.75 to 0.85, and texts of 5 to 20 words beside longer ones that hold them."""
+    from rillmap.llm import simhash
+
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = random.Random(8)
+    say = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(n)]
+    pairs = []
+    for n in range(5, 21):
+        for more in range(1, 6):
+            base = say(n)
+            pairs.append((base, base + say(more)))
+    for _ in range(60):
+        base = say(rng.randint(100, 400))
+        keep = int(rng.uniform(0.75, 0.85) * (len(base) - 4)) + 4
+        pairs.append((base[:keep], base))
+    rows = [(k, " ".join(t), "en", "a", 0) for k, t in enumerate(x for pair in pairs for x in pair)]
+    of = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, DOCS)).collect()}
+    linked = 0
+    for k in range(0, len(rows), 2):
+        s = similarity(shingles(rows[k][1]), shingles(rows[k + 1][1]))
+        assert (of[k] == of[k + 1]) == (s >= 0.8 - 1e-9), (rows[k], s)
+        linked += s >= 0.8 - 1e-9
+    assert 20 < linked < len(pairs) - 20
