@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import SPACE, text_blocks
 
 SHORTEST = 12
 _BODY = np.zeros(256, bool)
@@ -30,43 +32,126 @@ DICTIONARY = ("the", "and", "for", "with", "from", "this", "that", "user", "name
 #: Prefixes that issuers of keys publish.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk-", "AIza", "SG.", "npm_", "pypi-", "eyJ")
 _covered = re.compile("|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))))
+_DASH = np.zeros(256, bool)
+_DASH[45] = True
+_LETTER = _UPPER | _LOWER
+_MARK = np.zeros(256, bool)
+_MARK[[*b"!@#$%^&*?"]] = True
+#: Bytes of assignments, quotes and code, which divide a bare password from what is around it.
+_DIVIDES = np.zeros(256, bool)
+_DIVIDES[[*b"=:\"'`<>(){}[]|\\,;"]] = True
+#: First two bytes of an issuer's prefix.
+_TWO = np.zeros(1 << 16, bool)
+_TWO[[ord(p[0]) << 8 | ord(p[1]) for p in PREFIXES]] = True
+_issued = re.compile(b"(?:" + b"|".join(re.escape(p.encode()) for p in PREFIXES) + rb")[0-9A-Za-z+/_.~-]*")
+_named = re.compile(b"(?i:" + b"|".join(re.escape(w.encode()) for w in (*NAMING, "passphrase", "pass")) + rb")[0-9A-Za-z_.-]*[\"'`\]]*[ \t]*$")
+_value = re.compile(rb"""[=>:]{0,2}[ \t]*(?i:(?:bearer|basic)[ \t]+)?(?:"((?:[^"\\\r\n]|\\.)+)"|'((?:[^'\\\r\n]|\\.)+)'|`([^`\r\n]+)`|["'`]?([^\s"'`]+))""")
+_next = re.compile(rb"[&,;][\w.-]+=")
+_login = re.compile(rb"//[^\s/:@\"'<>]*:([^\s/\"'<>]+)@")
 
 
 def candidates(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, end) of runs of key characters, SHORTEST bytes or more, that mix character classes.
+    """(text, start, end) of what may be a secret, each place once; they may overlap, and the forest decides.
 
-    A run needs a digit beside a letter, or upper case after lower case; a run of digits alone is none.
+    Values after a word of NAMING with = or :, passwords in URLs and keys that begin with an issuer's prefix, whatever
+    their length and characters; bare words of letters, digits and marks; and mixed_runs.
     """
-    body = _BODY[data]
-    first = np.zeros(len(data) + 1, bool)
+    pointed, bare = pointed_at(data, off), bare_words(data, off)
+    own = ~np.isin(bare[0], pointed[0])  # what stands before a value also says where it ends
+    s, e = (np.concatenate(x) for x in zip(mixed_runs(data, off), (bare[0][own], bare[1][own]), pointed, strict=True))
+    if len(s):
+        s, e = np.unique(np.column_stack([s, e]), axis=0).T
+    return np.searchsorted(off, s, "right") - 1, s, e
+
+
+def pointed_at(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values that what stands before them makes candidates: a naming word, a URL's user, an issuer's prefix."""
+    raw, found = data.tobytes(), []
+    at = np.flatnonzero((data == 58) | (data == 61))
+    for k, d in zip(at.tolist(), (np.searchsorted(off, at, "right") - 1).tolist(), strict=True):
+        lo, hi = int(off[d]), int(off[d + 1])
+        if raw[k : k + 3] == b"://" and (m := _login.match(raw, k + 1, hi)):
+            found.append(m.span(1))
+        elif _named.search(raw[max(lo, k - 64) : k]) and (m := _value.match(raw, k + 1, hi)):
+            a, b = m.span(m.lastindex)
+            if m.lastindex == 4:
+                more = _next.search(raw, a, b)
+                b = more.start() if more else b
+                b = a + len(raw[a:b].rstrip(b",;.)]}>"))
+            if a < b:
+                found.append((a, b))
+    if len(data) > 1:
+        begins = _TWO[data[:-1].astype(np.int64) << 8 | data[1:]]
+        begins[1:] &= ~(_LETTER | _DIGIT)[data[:-2]] | np.isin(np.arange(1, len(data) - 1), off)
+        at = np.flatnonzero(begins)
+        for k, d in zip(at.tolist(), (np.searchsorted(off, at, "right") - 1).tolist(), strict=True):
+            if m := _issued.match(raw, k, int(off[d + 1])):
+                found.append((k, k + len(m.group().rstrip(b".-~"))))
+    return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
+
+def bare_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that hold letters, digits and marks other than those of runs, as passwords do."""
+    inside = ~SPACE[data] & ~_DIVIDES[data]
+    s, e = _runs(inside, off)
+    if not len(s):
+        return s, e
+    d, l, m = (_sums(x[data]) for x in (_DIGIT, _LETTER, _MARK))
+    while True:  # marks of the sentence
+        tail = np.isin(data[e - 1], np.frombuffer(b".", np.uint8)) & (e - s > 1)
+        if not tail.any():
+            break
+        e = e - tail
+    keep = (d[e] > d[s]) & (l[e] > l[s]) & (m[e] > m[s])
+    return s[keep], e[keep]
+
+
+def _sums(m: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(m)])
+
+
+def _runs(body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True, each within one text."""
+    first = np.zeros(len(body) + 1, bool)
     first[off] = True
-    sums = lambda m: np.concatenate([[0], np.cumsum(m)])
     begins, ends = body.copy(), body.copy()
-    if len(data):
+    if len(body):
         begins[1:] &= ~body[:-1] | first[1:-1]
         ends[:-1] &= ~body[1:] | first[1:-1]
-    s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def mixed_runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of key characters, SHORTEST bytes or more, that mix character classes.
+
+    A run needs a digit beside a letter, upper case after lower case twice, or three dashes; digits alone are none.
+    """
+    s, e = _runs(_BODY[data], off)
     keep = e - s >= SHORTEST
     s, e = s[keep], e[keep]
     if not len(s):
-        return s, s, e
+        return s, e
     while len(s):  # full stops and dashes at the end belong to the sentence
         tail = np.isin(data[e - 1], np.frombuffer(b".-~", np.uint8)) & (e - s > SHORTEST)
         if not tail.any():
             break
         e = e - tail
-    d, u, l = (sums(x[data]) for x in (_DIGIT, _UPPER, _LOWER))
+    d, u, l, dash = (_sums(x[data]) for x in (_DIGIT, _UPPER, _LOWER, _DASH))
     digits, upper, lower = d[e] - d[s], u[e] - u[s], l[e] - l[s]
     turn = np.zeros(len(data), bool)
     turn[1:] = _UPPER[data[1:]] & _LOWER[data[:-1]]
-    turns = sums(turn)
+    turns = _sums(turn)
     turns = turns[e] - turns[np.minimum(s + 1, e)]
-    keep = ((digits > 0) & (upper + lower > 0)) | (turns > 1)
-    s, e = s[keep], e[keep]
-    return np.searchsorted(off, s, "right") - 1, s, e
+    keep = (upper + lower > 0) & ((digits > 0) | (turns > 1) | (dash[e] - dash[s] > 2))
+    return s[keep], e[keep]
 
 
-FEATURES = ("length", "entropy", "digits", "upper", "lower", "marks", "transitions", "hex", "dictionary", "vowels", "slashes", "dots", "dashes", "assigned", "quoted", "named", "harmless", "placeholder", "prefix", "in_path", "repeats", "uuid")
+FEATURES = ("length", "entropy", "digits", "upper", "lower", "marks", "transitions", "hex", "dictionary", "vowels", "slashes", "dots", "dashes", "assigned", "quoted", "named", "harmless", "placeholder", "prefix", "in_path", "repeats", "uuid", "symbols", "login", "strong", "code", "literal", "spaces")
+#: Words that ask for a password outright, and values that are none.
+STRONG = ("password", "passwd", "pwd", "passphrase", "secret", "pass")
+LITERALS = ("none", "null", "true", "false", "required", "optional", "string", "str", "bytes", "undefined", "nil", "empty", "yes", "no", "missing", "invalid", "expired", "basic", "bearer")
+_strong = re.compile(rf"(?:{'|'.join(STRONG)})[a-z0-9_.-]*[\"'`\]]*\s*[=:>]+\s*[\"'`]?$")
+_login_before = re.compile(r"://[^\s/:@]*:$")
 _uuid = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 
 
@@ -86,28 +171,37 @@ def describe(value: str, before: str, after: str) -> list[float]:
         float(left.rstrip(" \"'")[-1:] in ("=", ":")), float(before[-1:] in ("'", '"')), float(any(w in near for w in NAMING)), float(any(re.search(rf"\b{w}\b", near) for w in HARMLESS)),
         float(any(w in low or w in near for w in PLACEHOLDER)), float(value.startswith(PREFIXES)), float("://" in left.split(" ")[-1] or left[-1:] in ("/", "\\", "@", "?", "&")),
         float(max(share)), float(bool(_uuid.fullmatch(value))),
+        sum(c in "!@#$%^&*?" for c in value) / n, float(bool(_login_before.search(left)) and after[:1] == "@"), float(bool(_strong.search(left))),
+        float(any(c in value for c in "(){}[]<>") or value[:1] == "$" or after[:1] == "("), float(low in LITERALS or low in DICTIONARY), low.count(" "),
     ]
 
 
-def invented_findings(n: int = 1500, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def invented_findings(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Labelled findings from a seeded generator of key formats and look-alikes: (features, labels)."""
     rng = np.random.default_rng(seed)
     hexa, upper, base, word = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz"
     some = lambda chars, k: "".join(chars[i] for i in rng.integers(0, len(chars), k))
     pick = lambda xs: xs[int(rng.integers(0, len(xs)))]
     prose = lambda: " ".join(some(word, int(rng.integers(2, 9))) for _ in range(6))
+    human = lambda: "".join(
+        [pick([str.title, str.lower, str.upper])(some(word, int(rng.integers(3, 9)))), some("!@#$%^&*_-.", int(rng.integers(0, 3))), some("0123456789", int(rng.integers(1, 5))), pick(["", "", pick("!@#$%&*?"), some(base, 3)])])
     x, y = [], []
     for k in range(n):
-        true = k % 2
+        true, after = k % 2, ""
         if true:
-            kind = int(rng.integers(0, 6))
+            kind = int(rng.integers(0, 11))
             name = pick(["password", "passwd", "secret", "token", "api_key", "apikey", "auth_token", "access_key"])
             gap = pick(["=", ": ", ' = "', '="', "='", " = "])
-            value = [lambda: "AKIA" + some(upper, 16), lambda: some(hexa, pick([18, 24, 32, 40])), lambda: some(base, int(rng.integers(12, 41))), lambda: pick(["ghp_", "npm_", "sk_live_"]) + some(base, 36), lambda: some(base + "+/", 40), lambda: "xoxb-" + some("0123456789", 11) + "-" + some(base, 24)][kind]()
-            bare = kind in (0, 3, 5) and rng.random() < 0.6
+            value = [lambda: "AKIA" + some(upper, 16), lambda: some(hexa, pick([18, 24, 32, 40])), lambda: some(base, int(rng.integers(12, 41))), lambda: pick(["ghp_", "npm_", "sk_live_"]) + some(base, 36), lambda: some(base + "+/", 40), lambda: "xoxb-" + some("0123456789", 11) + "-" + some(base, 24), lambda: human(), lambda: human(), lambda: pick("-_. ").join(some(word, int(rng.integers(4, 9))) for _ in range(int(rng.integers(3, 6)))), lambda: human(), lambda: pick(["AKIA", "ASIA"]) + some(upper[:26], 16)][kind]()
+            bare = kind in (0, 3, 5, 10) and rng.random() < 0.6
+            if kind in (6, 7, 8):
+                name = pick(["password", "passwd", "pwd", "secret", "passphrase", "DB_PASSWORD", "db_pass", "auth_token"])
+                gap = pick(["=", ": ", ' = "', '="', "='", " = ", '": "'])
             before = prose() + " " + ("" if bare else name + gap)
+            if kind == 9:
+                before, after = prose() + " " + pick(["postgres", "https", "mysql", "amqp", "redis", "ftp"]) + "://" + pick(["admin", "root", "", "app", some(word, 5)]) + ":", "@" + some(word, 6)
         else:
-            kind = int(rng.integers(0, 9))
+            kind = int(rng.integers(0, 18))
             value, before = [
                 lambda: ("-".join(some(hexa, m) for m in (8, 4, 4, 4, 12)), prose() + pick([" id ", " uuid ", " ", " key: "])),
                 lambda: (some(hexa, pick([32, 40, 64])), prose() + pick([" commit ", " sha1 ", " md5 ", " checksum: ", " digest="])),
@@ -118,8 +212,17 @@ def invented_findings(n: int = 1500, seed: int = 11) -> tuple[np.ndarray, np.nda
                 lambda: (some(word, int(rng.integers(6, 14))) + pick([".", "-", "_"]) + some(word, 5) + str(rng.integers(0, 99)), prose() + pick([" ", " (", " www."])),
                 lambda: ("_".join(pick(DICTIONARY) for _ in range(3)) + str(rng.integers(0, 1000)), prose() + pick([" ", " key ", " = "])),
                 lambda: (some("0123456789", 4) + "-" + some("0123456789", 4) + "-" + some("0123456789", 4) + pick(["a", "b", "x"]), prose() + pick([" card ", " phone ", " order "])),
+                lambda: (pick([*LITERALS, *DICTIONARY, some(word, int(rng.integers(2, 10)))]), prose() + " " + pick(["key", "token", "author", "keyword", "monkey", "private", "auth", "tokens"]) + pick([": ", "=", ' = "', ":"])),
+                lambda: (pick([pick(DICTIONARY), some(word, int(rng.integers(3, 10)))]).title(), prose() + " " + pick(["author", "Author", "keynote", "key", "authors", "keyword"]) + pick([": ", " = ", ":"])),
+                lambda: (pick(LITERALS), prose() + " " + pick(["password", "secret", "passwd"]) + pick([": ", "=", " = "])),
+                lambda: (str(rng.integers(0, 100000)), prose() + " " + pick(["max_tokens", "key", "tokens", "key_size", "auth_level", "password_length", "secret_count"]) + pick([": ", "=", " = "])),
+                lambda: (pick([f"get_{some(word, 5)}()", f"os.environ[{some(word, 6)}", "${" + some(word, 6).upper() + "}", f"<{some(word, 5)}>", f"self.{some(word, 6)}", f"config.{some(word, 6)}", f"{some(word, 5)}_{pick(['password', 'token', 'secret', 'key'])}"]), prose() + " " + pick(["password", "token", "secret", "api_key"]) + pick([" = ", "=", ": "])),
+                lambda: (" ".join(pick([*DICTIONARY, some(word, 4)]) for _ in range(int(rng.integers(5, 12)))), prose() + " " + pick(["key", "token", "keynote", "author", "private"]) + pick([': "', ' = "'])),
+                lambda: (some(word, int(rng.integers(3, 9))) + str(rng.integers(0, 2000)) + "@" + some(word, 6) + pick([".com", ".org", ".net"]), prose() + pick([" ", " mail ", " from "])),
+                lambda: (pick([f"#{some(word, 5)}{rng.integers(0, 99)}", f"{rng.integers(1, 99)}%{some(word, 3)}", f"{some(word, 4)}{rng.integers(0, 99)}!", f"@{some(word, 6)}{rng.integers(0, 99)}", f"${rng.integers(1, 99)}{pick('kmb')}"]), prose() + " "),
+                lambda: ("-".join(pick([*DICTIONARY, some(word, int(rng.integers(2, 8)))]) for _ in range(int(rng.integers(4, 7)))), prose() + pick([" ", " the ", "/"])),
             ][kind]()
-        x.append(describe(value, before[-CONTEXT:], " " + prose()))
+        x.append(describe(value, before[-CONTEXT:], after or (pick([" ", '" ', "\n"]) + prose())))
         y.append(true)
     return np.array(x), np.array(y)
 
@@ -208,11 +311,31 @@ def find(data: np.ndarray, off: np.ndarray, forest: Forest) -> tuple[np.ndarray,
     return text, s - off[text], e - off[text], forest.score(x)
 
 
+def settle(text: np.ndarray, s: np.ndarray, e: np.ndarray, p: np.ndarray, threshold: float):
+    """(secrets, rejected), each (text, start, end, score): overlapping secrets are one with the best score, and what
+    the forest rejected goes where a secret holds all of it."""
+    good: list[tuple] = []
+    for d, a, b, q in zip(*(v[p >= threshold].tolist() for v in (text, s, e, p)), strict=True):
+        if good and good[-1][0] == d and a < good[-1][2]:
+            good[-1] = (d, good[-1][1], max(b, good[-1][2]), max(q, good[-1][3]))
+        else:
+            good.append((d, a, b, q))
+    keys = [g[:2] for g in good]
+    bad = []
+    for x in zip(*(v[p < threshold].tolist() for v in (text, s, e, p)), strict=True):
+        k = bisect_right(keys, x[:2]) - 1
+        if k < 0 or good[k][0] != x[0] or good[k][2] < x[2]:
+            bad.append(x)
+    return good, bad
+
+
 def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_candidates, n_secrets, secrets, rejected), one for each input row, over whole texts.
 
     secrets and rejected are arrays of (start, end, score), byte offsets in the UTF-8 text: candidates at or above
-    the threshold, and the false positives that the forest removed. Null, empty and clean texts have empty arrays.
+    the threshold (overlapping ones as one), and the false positives that the forest removed. Not candidates are
+    secrets that nothing marks: bare runs under SHORTEST bytes or of one character class, without a naming word,
+    a URL, an issuer's prefix, three dashes or letters, digits and marks together. Null, empty and clean texts have empty arrays.
     A null doc_id is carried along, repeated rows give equal rows, extra columns are ignored, an empty table gives
     no rows. A map over rows without a shuffle.
     """
@@ -224,8 +347,9 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5,
             n = batch.num_rows
             good, bad = [[] for _ in range(n)], [[] for _ in range(n)]
             for lo, _, data, off in text_blocks(batch.column(1), 2 << 20):
-                for d, s, e, p in zip(*(v.tolist() for v in find(data, off, model.value)), strict=True):
-                    (good if p >= threshold else bad)[lo + d].append({"start": s, "end": e, "score": round(p, 4)})
+                for out, part in zip((good, bad), settle(*find(data, off, model.value), threshold), strict=True):
+                    for d, s, e, p in part:
+                        out[lo + d].append({"start": s, "end": e, "score": round(p, 4)})
             counts = [pa.array([len(g) + len(b) for g, b in zip(good, bad, strict=True)], pa.int64()), pa.array([len(g) for g in good], pa.int64())]
             yield pa.record_batch([batch.column(0), *counts, pa.array(good, span), pa.array(bad, span)], ["doc_id", "n_candidates", "n_secrets", "secrets", "rejected"])
 
@@ -244,13 +368,12 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5
             column = batch.column(place)
             changed: dict[int, str] = {}
             for lo, _, data, off in text_blocks(column, 2 << 20):
-                text, s, e, p = find(data, off, model.value)
-                for d in np.unique(text[p >= threshold]):
+                for d, group in groupby(settle(*find(data, off, model.value), threshold)[0], key=lambda g: g[0]):
                     raw, out, at = data[off[d] : off[d + 1]].tobytes(), [], 0
-                    for k in np.flatnonzero((text == d) & (p >= threshold)):
-                        out += [raw[at : s[k]], mark.encode()]
-                        at = int(e[k])
-                    changed[lo + int(d)] = b"".join([*out, raw[at:]]).decode("utf-8", "replace")
+                    for _, s, e, _ in group:
+                        out += [raw[at:s], mark.encode()]
+                        at = e
+                    changed[lo + d] = b"".join([*out, raw[at:]]).decode("utf-8", "replace")
             if changed:
                 values = column.to_pylist()
                 for k, v in changed.items():
