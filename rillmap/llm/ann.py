@@ -131,8 +131,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     spark = vectors.sparkSession
     clean = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable("v"))
     schema = "query_id long, rank int, vec_id long, score double"
-    # WindowGroupLimit cuts a frequent vector's rows before they are shuffled
-    distinct = clean(vectors).withColumn("same", F.expr("row_number() over (partition by v order by id)")).where(f"same <= {k + 1}").select("id", "v").distinct()
+    # repeated rows first, partly aggregated; then WindowGroupLimit cuts a frequent vector's ids before they are shuffled
+    distinct = clean(vectors).distinct().withColumn("same", F.expr("row_number() over (partition by v order by id)")).where(f"same <= {k + 1}").select("id", "v")
     data = materialize(distinct)
     total = data.count()
     sample = data.orderBy(F.xxhash64("id", "v")).limit(SAMPLE).toArrow().column("v").to_pylist()
