@@ -16,6 +16,19 @@ GRAM = 20
 HOT = 16384
 CHUNK = 8
 NULL_ID = -(1 << 63)
+#: Bits of a packed place: the first window's byte, windows, anchor's distance; then two marks. Texts under one id are told
+#: apart by all 64 bits of their hash u, and come in the order of its low TAG bits, then of the rest.
+TAG, START, COUNT, SPOT, GONE, HOT_MARK = 0x7FFFFF, 0xFFFFFFFF, 32, 40, 1 << 61, 1 << 62
+
+
+def _by_text(doc: np.ndarray, u: np.ndarray, start: np.ndarray, *above: np.ndarray) -> np.ndarray:
+    """Order by the keys `above` (the last first), then by place: id, text and byte."""
+    return np.lexsort((start, u, u & TAG, doc, *above))
+
+
+def _elsewhere(lead: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Whether a row stands at another place than its group's first."""
+    return np.logical_or.reduce([x != x[lead] for x in place])
 
 
 def _find_contexts(data: np.ndarray, off: np.ndarray, length: int):
@@ -55,24 +68,26 @@ def _find_contexts(data: np.ndarray, off: np.ndarray, length: int):
 def _windows(batches, length: int):
     """First pass: in each block the first occurrence of every context goes on, later ones are removals at once."""
     for batch in batches:
-        ids, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        ids, hashes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
         for lo, hi, data, off in text_blocks(batch.column(2), 2 << 20):
             for base, data, off in _segments(data, off, length):
                 anchor, doc, begin, count, spot, sub = _find_contexts(data, off, length)
                 if not len(doc):
                     continue
                 context = sub.hash(begin, begin + count + length - 1)
-                doc_id = ids[lo:hi][doc]
-                place = (tags[lo:hi][doc].astype(np.int64) << 32) | (begin - off[doc] + base)
-                order = np.lexsort((place, doc_id, context, anchor))
-                a, c, d, p = anchor[order], context[order], doc_id[order], place[order]
+                doc_id, u = ids[lo:hi][doc], hashes[lo:hi][doc]
+                start = begin - off[doc] + base
+                order = _by_text(doc_id, u, start, context, anchor)
+                a, c, d, h, p = anchor[order], context[order], doc_id[order], u[order], start[order]
                 first = np.ones(len(a), bool)
                 first[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
                 lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-                gone = (d != d[lead]) | (p != p[lead])
+                gone = _elsewhere(lead, d, h, p)
                 keep = first | gone
-                n = count + ((spot - begin) << 8)
-                yield pa.record_batch([signed(a[keep].copy()), signed(c[keep].copy()), d[keep], p[keep], n[order][keep], gone[keep]], ["anchor", "context", "doc_id", "place", "n", "gone"])
+                packed = p | ((count | ((spot - begin) << (SPOT - COUNT)))[order] << COUNT) | gone * GONE
+                # a removal needs neither its anchor nor its context: it is dealt by its place
+                key, c = np.where(gone, mix(mix(h.view(np.uint64) ^ d.view(np.uint64)) + p.astype(np.uint64)), a), np.where(gone, np.uint64(0), c)
+                yield pa.record_batch([signed(key[keep].copy()), signed(c[keep].copy()), d[keep], h[keep], packed[keep]], ["key", "context", "doc_id", "u", "place"])
 
 
 def _segments(data: np.ndarray, off: np.ndarray, length: int, most: int = 12 << 20):
@@ -105,29 +120,30 @@ def _by_key(batches, column: int):
 def _collapse(batches, hot: int = HOT):
     """Second pass, an anchor's contexts together: later copies of a context are removals; of anchors with several
     contexts the first occurrences go on to be sorted."""
-    names = ["anchor", "doc_id", "place", "n", "gone", "hot"]
+    names = ["anchor", "doc_id", "u", "place"]
     for table in _by_key(batches, 0):
         if table is None or not table.num_rows:
             continue
-        a, c, d, p, n = (table.column(k).to_numpy() for k in range(1, 6))
-        over = table.column(6).to_numpy()
+        a, c, d, u, p = (table.column(k).to_numpy() for k in range(5))
+        over = (p & GONE) > 0
         if over.any():
-            yield pa.record_batch([a[over], d[over], p[over], n[over], over[over], ~over[over]], names)
-        a, c, d, p, n = (x[~over] for x in (a, c, d, p, n))
+            yield pa.record_batch([np.zeros(int(over.sum()), np.int64), d[over], u[over], p[over]], names)
+        a, c, d, u, p = (x[~over] for x in (a, c, d, u, p))
         if not len(a):
             continue
-        order = np.lexsort((p, d, c, a))
-        a, c, d, p, n = a[order], c[order], d[order], p[order], n[order]
+        order = _by_text(d, u, p & START, c, a)
+        a, c, d, u, p = a[order], c[order], d[order], u[order], p[order]
         new_a = np.ones(len(a), bool)
         new_a[1:] = a[1:] != a[:-1]
         first = new_a.copy()
         first[1:] |= c[1:] != c[:-1]
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        gone = (d != d[lead]) | (p != p[lead])
+        gone = _elsewhere(lead, d, u, p & START)
         group = np.cumsum(new_a) - 1
         kinds = np.bincount(group, weights=first)[group]
         keep = gone | (first & (kinds > 1))
-        yield pa.record_batch([a[keep], d[keep], p[keep], n[keep], gone[keep], kinds[keep] > hot], names)
+        p = p | gone * GONE | (kinds > hot) * HOT_MARK
+        yield pa.record_batch([np.where(gone, 0, a)[keep], d[keep], u[keep], p[keep]], names)
 
 
 def _fetch(batches, length: int):
@@ -141,15 +157,16 @@ def _fetch(batches, length: int):
         wanted = batch.column(3)
         edges = wanted.offsets.to_numpy() - wanted.offsets[0].as_py()
         flat = wanted.flatten()
-        anchor, place, packed, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+        anchor, packed = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+        place, hot = packed & START, (packed & HOT_MARK) > 0
         data, off = byte_view(batch.column(2))
         row = np.repeat(np.arange(batch.num_rows), np.diff(edges))
-        ids = batch.column(0).to_numpy()[row]
-        at = off[row] + (place & 0xFFFFFFFF)
-        n, spot = packed & 0xFF, packed >> 8
+        ids, us = (batch.column(k).to_numpy()[row] for k in range(2))
+        at = off[row] + place
+        n, spot = packed >> COUNT & 0xFF, packed >> SPOT & 0xFF
         raw = data.tobytes()
         calm = np.flatnonzero(~hot)
-        keys, docs, places, counts = (x[calm] for x in (anchor, ids, place, n))
+        keys, docs, hashes, places, counts = (x[calm] for x in (anchor, ids, us, place, n))
         pieces = [raw[b:e] for b, e in zip(at[calm].tolist(), (at + n + length - 1)[calm].tolist(), strict=True)]
         extra: list[tuple] = []
         for k in np.flatnonzero(hot):
@@ -159,14 +176,14 @@ def _fetch(batches, length: int):
                 lo, hi = max(r0, c * CHUNK), min(r0 + count, (c + 1) * CHUNK)
                 core = raw[zero + (c + 1) * CHUNK - 1 : zero + c * CHUNK + length]
                 key = hashlib.blake2b(core, digest_size=8, salt=b"%d" % c).digest()
-                extra.append((int.from_bytes(key, "little", signed=True), int(ids[k]), int(place[k]) + lo - r0, hi - lo, raw[zero + lo : zero + hi + length - 1]))
+                extra.append((int.from_bytes(key, "little", signed=True), int(ids[k]), int(us[k]), int(place[k]) + lo - r0, hi - lo, raw[zero + lo : zero + hi + length - 1]))
         if extra:
             cols = list(zip(*extra, strict=True))
-            keys, docs, places, counts = (np.concatenate([x, np.array(y, np.int64)]) for x, y in zip((keys, docs, places, counts), cols, strict=False))
-            pieces += cols[4]
+            keys, docs, hashes, places, counts = (np.concatenate([x, np.array(y, np.int64)]) for x, y in zip((keys, docs, hashes, places, counts), cols, strict=False))
+            pieces += cols[5]
         for lo in range(0, len(pieces), 20000):
             part = slice(lo, lo + 20000)
-            yield pa.record_batch([keys[part], docs[part], places[part], counts[part].astype(np.int32), pa.array(pieces[part], pa.binary())], ["anchor", "doc_id", "place", "n", "bytes"])
+            yield pa.record_batch([keys[part], docs[part], hashes[part], places[part] | counts[part] << COUNT, pa.array(pieces[part], pa.binary())], ["anchor", "doc_id", "u", "place", "bytes"])
 
 
 def _words(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,8 +262,8 @@ def two_stage_order(t: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _later_windows(doc: np.ndarray, place: np.ndarray, count: np.ndarray, texts: list[bytes], length: int):
-    """Windows of these contexts that also start earlier, as runs (doc_id, place, windows)."""
+def _later_windows(doc: np.ndarray, u: np.ndarray, place: np.ndarray, count: np.ndarray, texts: list[bytes], length: int):
+    """Windows of these contexts that also start earlier, as runs (doc_id, u, place, windows)."""
     sizes = count + length - 1
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     joined = np.frombuffer(b"\xff".join([*texts, b""]), np.uint8) + np.uint8(1)  # the separator 0xff, in no UTF-8 text, becomes 0
@@ -260,21 +277,21 @@ def _later_windows(doc: np.ndarray, place: np.ndarray, count: np.ndarray, texts:
         live = np.flatnonzero(same)
         same[live] = eight[order[live] + at] == eight[order[live + 1] + at]
     group = np.concatenate([[0], np.cumsum(~same)])
-    d, p = doc[owner], place[owner] + order - begin[owner]
-    rank = np.lexsort((p, d, group))
-    g, d, p = group[rank], d[rank], p[rank]
+    d, h, p = doc[owner], u[owner], place[owner] + order - begin[owner]
+    rank = _by_text(d, h, p, group)
+    g, d, h, p = group[rank], d[rank], h[rank], p[rank]
     first = np.ones(len(g), bool)
     first[1:] = g[1:] != g[:-1]
     lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-    gone = (d != d[lead]) | (p != p[lead])
-    d, p = d[gone], p[gone]
-    rank = np.lexsort((p, d))
-    d, p = d[rank], p[rank]
+    gone = _elsewhere(lead, d, h, p)
+    d, h, p = d[gone], h[gone], p[gone]
+    rank = _by_text(d, h, p)
+    d, h, p = d[rank], h[rank], p[rank]
     start = np.ones(len(d), bool)
-    start[1:] = (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)
+    start[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (p[1:] > p[:-1] + 1)
     at = np.flatnonzero(start)
     last = np.append(at[1:], len(d)) - 1
-    return d[at], p[at], (p[last] - p[at] + 1) if len(at) else p[at]
+    return d[at], h[at], p[at], (p[last] - p[at] + 1) if len(at) else p[at]
 
 
 def _sort_contexts(batches, length: int, most: int = 1 << 20):
@@ -282,7 +299,8 @@ def _sort_contexts(batches, length: int, most: int = 1 << 20):
     for table in _by_key(batches, 0):
         if table is None or not table.num_rows:
             continue
-        anchor, doc, place, count = (table.column(k).to_numpy() for k in range(4))
+        anchor, doc, u, place = (table.column(k).to_numpy() for k in range(4))
+        place, count = place & START, place >> COUNT & 0xFF
         texts = table.column(4).to_pylist()
         ends = np.cumsum(count + length)
         last = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor))
@@ -291,9 +309,9 @@ def _sort_contexts(batches, length: int, most: int = 1 << 20):
             base = ends[lo - 1] if lo else 0
             fits = last[(last > lo) & (ends[last - 1] - base <= most)]
             hi = int(fits[-1]) if len(fits) else int(last[last > lo][0])
-            d, p, n = _later_windows(doc[lo:hi], place[lo:hi], count[lo:hi].astype(np.int64), texts[lo:hi], length)
+            d, h, p, n = _later_windows(doc[lo:hi], u[lo:hi], place[lo:hi], count[lo:hi], texts[lo:hi], length)
             if len(d):
-                yield pa.record_batch([d, p, n.astype(np.int64)], ["doc_id", "place", "n"])
+                yield pa.record_batch([d, h, p, n.astype(np.int64)], ["doc_id", "u", "start", "n"])
             lo = hi
 
 
@@ -333,27 +351,26 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     Copies of a whole context are settled by hash, first in each block and then for each anchor; of anchors with
     different contexts the bytes are fetched, their suffixes sorted in two stages, and adjacent common prefixes of
     `length` bytes or more compared by place. Nulls are empty texts. Rows with one doc_id and different texts are
-    ordered by the texts' hash; of repeated rows the first keeps what one row would, the rest are later copies. A
+    told apart and ordered by the texts' 64-bit hash (its low 23 bits first); of repeated rows the first keeps what one row would, the rest are later copies. A
     null doc_id comes before all others. Extra columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = base.select("doc_id", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFF)).alias("tag"), "text")
-    found = base.where(F.octet_length("text") >= length).mapInArrow(lambda x: _windows(x, length), "anchor long, context long, doc_id long, place long, n long, gone boolean")
-    key = F.expr("case when gone then xxhash64(doc_id, place) else anchor end")
-    dealt = found.select(key.alias("key"), "anchor", "context", "doc_id", "place", "n", "gone").repartition("key").sortWithinPartitions("key")
-    settled = materialize(dealt.mapInArrow(lambda x, hot=_collapse.__defaults__[0]: _collapse(x, hot), "anchor long, doc_id long, place long, n long, gone boolean, hot boolean"))
+    base = base.select("doc_id", F.xxhash64("text").alias("u"), "text")
+    found = base.where(F.octet_length("text") >= length).mapInArrow(lambda x: _windows(x, length), "key long, context long, doc_id long, u long, place long")
+    dealt = found.repartition("key").sortWithinPartitions("key")
+    settled = materialize(dealt.mapInArrow(lambda x, hot=_collapse.__defaults__[0]: _collapse(x, hot), "anchor long, doc_id long, u long, place long"))
     release(spark)
-    tag, start = F.shiftright("place", 32).alias("tag"), F.expr("place & 4294967295").alias("start")
-    wanted = settled.where(~F.col("gone")).groupBy("doc_id", tag).agg(F.collect_list(F.struct("anchor", "place", "n", "hot")).alias("wanted"))
-    contexts = base.join(wanted, ["doc_id", "tag"]).select("doc_id", "tag", "text", "wanted").mapInArrow(lambda x: _fetch(x, length), "anchor long, doc_id long, place long, n int, bytes binary")
-    sorted_ = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda x: _sort_contexts(x, length), "doc_id long, place long, n long")
-    later = settled.where("gone").select("doc_id", "place", F.expr("n & 255").alias("n")).union(sorted_)
-    spans = later.select("doc_id", tag, start, "n").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + length - 1).alias("end"))).alias("spans"))
+    gone = F.col("place").bitwiseAND(F.lit(GONE)) != 0
+    wanted = settled.where(~gone).groupBy("doc_id", "u").agg(F.collect_list(F.struct("anchor", "place")).alias("wanted"))
+    contexts = base.join(wanted, ["doc_id", "u"]).select("doc_id", "u", "text", "wanted").mapInArrow(lambda x: _fetch(x, length), "anchor long, doc_id long, u long, place long, bytes binary")
+    sorted_ = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda x: _sort_contexts(x, length), "doc_id long, u long, start long, n long")
+    later = settled.where(gone).select("doc_id", "u", F.expr(f"place & {START}L").alias("start"), F.expr(f"(place >> {COUNT}) & 255L").alias("n")).union(sorted_)
+    spans = later.groupBy("doc_id", "u").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + length - 1).alias("end"))).alias("spans"))
     spans = materialize(spans)
     release(spark)
-    numbered = base.withColumn("nth", F.expr("row_number() over (partition by doc_id, tag order by doc_id)"))
-    joined = numbered.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "nth", "spans")
+    numbered = base.withColumn("nth", F.expr("row_number() over (partition by doc_id, u order by doc_id)"))
+    joined = numbered.join(spans, ["doc_id", "u"], "left").select("doc_id", "text", "nth", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", removed array<array<long>>, kept binary" if with_text else "")
     out = joined.mapInArrow(lambda x: _cut(x, length, with_text), schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
