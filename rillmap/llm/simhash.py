@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, SPACE, Substrings, components, local_components, materialize, mix, text_blocks
+from .common import MULT, SPACE, Substrings, components, local_components, materialize, mix, release, text_blocks
 
 SEED = 42
 #: A block of a candidate table above this many fingerprints is split by further equal bits.
@@ -460,6 +460,7 @@ def copy_links(nodes: DataFrame, docs: DataFrame, similarity: float = 0.8, width
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__id"]) & (docs["u"] == wanted["__u"]))
     sets = texts.select("node", "shingles", "fp", "text").mapInArrow(compute, "node long, shingles long, fp binary, hashes binary")
     sets = materialize(sets)
+    release(docs.sparkSession)
     met = spots.join(sets, "node").withColumn("weight", F.col("shingles"))
     return _deal(met, similarity, "fp", "hashes").repartition("place").sortWithinPartitions("place").mapInArrow(lambda x: _compare(x, found), "a long, b long")
 
@@ -486,6 +487,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col
 def drop_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, one for each group of near_copies; of repeated rows one."""
     stay = near_copies(docs, similarity, width, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("u").alias("__u")).distinct()
+    # plain equalities, so that the window finds the texts dealt as the join left them and does not move them again
+    key = [F.col("__id").isNull().alias("__no"), F.coalesce("__id", F.lit(0).cast("long")).alias("__at"), F.col("__u")]
     own = docs.withColumn("__u", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn("__id", F.col(id_col).cast("long"))
-    kept = own.join(stay, own["__id"].eqNullSafe(stay["__id"]) & (own["__u"] == stay["__u"]), "left_semi")
-    return kept.withColumn("__nth", F.expr("row_number() over (partition by __id, __u order by __u)")).where("__nth = 1").select(*docs.columns)
+    kept = own.select(*docs.columns, *key).join(stay.select(*key), ["__no", "__at", "__u"], "left_semi")
+    return kept.withColumn("__nth", F.expr("row_number() over (partition by __no, __at, __u order by __u)")).where("__nth = 1").select(*docs.columns)
