@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import zlib
 
 import numpy as np
 import pytest
@@ -142,31 +141,6 @@ def test_vectors(spark):
     assert all(got[k] == (0, k) for k in range(200, 206))
 
 
-def test_packing(spark, docs):
-    tokenizers = pytest.importorskip("tokenizers")
-    from rillmap.llm.packing import pack
-    from rillmap.llm.queries import tokenizer_path
-
-    t = tokenizers.Tokenizer.from_file(tokenizer_path())
-    rows = pack(docs, tokenizer_path(), window=256, smallest=16).collect()
-    want = sorted(([*t.encode(x or "", add_special_tokens=False).ids, 1] for _, x, *_ in awkward()), key=lambda v: (len(v), v))
-    assert sum(r.length for r in rows) == sum(map(len, want))
-    by = {}
-    for r in rows:
-        by.setdefault(r.sequence_id, []).append(r)
-    for pieces in by.values():
-        at = 0
-        for p in sorted(pieces, key=lambda p: p.offset):
-            assert p.offset == at
-            at += p.length
-        assert at <= 256
-    assert sum(sum(p.length for p in v) < 256 for v in by.values()) <= 1
-    whole = {d: [*t.encode(x or "", add_special_tokens=False).ids, 1] for d, x, *_ in awkward()[:40]}
-    for r in rows:
-        if r.doc_id in whole and r.doc_tokens == len(whole[r.doc_id]) and r.doc_id not in (5, 7):
-            assert r.ids_crc32 == zlib.crc32(np.array(whole[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
-
-
 def test_mixture(spark, docs):
     from rillmap.llm.mixing import mix, mix_sources, route, share_out
 
