@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,9 +34,16 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of plans that a checkpoint has replaced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner delete shuffle files of plans that a checkpoint has replaced and nothing refers to."""
+    for _ in range(2):  # what the first round finds unreachable may be all that holds on to the rest
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        spark.sparkContext._jvm.System.runFinalization()
+
+
+def whole_row_hash(df: DataFrame) -> Column:
+    """A hash of all of a row's columns (but maps, which Spark does not hash): an order among rows of one id and text."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()])
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, SPACE, Substrings, components, local_components, materialize, mix, release, text_blocks
+from .common import MULT, SPACE, Substrings, components, local_components, materialize, mix, release, text_blocks, whole_row_hash
 
 SEED = 42
 #: A block of a candidate table above this many fingerprints is split by further equal bits.
@@ -196,17 +196,6 @@ def near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", te
     return signed.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The rows of `docs`, all columns, one for each near-duplicate group: its smallest doc_id's (of repeated rows one).
-
-    A group without any doc_id keeps one of its rows.
-    """
-    found = near_duplicates(docs, radius, id_col, text_col, width)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    numbered = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__stay")), "left_semi")
-    return numbered.withColumn("__nth", F.expr(f"row_number() over (partition by `{id_col}` order by xxhash64(`{text_col}`))")).where("__nth = 1").drop("__nth")
-
-
 #: Bits of the wide fingerprint, 64 from each of 16 hashes of a shingle: so many estimate a similarity to about 0.03.
 WIDE = 1024
 #: Hash orders in which rows may meet.
@@ -219,16 +208,6 @@ _SALTS = mix(np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0xA0761D6
 _LOWER = np.array([k + 32 if 65 <= k <= 90 else k for k in range(256)], np.uint8)
 
 
-def wide_radius(similarity: float) -> int:
-    """Differing bits of WIDE that sets of this Jaccard similarity exceed in about one case of 40.
-
-    Sets of similarity s and near sizes have the cosine 2s / (1 + s); a bit differs with the angle's share of pi.
-    Two standard deviations are added, so that the pairs at the threshold are kept.
-    """
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(WIDE * p + 2 * np.sqrt(WIDE * p * (1 - p)))
-
-
 @cache
 def sure_radius(similarity: float, most: int = 64) -> int:
     """Differing bits of WIDE that no two sets of this Jaccard similarity or more exceed but by six standard deviations.
@@ -427,50 +406,56 @@ def rough_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
     return _deal(met, similarity, "fp").repartition("place").sortWithinPartitions("place").mapInArrow(lambda x: _compare(x, found), "a long, b long")
 
 
+def _keyed(id_col: str = "doc_id", hash_col: str = "u") -> list:
+    """Columns that know a row's id and text by plain equalities, so that groups and joins on them share one shuffle."""
+    return [F.col(id_col).isNull().alias("__no"), F.coalesce(F.col(id_col), F.lit(0).cast("long")).alias("__at"), F.col(hash_col).alias("__u")]
+
+
 def copy_links(nodes: DataFrame, docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """A spanning set of links (a, b) between nodes whose shingle sets have a Jaccard similarity of `similarity` or more.
 
     `nodes` are rows (node, shingles, fp, least, best), `docs` rows (doc_id, u, text). Members of a component of
     rough_links meet, in a component above TILE rows those of equal least elements; pairs within sure_radius bits are
-    counted on the sets themselves (64-bit hashes of the shingles), made again from one text of each such node.
+    counted on the sets themselves (64-bit hashes of the shingles), made again from one text of each such node. Where
+    they meet is settled on narrow rows first, so that a text is dealt once by its id and once to where it is compared.
     """
     radius = sure_radius(similarity)
 
-    def compute(batches):
-        for batch in batches:
-            for lo, hi, data, off in text_blocks(batch.column(3), 1 << 20):
-                count, h = _shingles(data, off, width)
-                edges = np.append(0, np.cumsum(count * 8)).astype(np.int32)
-                sets = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(h.tobytes())])
-                yield pa.record_batch([*(batch.column(k).slice(lo, hi - lo) for k in range(3)), sets], ["node", "shingles", "fp", "hashes"])
-
     def found(rows: pa.Table) -> pa.RecordBatch:
         node, at = np.unique(rows.column("node").to_numpy(), return_index=True)
-        hashes = rows.column("hashes").to_pylist()
-        return _moved(node, _similar([np.frombuffer(hashes[k], np.uint64) for k in at], *close_pairs(_prints(rows, at), radius), similarity))
+        a, b = close_pairs(_prints(rows, at), radius)
+        met = np.zeros(len(node), bool)
+        met[a], met[b] = True, True
+        sets = [np.zeros(0, np.uint64)] * len(node)
+        some = np.flatnonzero(met)
+        for lo, hi, data, off in text_blocks(rows.column("text").take(pa.array(at[some])).combine_chunks(), 1 << 20):
+            count, h = _shingles(data, off, width)
+            for k, part in zip(some[lo:hi], np.split(h, np.cumsum(count)[:-1]), strict=True):
+                sets[k] = part
+        return _moved(node, _similar(sets, a, b, similarity))
 
     rough = components(rough_links(nodes, similarity))
     rough = materialize(rough.union(rough.select(F.col("root").alias("node"), "root")).distinct())
     sizes = rough.groupBy("root").agg(F.count("*").alias("n"))
-    members = rough.join(sizes, "root").join(nodes, "node")
-    apart = members.where(F.col("n") > TILE).select("node", "root", F.posexplode("least").alias("t", "key"))
-    spots = members.where(F.col("n") <= TILE).select("node", F.xxhash64("root").alias("place")).union(apart.select("node", F.xxhash64("root", "t", "key").alias("place")))
-    one = F.col("best.doc_id").alias("__id"), F.col("best.u").alias("__u")
-    wanted = members.select("node", "shingles", "fp", *one)
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__id"]) & (docs["u"] == wanted["__u"]))
-    sets = texts.select("node", "shingles", "fp", "text").mapInArrow(compute, "node long, shingles long, fp binary, hashes binary")
-    sets = materialize(sets)
+    members = rough.join(sizes, "root").join(nodes.select("node", "shingles", "least"), "node")
+    apart = members.where(F.col("n") > TILE).select("node", "shingles", "root", F.posexplode("least").alias("t", "key"))
+    spots = members.where(F.col("n") <= TILE).select("node", "shingles", F.xxhash64("root").alias("place")).union(apart.select("node", "shingles", F.xxhash64("root", "t", "key").alias("place")))
+    dealt = _deal(materialize(spots.select("place", "node", "shingles", F.col("shingles").alias("weight"))), similarity)
+    wanted = dealt.groupBy("node").agg(F.collect_set("place").alias("places")).join(nodes.select("node", "fp", F.col("best.doc_id").alias("doc_id"), F.col("best.u").alias("u")), "node")
+    wanted = materialize(wanted.select("node", "places", "fp", *_keyed()))
     release(docs.sparkSession)
-    met = spots.join(sets, "node").withColumn("weight", F.col("shingles"))
-    return _deal(met, similarity, "fp", "hashes").repartition("place").sortWithinPartitions("place").mapInArrow(lambda x: _compare(x, found), "a long, b long")
+    texts = docs.select(*_keyed(), "text").groupBy("__no", "__at", "__u").agg(F.first("text").alias("text"))
+    met = texts.join(wanted, ["__no", "__at", "__u"]).select(F.explode("places").alias("place"), "node", "fp", "text")
+    return met.repartition("place").sortWithinPartitions("place").mapInArrow(lambda x: _compare(x, found), "a long, b long")
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, u, component_id, kept), one for each input row: its text's hash, its group and whether it stays.
 
     Texts are sets of `width`-word shingles, A-Z in lower case (a shorter text is one shingle), and link where their
-    Jaccard similarity is `similarity` or more, counted exactly; sketches only choose the pairs. Texts with equal sketches are one node, known by a 64-bit hash, before any comparison; null texts
-    and texts without words are copies of each other. component_id is the group's smallest doc_id, null only where
+    Jaccard similarity is `similarity` or more, counted exactly; sketches only choose the pairs. Texts with equal
+    sketches are one node, known by a 64-bit hash, before any comparison; null texts and texts without words are
+    copies of each other. component_id is the group's smallest doc_id, null only where
     all are null. Kept are the rows of one (doc_id, text) in each group, that of the smallest doc_id and then hash.
     Extra columns are ignored. An empty table gives no rows.
     """
@@ -485,10 +470,12 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col
 
 
 def drop_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, one for each group of near_copies; of repeated rows one."""
-    stay = near_copies(docs, similarity, width, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("u").alias("__u")).distinct()
-    # plain equalities, so that the window finds the texts dealt as the join left them and does not move them again
-    key = [F.col("__id").isNull().alias("__no"), F.coalesce("__id", F.lit(0).cast("long")).alias("__at"), F.col("__u")]
-    own = docs.withColumn("__u", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn("__id", F.col(id_col).cast("long"))
-    kept = own.select(*docs.columns, *key).join(stay.select(*key), ["__no", "__at", "__u"], "left_semi")
-    return kept.withColumn("__nth", F.expr("row_number() over (partition by __no, __at, __u order by __u)")).where("__nth = 1").select(*docs.columns)
+    """The rows of `docs`, all columns, one for each group of near_copies.
+
+    Of rows with the id and text of the one that stays, that with the least hash of all its columns stays.
+    """
+    stay = near_copies(docs, similarity, width, id_col, text_col).where("kept").select(*_keyed()).distinct()
+    release(docs.sparkSession)
+    own = docs.withColumns({"__hash": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "__id": F.col(id_col).cast("long"), "__order": whole_row_hash(docs)})
+    kept = own.select(*docs.columns, "__order", *_keyed("__id", "__hash")).join(stay, ["__no", "__at", "__u"], "left_semi")
+    return kept.withColumn("__nth", F.expr("row_number() over (partition by __no, __at, __u order by __order)")).where("__nth = 1").select(*docs.columns)

@@ -38,7 +38,7 @@ def rewritten():
 
 
 def test_sketch():
-    from rillmap.llm.simhash import WIDE, _sketch, wide_radius
+    from rillmap.llm.simhash import WIDE, _sketch, sure_radius
 
     texts = [t for _, t, *_ in rewritten()]
     raw = [(t or "").encode() for t in texts]
@@ -53,11 +53,11 @@ def test_sketch():
             apart = int(np.bitwise_count(prints[i] ^ prints[j]).sum())
             s = similarity(sets[i], sets[j])
             assert (s == 1) == (apart == 0 and (least[i] == least[j]).all())
-            if s >= 0.85 and count[i] > 50:
-                assert apart <= wide_radius(0.8)
-            if s < 0.6 and count[i] > 50:
-                assert apart > wide_radius(0.8)
-    assert 0 < wide_radius(0.9) < wide_radius(0.8) < WIDE // 4
+            if s >= 0.8:
+                assert apart <= sure_radius(0.8)
+            if s < 0.4 and count[i] > 50:
+                assert apart > sure_radius(0.8)
+    assert 0 < sure_radius(0.9) < sure_radius(0.8) < WIDE // 3
 
 
 @pytest.mark.parametrize("tile", [8192, 2])
