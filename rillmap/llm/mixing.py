@@ -10,19 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, whole_row_hash
 
 BINS = 1024
 #: Documents of a boundary bin that one task may order.
-BIN_ROWS = 4096
+BIN_ROWS = 512
 
 
 def share_out(sizes: Sequence[int], weights: Sequence[int], total: Fraction, most: Fraction) -> list[Fraction]:
     """Targets in proportion to the weights, none above `most` times its size; what is cut off is shared anew."""
     targets, open_ = [Fraction(0)] * len(sizes), [k for k in range(len(sizes))]
     left = Fraction(total)
-    while open_:
-        unit = left / sum(weights[k] for k in open_)
+    while open_ and (heavy := sum(weights[k] for k in open_)):
+        unit = left / heavy
         full = [k for k in open_ if unit * weights[k] > most * sizes[k]]
         if not full:
             for k in open_:
@@ -95,129 +95,158 @@ def route(capacity: Sequence[int], members: Sequence[Sequence[int]], demand: Seq
     return out
 
 
+def _order(seed: int, id_col: str, text_col: str):
+    """The seeded hash by which documents are chosen; equal for equal ids and texts."""
+    return F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def sized(docs: DataFrame, id_col: str, text_col: str, sources: str, seed: int) -> DataFrame:
     """Small rows for the plan: doc_id, pattern (sorted distinct sources), size in words, seeded order u."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.expr(sources).alias("pattern"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), text).alias("u"),
-    )
+    size = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(sources).alias("pattern"), size.alias("size"), _order(seed, id_col, text_col).alias("u"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: Fraction = Fraction(3, 2), repeats: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", sources: str = "array(source)") -> DataFrame:
-    """Rows (doc_id, pattern, size, source_size, target, taken, u), one for each input row; taken is a multiple of size.
+def _plan(rows: DataFrame, weights: Sequence[int], share: Fraction, repeats: int) -> tuple[DataFrame, DataFrame]:
+    """(cut, picked). cut has a row for each pattern: base, low, high, gap, source_size, target, stretches.
 
-    `sources` is SQL for a document's array of sources, which may overlap; a null source is one of its own, last in
-    order. Quotas share `share` times all words by the repeating `weights`, in code point order of the sources, each
-    `repeats` times its source at most. Documents meet their quotas through `route`: all documents of a pattern are
-    taken k times, and a seeded choice of them once more, up to the flow that the pattern got. The choice is a
-    threshold on a seeded hash: histograms of BINS bins (partially aggregated, however hot a source is) find the bin
-    in which the flow ends, again inside that bin until it has BIN_ROWS documents at most, and join the next bins up to
-    that number; of these, documents are
-    taken in seeded order while they fit. So a source misses its target by less than its last bin's shortest document
-    left out, and no task sees more than a bin. Repeated rows with one id and text share their fate unless the last
-    bin divides them. Texts that are null or have no word take nothing. The driver holds one row for each pattern.
-    An empty table gives no rows.
+    Documents of a pattern are taken `base` times and once more if u < low; from low to high, BIN_ROWS documents at
+    most, `picked` (doc_id, u, n, picks) says how many of the n rows are. A stretch (source, from_lap, from_u, to_lap,
+    to_u) says whose quota pays for lap k of the documents with (from_lap, from_u) <= (k, u) < (to_lap, to_u).
     """
-    rows = materialize(sized(docs, id_col, text_col, sources, seed))
-    spark = docs.sparkSession
-    patterns = [(tuple(r[0]) if r[0] is not None else (None,), int(r[1]), r[2]) for r in rows.groupBy("pattern").agg(F.sum("size"), F.count("*")).collect()]
+    spark = rows.sparkSession
+    patterns = [(tuple(r[0]) if r[0] is not None else (None,), int(r[1])) for r in rows.groupBy("pattern").agg(F.sum("size")).collect()]
     patterns.sort(key=lambda p: [(s is None, s or "") for s in p[0]])
     names = sorted({s for p in patterns for s in p[0]}, key=lambda s: (s is None, s or ""))
     at = {s: k for k, s in enumerate(names)}
-    source_size = [sum(p[1] for p in patterns if s in p[0]) for s in names]
-    total = sum(p[1] for p in patterns) * share
+    source_size = [sum(size for p, size in patterns if s in p) for s in names]
+    total = sum(size for _, size in patterns) * share
     targets = share_out(source_size, [weights[k % len(weights)] for k in range(len(names))], total, Fraction(repeats))
-    members = [sorted({at[s] for s in p[0]}) for p in patterns]
-    flows = route([p[1] for p in patterns], members, [round(t) for t in targets], repeats)
-    wanted = [sum(hi - lo for lo, hi in f.values()) for f in flows]
-    plan = []
-    for k, p in enumerate(patterns):
-        base, over = divmod(wanted[k], p[1]) if p[1] else (0, 0)
+    members = [sorted({at[s] for s in p}) for p, _ in patterns]
+    flows = route([size for _, size in patterns], members, [round(t) for t in targets], repeats)
+    # where a flow ends, and where one source's stretch of a pattern passes into the next's
+    ends = {(p, e): divmod(e, size) for (p, size), f in zip(patterns, flows, strict=True) for _, e in f.values()}
+    spots = _thresholds(rows, {k: gap for k, (_, gap) in ends.items() if gap})
+    plan, floor = [], -(1 << 63)
+    for k, ((p, _), f) in enumerate(zip(patterns, flows, strict=True)):
+        wanted = max((e for _, e in f.values()), default=0)
+        base, gap = ends.get((p, wanted), (0, 0))
+        low, high, left = spots.get((p, wanted), (None, None, None)) if gap else (None, None, None)
+        stretches, start = [], (0, floor)
+        for s, (_, e) in sorted(f.items(), key=lambda x: x[1]):
+            lap, part = ends[p, e]
+            stop = (repeats, floor) if e == wanted else (lap, spots[p, e][0] if part and (p, e) in spots else floor)
+            stretches.append((names[s], *start, *stop))
+            start = stop
         own = members[k][0]
-        plan.append((list(p[0]), base, over, source_size[own], float(targets[own]), p[1]))
-    schema = "pattern array<string>, base long, extra long, source_size long, target double, whole long"
-    # as many rows as patterns, which the driver already holds
-    small = spark.createDataFrame(plan, schema)
-    rows = rows.join(F.broadcast(small), rows.pattern.eqNullSafe(small.pattern), "left").drop(small.pattern)
-    cut = _thresholds(rows)
-    joined = rows.join(F.broadcast(cut), rows.pattern.eqNullSafe(cut.p), "left")
-    # u in [low, high) is the boundary bin; below it everything is taken once more
-    inside = joined.where((F.col("u") >= F.col("low")) & (F.col("u") <= F.col("high")) & (F.col("size") > 0))
+        plan.append((list(p), base, low, high, left, source_size[own], float(targets[own]), stretches))
+    cut = spark.createDataFrame(plan, "p array<string>, base long, low long, high long, gap long, source_size long, target double, stretches array<struct<source: string, from_lap: long, from_u: long, to_lap: long, to_u: long>>")
 
     def fit(table: pa.Table) -> pa.Table:
         left = table.column("gap")[0].as_py()
-        order = sorted(zip(table.column("u").to_pylist(), table.column("doc_id").to_pylist(), table.column("size").to_pylist(), strict=True), key=lambda x: (x[0], x[1] is None, x[1]))
-        ids, us, picks = [], [], []
-        seen = {}
-        for u, d, size in order:
-            take = size <= left
-            left -= size * take
-            seen[d, u] = seen.get((d, u), 0) + take
-        for (d, u), n in seen.items():
-            if n:
-                ids.append(d)
-                us.append(u)
-                picks.append(n)
-        return pa.table({"pd": pa.array(ids, pa.int64()), "pu": pa.array(us, pa.int64()), "picks": pa.array(picks, pa.int64())})
-
-    picked = inside.select("pattern", "doc_id", "u", "size", "gap").groupBy("pattern").applyInArrow(fit, "pd long, pu long, picks long")
-    # Repeated rows in the boundary bin: the first `picks` of them are taken.
-    edge = inside.select("pattern", "doc_id", "size", "u", "base", "source_size", "target")
-    edge = edge.join(picked, edge.doc_id.eqNullSafe(picked.pd) & (edge.u == picked.pu), "left")
-    edge = edge.withColumn("k", F.expr("row_number() over (partition by u, doc_id order by size)"))
-    edge = edge.withColumn("once", (F.col("k") <= F.coalesce("picks", F.lit(0))).cast("long"))
-    rest = joined.where(~((F.col("u") >= F.coalesce("low", F.lit(1))) & (F.col("u") <= F.coalesce("high", F.lit(0))) & (F.col("size") > 0)))
-    rest = rest.withColumn("once", F.coalesce((F.col("u") < F.col("low")).cast("long"), F.lit(0)))
-    cols = ["doc_id", "pattern", "size", "source_size", "target", (F.col("size") * (F.col("base") + F.col("once"))).alias("taken"), "u"]
-    return rest.select(*cols).unionByName(edge.select(*cols))
+        order = sorted(zip(*(table.column(c).to_pylist() for c in ("u", "doc_id", "size", "n")), strict=True), key=lambda x: (x[0], x[1] is None, x[1], x[2]))
+        picks = []
+        for _, _, size, n in order:
+            picks.append(min(n, left // size))
+            left -= size * picks[-1]
+        return pa.table({"pd": pa.array([x[1] for x in order], pa.int64()), "pu": pa.array([x[0] for x in order], pa.int64()), "n": pa.array([x[3] for x in order], pa.int64()), "picks": pa.array(picks, pa.int64())})
+
+    inside = rows.join(F.broadcast(cut), rows.pattern.eqNullSafe(cut.p)).where("u >= low and u <= high and size > 0")
+    inside = inside.groupBy("pattern", "doc_id", "u", "size", "gap").agg(F.count("*").alias("n"))  # repeated rows are one
+    return cut, materialize(inside.groupBy("pattern").applyInArrow(fit, "pd long, pu long, n long, picks long"))
+
 
+def _thresholds(rows: DataFrame, todo: dict[tuple, int]) -> dict[tuple, tuple[int, int, int]]:
+    """(low, high, gap) for each (pattern, place): the boundary bin of u, and the words still missing at its start.
 
-def _thresholds(rows: DataFrame) -> DataFrame:
-    """(p, low, high, gap) for each pattern that is taken in part: the boundary bin of u and the words left for it."""
+    `todo` holds the words of the pattern's documents before the place. Histograms of BINS bins, aggregated partially,
+    narrow a place down to a bin of BIN_ROWS documents at most or of repeated rows alone.
+    """
     spark = rows.sparkSession
-    todo = {}
-    for r in rows.where("extra > 0").select("pattern", "extra").distinct().collect():
-        todo[tuple(r[0])] = (-(1 << 63), (1 << 63) - 1, r[1])
-    done: dict[tuple, tuple] = {}
-    schema = "p array<string>, low long, high long, gap long"
-    make = lambda d: spark.createDataFrame([(list(p), *v) for p, v in d.items()], schema)
-    while todo:
-        bounds = make(todo)
+    open_ = {k: (-(1 << 63), (1 << 63) - 1, gap) for k, gap in todo.items()}
+    done: dict[tuple, tuple[int, int, int]] = {}
+    while open_:
+        keys = list(open_)
+        bounds = spark.createDataFrame([(list(k[0]), i, *open_[k]) for i, k in enumerate(keys)], "p array<string>, i int, low long, high long, gap long")
         # (u - low) / width without overflow: in decimal
         width = F.expr("cast(high as decimal(20)) - cast(low as decimal(20)) + 1")
         spot = F.expr("cast(u as decimal(20)) - cast(low as decimal(20))")
         binned = rows.join(F.broadcast(bounds), rows.pattern.eqNullSafe(bounds.p)).where("u >= low and u <= high and size > 0")
         binned = binned.withColumn("bin", F.floor(spot.cast("double") / width.cast("double") * BINS).cast("int"))
-        counts = binned.groupBy("p", "bin").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("u").alias("lo"), F.max("u").alias("hi")).collect()
+        counts = binned.groupBy("i", "bin").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("u").alias("lo"), F.max("u").alias("hi")).collect()
         following = {}
-        for p, (_, _, gap) in todo.items():
-            mine = sorted((r for r in counts if tuple(r.p) == p), key=lambda r: r.bin)
-            for k, r in enumerate(mine):
+        for i, k in enumerate(keys):
+            gap = open_[k][2]
+            mine = sorted((r for r in counts if r.i == i), key=lambda r: r.bin)
+            for j, r in enumerate(mine):
                 if r.size > gap:
                     if r.n <= BIN_ROWS or r.lo == r.hi:
                         n, hi = r.n, r.hi
-                        for later in mine[k + 1 :]:  # more documents to fit into the gap
+                        for later in mine[j + 1 :]:  # more documents to fit into the gap
                             if n + later.n > BIN_ROWS:
                                 break
                             n, hi = n + later.n, later.hi
-                        done[p] = (r.lo, hi, gap)
+                        done[k] = (r.lo, hi, gap)
                     else:
-                        following[p] = (r.lo, r.hi, gap)
+                        following[k] = (r.lo, r.hi, gap)
                     break
                 gap -= r.size
-        todo = following
-    return make(done)
-
-
-def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The mixture itself: rows of `docs`, all columns, each as many times as `mix_sources` takes it (perhaps none)."""
-    plan = mix_sources(docs, seed=seed, id_col=id_col, text_col=text_col, **how).where("taken > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("u").alias("__u")).agg(F.sum(F.expr("taken div size")).alias("__copies"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.withColumn("__u", F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), text)).withColumn("__key", F.col(id_col).cast("long"))
-    own = own.withColumn("__nth", F.expr("row_number() over (partition by __u, __key order by __u)")).where("__nth = 1")
-    taken = own.join(plan, own["__key"].eqNullSafe(plan["__id"]) & (own["__u"] == plan["__u"]))
-    return taken.withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)"))).select(*docs.columns)
+        open_ = following
+    return done
+
+
+_PAID = "transform(stretches, s -> struct(s.source as source, size * size(filter(sequence(0L, times - 1), k -> (k > s.from_lap or (k = s.from_lap and u >= s.from_u)) and (k < s.to_lap or (k = s.to_lap and u < s.to_u)))) as taken))"
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: Fraction = Fraction(3, 2), repeats: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", sources: str = "array(source)") -> DataFrame:
+    """Rows (doc_id, pattern, size, source_size, target, taken, u, credited), one for each input row.
+
+    `sources` is SQL for a document's array of sources, which may overlap; a null source is one of its own, last in
+    order. Quotas share `share` times all words by the repeating `weights`, in code point order of the sources, each
+    `repeats` times its source at most. Documents meet their quotas through `route`: all documents of a pattern are
+    taken k times, and a seeded choice of them once more, up to the flow that the pattern got; `taken` is a multiple
+    of size, and `credited` says how much of it counts for which source, along the flow's arcs. The choice is a
+    threshold on a seeded hash: histograms of BINS bins (partially aggregated, however hot a source is) find the bin
+    in which the flow ends, again inside that bin until it has BIN_ROWS documents at most, and join the next bins up
+    to that number; of these, documents are taken in seeded order while they fit. So a pattern misses its flow by
+    less than its last bin's shortest document left out, and no task sees more than a bin; where two sources share a
+    pattern, their stretches meet within a bin's width. source_size and target are those of the pattern's first source.
+
+    Repeated rows with one id and text share their fate unless the last bin divides them. Texts that are null or
+    have no word take nothing. The driver holds one row for each pattern. An empty table gives no rows.
+    """
+    rows = materialize(sized(docs, id_col, text_col, sources, seed))
+    cut, picked = _plan(rows, weights, share, repeats)
+    joined = rows.join(F.broadcast(cut), rows.pattern.eqNullSafe(cut.p), "left")  # as many rows as patterns
+    within = F.expr("coalesce(u >= low and u <= high and size > 0, false)")
+    rest = joined.where(~within).withColumn("times", F.expr("if(size > 0, base + cast(coalesce(u < low, false) as long), 0L)"))
+    # a group of repeated rows is one until here
+    edge = joined.where(within).groupBy("doc_id", "pattern", "size", "u", "base", "source_size", "target", "stretches").agg(F.count("*").alias("many"))
+    edge = edge.join(F.broadcast(picked), edge.doc_id.eqNullSafe(picked.pd) & (edge.u == picked.pu), "left")  # BIN_ROWS for each pattern
+    edge = edge.withColumn("k", F.explode(F.expr("sequence(1L, many)"))).withColumn("times", F.expr("base + cast(k <= coalesce(picks, 0) as long)"))
+    credited = F.expr(f"if(times > 0, {_PAID}, array())").alias("credited")
+    cols = ["doc_id", "pattern", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "u", credited]
+    return rest.select(*cols).unionByName(edge.select(*cols))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: Fraction = Fraction(3, 2), repeats: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", sources: str = "array(source)") -> DataFrame:
+    """The mixture itself: rows of `docs`, all columns, each as many times as `mix_sources` takes it (perhaps none).
+
+    The plan is made on narrow rows; texts are read once more and decided where they lie, against a row for each
+    pattern and BIN_ROWS picks at most for each. Only repeated rows that the last bin divides are grouped.
+    """
+    rows = materialize(sized(docs, id_col, text_col, sources, seed))
+    cut, picked = _plan(rows, weights, share, repeats)
+    own = docs.withColumns({"__u": _order(seed, id_col, text_col), "__key": F.col(id_col).cast("long"), "__pattern": F.expr(sources), "__words": F.coalesce(F.col(text_col).cast("string").rlike(WORD), F.lit(False))})
+    small = F.broadcast(cut.select(F.col("p").alias("__p"), F.col("base").alias("__base"), F.col("low").alias("__low"), F.col("high").alias("__high")))
+    own = own.where("__words").join(small, F.col("__pattern").eqNullSafe(F.col("__p")))
+    picks = F.broadcast(picked.select(F.col("pd").alias("__pd"), F.col("pu").alias("__pu"), F.col("n").alias("__n"), F.col("picks").alias("__picks")))
+    own = own.join(picks, F.col("__key").eqNullSafe(F.col("__pd")) & (F.col("__u") == F.col("__pu")), "left")
+    more = F.expr("case when __u < __low then 1L when __u > __high or __low is null then 0L when __picks = __n then 1L else 0L end")
+    divided = F.expr("coalesce(__u >= __low and __u <= __high and __picks > 0 and __picks < __n, false)")
+    out = own.where(~divided).withColumn("__copies", F.col("__base") + more)
+    if not picked.where("picks > 0 and picks < n").isEmpty():
+        parts = own.where(divided).withColumn("__order", whole_row_hash(docs)).groupBy(*docs.columns, "__u", "__key", "__base", "__picks", "__order").agg(F.count("*").alias("__many"))
+        before = F.expr("coalesce(sum(__many) over (partition by __u, __key order by __order rows between unbounded preceding and 1 preceding), 0)")
+        parts = parts.withColumn("__copies", F.col("__base") * F.col("__many") + F.least("__many", F.greatest(F.col("__picks") - before, F.lit(0))))
+        out = out.select(*docs.columns, "__copies").unionByName(parts.select(*docs.columns, "__copies"))
+    return out.where("__copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)"))).select(*docs.columns)
