@@ -117,34 +117,62 @@ def _by_key(batches, column: int):
         yield pa.Table.from_batches(held)
 
 
-def _collapse(batches, hot: int = HOT):
-    """Second pass, an anchor's contexts together: later copies of a context are removals; of anchors with several
-    contexts the first occurrences go on to be sorted."""
+def _collapse(batches, hot: int = HOT, most: int = 1 << 16):
+    """Second pass, over rows sorted by anchor and context: later copies of a context are removals; of anchors with
+    several contexts the first occurrences go on to be sorted.
+
+    Held are some `most` rows, and of the anchor that is open the first occurrence of each context until they are more
+    than `hot`, then that of the open context alone: an anchor may be of any size.
+    """
     names = ["anchor", "doc_id", "u", "place"]
-    for table in _by_key(batches, 0):
-        if table is None or not table.num_rows:
-            continue
-        a, c, d, u, p = (table.column(k).to_numpy() for k in range(5))
+    carry, crowded = [np.zeros(0, np.int64)] * 5, None
+
+    def settle(parts, last: bool):
+        nonlocal carry, crowded
+        a, c, d, u, p = (np.concatenate(x) for x in zip(carry, *parts, strict=True))
+        carry = [np.zeros(0, np.int64)] * 5
         over = (p & GONE) > 0
         if over.any():
             yield pa.record_batch([np.zeros(int(over.sum()), np.int64), d[over], u[over], p[over]], names)
         a, c, d, u, p = (x[~over] for x in (a, c, d, u, p))
         if not len(a):
-            continue
+            return
         order = _by_text(d, u, p & START, c, a)
         a, c, d, u, p = a[order], c[order], d[order], u[order], p[order]
         new_a = np.ones(len(a), bool)
         new_a[1:] = a[1:] != a[:-1]
         first = new_a.copy()
         first[1:] |= c[1:] != c[:-1]
-        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+        at = np.flatnonzero(first)
+        lead = at[np.cumsum(first) - 1]
         gone = _elsewhere(lead, d, u, p & START)
         group = np.cumsum(new_a) - 1
-        kinds = np.bincount(group, weights=first)[group]
-        keep = gone | (first & (kinds > 1))
-        p = p | gone * GONE | (kinds > hot) * HOT_MARK
+        kinds = np.bincount(group, weights=first)
+        if a[0] == crowded:
+            kinds[0] += hot
+        many = kinds[group]
+        held = np.zeros(len(a), bool)
+        if not last:
+            crowded = a[-1] if many[-1] > hot else None
+            if crowded is None:
+                held = first & (group == group[-1])
+            else:
+                held[at[-1]] = True
+            carry = [x[held] for x in (a, c, d, u, p)]
+        keep = gone | (first & (many > 1) & ~held)
+        p = p | gone * GONE | (many > hot) * HOT_MARK
         yield pa.record_batch([np.where(gone, 0, a)[keep], d[keep], u[keep], p[keep]], names)
 
+    parts, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            parts.append([batch.column(k).to_numpy() for k in range(5)])
+            size += batch.num_rows
+        if size >= most:
+            yield from settle(parts, False)
+            parts, size = [], 0
+    yield from settle(parts, True)
+
 
 def _fetch(batches, length: int):
     """Third pass, over texts joined with their wanted contexts: the contexts' bytes, keyed by anchor.
@@ -358,8 +386,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = base.select("doc_id", F.xxhash64("text").alias("u"), "text")
     found = base.where(F.octet_length("text") >= length).mapInArrow(lambda x: _windows(x, length), "key long, context long, doc_id long, u long, place long")
-    dealt = found.repartition("key").sortWithinPartitions("key")
-    settled = materialize(dealt.mapInArrow(lambda x, hot=_collapse.__defaults__[0]: _collapse(x, hot), "anchor long, doc_id long, u long, place long"))
+    dealt = found.repartition("key").sortWithinPartitions("key", "context")
+    settled = materialize(dealt.mapInArrow(lambda x, how=_collapse.__defaults__: _collapse(x, *how), "anchor long, doc_id long, u long, place long"))
     release(spark)
     gone = F.col("place").bitwiseAND(F.lit(GONE)) != 0
     wanted = settled.where(~gone).groupBy("doc_id", "u").agg(F.collect_list(F.struct("anchor", "place")).alias("wanted"))

@@ -41,14 +41,14 @@ def removed_by_force(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("hot", [None, (1, 1 << 16), (1, 3), (2, 7), (1 << 14, 5)])
 def test_substrings(spark, docs, hot, monkeypatch):
     from rillmap.llm import substring_dedup as m
 
     length = 100
     key = lambda r: tuple((v is None, v) for v in r)
     if hot:  # the default reaches executors by value
-        monkeypatch.setattr(m._collapse, "__defaults__", (1,))
+        monkeypatch.setattr(m._collapse, "__defaults__", hot)
     got = m.remove_repeats(docs, length).collect()
     assert sorted((tuple(r) for r in got), key=key) == sorted(removed_by_force(awkward(), length), key=key)
 
