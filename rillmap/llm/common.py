@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +20,13 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; only where none is named (tests, a laptop), a temporary one."""
+    """Use the folder named by spark.checkpoint.dir; only where none is named and all is one machine, a temporary one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = context.getConf().get("spark.checkpoint.dir", None)
+    if not named and not context.master.partition("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
@@ -33,12 +36,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, rounds: int = 3) -> None:
     """Let Spark's cleaner delete shuffle files of plans that a checkpoint has replaced and nothing refers to."""
-    for _ in range(2):  # what the first round finds unreachable may be all that holds on to the rest
+    for k in range(rounds):  # what holds on to a shuffle is itself collected a moment after the first round
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        spark.sparkContext._jvm.System.runFinalization()
+        time.sleep(0.5 if k + 1 < rounds else 0)
 
 
 def whole_row_hash(df: DataFrame) -> Column:
@@ -158,7 +161,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
-        release(spark)
+        release(spark, 1)
     else:
         raise RuntimeError("components did not converge")
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
