@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import components, local_components, materialize, release
 
-NO_ID = (1 << 63) - 1
 #: Distinct vectors that a cell should be home to, and most pivots (drawn from a bounded sample of the vectors).
-CELL, MOST_PIVOTS, SAMPLE = 16384, 1024, 4096
+CELL, MOST_PIVOTS, SAMPLE = 16384, 4096, 16384
 #: A cell with more members is joined in pairs of blocks of this size.
 BLOCK = 32768
 
@@ -99,17 +98,19 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str
     comparison, in blocks.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so do vectors of
-    different widths with each other. Rows that repeat an id are counted as vectors of their own but share a
-    component. A row without an id counts as a vector and never names a component. Extra columns are ignored; an
-    empty table gives no rows.
+    different widths with each other. A class is known by a number of its own, so rows that repeat an id are vectors
+    of their own, each in its own component. A row without an id counts as a vector but never names a component:
+    where all of one lack an id, component_id is null; such rows are never `kept`. Extra columns are ignored; an empty
+    table gives no rows.
     """
     spark = vectors.sparkSession
     angle = math.acos(cosine)
-    rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col(vector_col).alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     rows = rows.withColumn("ok", usable("v"))
-    classes = materialize(rows.where("ok").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    # numbers are those of the checkpoint, and so never change
+    classes = materialize(rows.where("ok").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("rep", F.monotonically_increasing_id()))
     total = classes.count()
-    sample = classes.orderBy(F.xxhash64("v"), "rep").limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
+    sample = classes.orderBy(F.xxhash64("v"), "least").limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
     widths = [len(v) for v in sample]
     width = max(set(widths), key=lambda w: (widths.count(w), w)) if widths else 0
     many = max(1, min(MOST_PIVOTS, -(-total // CELL)))
@@ -168,12 +169,12 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str
     counts = found.where("b is null").groupBy("v").agg(F.sum("n").alias("links"))
     roots = components(found.where("b is not null").select("a", "b"))
     known = classes.join(counts, "v", "left").join(roots, classes.rep == roots.node, "left")
-    known = known.select(F.col("v").alias("own_v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "rep").alias("component"))
+    known = known.select("v", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    named = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("v").alias("own_v"), "n_links", "component_id")
     ok, rest = rows.where("ok"), rows.where("not ok")
-    out = ok.join(known, ok.v == known.own_v).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
+    out = ok.join(named, ok.v == named.own_v).select("vec_id", "n_links", "component_id")
     out = out.unionByName(rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
-    clear = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return out.select(clear("vec_id"), "n_links", clear("component_id"), (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray, held: list) -> tuple[np.ndarray, np.ndarray]:
