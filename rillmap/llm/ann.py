@@ -14,31 +14,35 @@ from .embedding_dedup import matrix, usable
 
 #: Fitting: sampled rows, sampled queries, and the share of their true neighbours that the probes must reach.
 SAMPLE, TRIALS, AIM = 20000, 128, 0.96
+#: Probes of a table; where they do not reach AIM on the sample, every query is answered exactly.
 MOST_PROBES = 4096
-#: Vectors of a table that one task should hold.
-GROUP = 16384
+#: Vectors of a table that one task should hold; queries that it should compare with all vectors of a block.
+GROUP, QUERIES = 16384, 4096
 
 
 class Tables:
     """Hash tables over vectors made unit by one more component, so that nearest means largest inner product.
 
+    Vectors are hashed by bands of their norms, between powers of two, each on its own scale: one long vector does not
+    make the others look alike. A query probes in every band.
+
     Each table has `hashes` functions floor((a.x + b) / w) with Gaussian a. A query's probes follow the order of
     estimated success: the squared distances of its projections to the perturbed sides, with one precomputed
     sequence of perturbation sets over their ranks.
     """
 
-    def __init__(self, width: int, norm: float, tables: int, hashes: int, w: float, seed: int = 23):
+    def __init__(self, width: int, bands: list[int], tables: int, hashes: int, w: float, seed: int = 23):
         rng = np.random.default_rng(seed)
-        self.norm, self.tables, self.hashes, self.w = norm, tables, hashes, w
+        self.bands, self.tables, self.hashes, self.w = bands, tables, hashes, w
         self.a = rng.standard_normal((tables, width + 1, hashes))
         self.b = rng.random((tables, hashes)) * w
         self.mult = rng.integers(1, 1 << 62, (tables, hashes), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.probes = 1
+        self.probes, self.exact, self.visited = 1, False, 0.0
 
     def lift(self, x: np.ndarray, query: bool) -> np.ndarray:
         if query:
             return np.column_stack([x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300), np.zeros(len(x))])
-        x = x / self.norm
+        x = x / np.exp2(band_of(x))[:, None]
         return np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))])
 
     def codes(self, lifted: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,11 +84,25 @@ class Tables:
         return out
 
 
-def fit(sample: np.ndarray, total: int, k: int, norm: float) -> Tables:
-    """Tables for `total` vectors: hashes by log of their number, probes by the sampled queries' recall."""
+def band_of(x: np.ndarray) -> np.ndarray:
+    """The least power of two, as its exponent, that is not below a vector's norm."""
+    return np.ceil(np.log2(np.sqrt((x * x).sum(1)))).astype(np.int64)
+
+
+def banded(code: np.ndarray, band) -> np.ndarray:
+    """Buckets of a band: those of different bands do not meet."""
+    with np.errstate(over="ignore"):
+        return code + np.asarray(band, np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def fit(sample: np.ndarray, total: int, k: int, bands: list[int]) -> Tables:
+    """Tables for `total` vectors: hashes by log of their number, probes by the sampled queries' recall.
+
+    `exact` says that MOST_PROBES do not reach AIM, `visited` which share of the sample the probes visit.
+    """
     many = 4
     hashes = int(np.clip(round(np.log2(max(total, 64)) * 0.62), 3, 16))
-    tables = Tables(sample.shape[1], norm, many, hashes, 2.4)
+    tables = Tables(sample.shape[1], bands, many, hashes, 2.4)
     queries = sample[:: max(1, len(sample) // TRIALS)][:TRIALS]
     true = np.argsort(-(queries @ sample.T), axis=1, kind="stable")[:, 1 : k + 1]
     sequence = tables.sequence(MOST_PROBES)
@@ -99,29 +117,49 @@ def fit(sample: np.ndarray, total: int, k: int, norm: float) -> Tables:
             rank[q] = np.minimum(rank[q], np.where(probes[q][order[at]] == own[true[q]], order[at], len(sequence)))
     reached = np.sort(rank.ravel())
     need = reached[min(len(reached) - 1, int(np.ceil(AIM * len(reached))))] if len(reached) else 0
+    tables.exact = bool(need >= len(sequence))
     tables.probes = int(min(len(sequence), need + 1))
+    seen = np.zeros((len(queries), len(sample)), bool)
+    for t in range(many):
+        own, _ = tables.codes(data, t)
+        probes = tables.probe_codes(asked, t, sequence[: tables.probes])
+        for q in range(len(queries)):
+            seen[q] |= np.isin(own, probes[q])
+    tables.visited = float(seen.mean()) if seen.size else 0.0
     return tables
 
 
-def _best(query: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, at: np.ndarray, rough: np.ndarray, k: int):
+def _best(query: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, at: np.ndarray, rough: np.ndarray | None, k: int):
     """The k best of the candidates `at`: rough scores choose, one fixed double-precision sum decides, ties to smaller id."""
     if len(at) > 3 * k + 24:
-        top = np.argpartition(-rough, 3 * k + 23)[: 3 * k + 24]
-        at = at[top]
+        rough = x[at] @ query if rough is None else rough[at]
+        at = at[np.argpartition(-rough, 3 * k + 23)[: 3 * k + 24]]
     at = at[ids[at] != own]
     score = (x[at] * query).sum(1)
     order = np.lexsort((ids[at], -score))[:k]
     return ids[at][order], score[order]
 
 
+_FOUND = "query_id long, ids array<long>, scores array<double>"
+
+
+def _table(out: list[tuple]) -> pa.Table:
+    return pa.table({
+        "query_id": pa.array([o[0] for o in out], pa.int64()),
+        "ids": pa.array([o[1] for o in out], pa.list_(pa.int64())),
+        "scores": pa.array([o[2] for o in out], pa.list_(pa.float64())),
+    })
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows (query_id, rank, vec_id, score): each query's k largest inner products found, itself (its id) left out.
 
     All vectors are indexed. The index is fitted on a bounded sample: SAMPLE rows and TRIALS queries choose the
-    number of probes whose recall is AIM; MOST_PROBES bounds it. A table's buckets are dealt to groups of about GROUP
-    vectors; a query goes once to each group in which it probes, with its probed buckets, and each task returns k
-    candidates for it, exactly scored on the original vectors in double precision; the tables' candidates merge.
-    Of equal vectors only the k + 1 smallest ids can ever be among the nearest, and only those are indexed.
+    number of probes whose recall is AIM. A table's buckets are dealt to groups of about GROUP vectors; a query goes
+    once to each group in which it probes, with its probed buckets, and each task returns k candidates for it,
+    exactly scored on the original vectors in double precision; the tables' candidates merge. Queries for which fewer
+    than k were found, and all of them where MOST_PROBES do not reach AIM, are compared with all vectors, in pairs of
+    blocks. Of equal vectors only the k + 1 smallest ids can ever be among the nearest, and only those are indexed.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors without an
     id or of another width than most of the sample. Ties go to the smaller id. Rows that repeat an id and vector
@@ -134,14 +172,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     # repeated rows first, partly aggregated; then WindowGroupLimit cuts a frequent vector's ids before they are shuffled
     distinct = clean(vectors).distinct().withColumn("same", F.expr("row_number() over (partition by v order by id)")).where(f"same <= {k + 1}").select("id", "v")
     data = materialize(distinct)
-    total = data.count()
     sample = data.orderBy(F.xxhash64("id", "v")).limit(SAMPLE).toArrow().column("v").to_pylist()
-    if not total:
+    if not sample:
         return spark.createDataFrame([], schema)
     widths = [len(v) for v in sample]
     width = max(set(widths), key=lambda w: (widths.count(w), w))
-    norm = data.where(F.size("v") == width).agg(F.max(F.expr("aggregate(v, 0D, (s, x) -> s + double(x) * double(x))"))).first()[0] ** 0.5
-    tables = fit(np.array([v for v in sample if len(v) == width], float), total, k, norm)
+    data = data.where(F.size("v") == width)
+    about = data.agg(F.count("*"), F.countDistinct("id"), F.collect_set(F.expr("ceil(log2(sqrt(aggregate(v, 0D, (s, x) -> s + double(x) * double(x)))))"))).first()
+    total, others, bands = about[0], about[1], sorted({b + d for b in about[2] for d in (-1, 0, 1)})  # a neighbour more, as norms are summed in another order here
+    tables = fit(np.array([v for v in sample if len(v) == width], float), total, k, bands)
     groups = max(1, -(-total // GROUP))
     shared = spark.sparkContext.broadcast(tables)
     kind = data.schema["v"].dataType.simpleString()
@@ -150,32 +189,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     def place(batches):
         tables = shared.value
         for batch in batches:
-            lifted = tables.lift(matrix(batch.column(1)), False)
+            x = matrix(batch.column(1))
+            lifted, band = tables.lift(x, False), band_of(x)
             for t in range(tables.tables):
-                code, _ = tables.codes(lifted, t)
+                code = banded(tables.codes(lifted, t)[0], band)
                 lists = pa.ListArray.from_arrays(np.arange(len(code) + 1, dtype=np.int32), pa.array(signed(code.copy())))
                 yield pa.record_batch([np.full(len(code), t, np.int32), (mix(code) % np.uint64(groups)).astype(np.int32), batch.column(0), batch.column(1), lists], names)
 
     def ask(batches):
         tables = shared.value
         sequence = tables.sequence(tables.probes)
-        for batch in batches:
+        for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
             lifted = tables.lift(matrix(batch.column(1)), True)
             for t in range(tables.tables):
-                codes = tables.probe_codes(lifted, t, sequence)
-                group = mix(codes) % np.uint64(groups)
-                for g in range(groups):
-                    q, p = np.nonzero(group == np.uint64(g))
-                    rows, start = np.unique(q, return_index=True)
-                    if not len(rows):
-                        continue
-                    lists = pa.ListArray.from_arrays(np.append(start, len(q)).astype(np.int32), pa.array(signed(codes[q, p])))
-                    some = batch.take(pa.array(rows))
-                    yield pa.record_batch([np.full(len(rows), t, np.int32), np.full(len(rows), g, np.int32), some.column(0), some.column(1), lists], names)
+                base = tables.probe_codes(lifted, t, sequence)
+                codes = np.concatenate([banded(base, b) for b in tables.bands], axis=1)
+                spot = np.repeat(np.arange(len(codes)), codes.shape[1]) * groups + (mix(codes) % np.uint64(groups)).astype(np.int64).ravel()
+                order = np.argsort(spot, kind="stable")
+                spot = spot[order]
+                heads = np.flatnonzero(np.append(True, spot[1:] != spot[:-1]))
+                lists = pa.ListArray.from_arrays(np.append(heads, len(spot)).astype(np.int32), pa.array(signed(codes.ravel()[order])))
+                some = batch.take(pa.array(spot[heads] // groups))
+                yield pa.record_batch([np.full(len(heads), t, np.int32), (spot[heads] % groups).astype(np.int32), some.column(0), some.column(1), lists], names)
 
     names = ["t", "g", "id", "v", "codes"]
-    held = data.where(F.size("v") == width).mapInArrow(place, layout)
-    asked = clean(queries).where(F.size("v") == width).distinct().mapInArrow(ask, layout)
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -185,30 +222,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             order = np.argsort(code, kind="stable")
             ids, x, code = ids[order], x[order], code[order]
             heads = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-            ends, kinds = np.append(heads[1:], len(code)), code[heads]
+            sizes, kinds = np.diff(np.append(heads, len(code))), code[heads]
             probes = right.column("codes").combine_chunks()
             flat, edges = probes.flatten().to_numpy(), probes.offsets.to_numpy()
             edges = edges - edges[0]
             query_ids, queries = right.column("id").to_numpy(), matrix(right.column("v").combine_chunks())
             at = np.minimum(np.searchsorted(kinds, flat), len(kinds) - 1)
             hit = kinds[at] == flat
+            visits = np.concatenate([[0], np.cumsum(np.where(hit, sizes[at], 0))])[edges]
             for lo in range(0, len(queries), 64):
-                rough = queries[lo : lo + 64] @ x.T
-                for q in range(lo, min(lo + 64, len(queries))):
+                hi = min(lo + 64, len(queries))
+                # one product where most rows are visited anyway, else the visited rows alone
+                rough = queries[lo:hi] @ x.T if 8 * (visits[hi] - visits[lo]) > (hi - lo) * len(x) else None
+                for q in range(lo, hi):
                     found = at[edges[q] : edges[q + 1]][hit[edges[q] : edges[q + 1]]]
                     if not len(found):
                         continue
-                    size = ends[found] - heads[found]
+                    size = sizes[found]
                     rows = np.repeat(heads[found] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                    best, score = _best(queries[q], query_ids[q], ids, x, rows, rough[q - lo][rows], k)
-                    out.append((int(query_ids[q]), best, score))
-        return pa.table({
-            "query_id": pa.array([o[0] for o in out], pa.int64()),
-            "ids": pa.array([o[1] for o in out], pa.list_(pa.int64())),
-            "scores": pa.array([o[2] for o in out], pa.list_(pa.float64())),
-        })
+                    out.append((int(query_ids[q]), *_best(queries[q], query_ids[q], ids, x, rows, None if rough is None else rough[q - lo], k)))
+        return _table(out)
 
-    found = held.groupBy("t", "g").cogroup(asked.groupBy("t", "g")).applyInArrow(search, "query_id long, ids array<long>, scores array<double>")
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            ids, x = left.column("id").to_numpy(), matrix(left.column("v").combine_chunks())
+            query_ids, queries = right.column("id").to_numpy(), matrix(right.column("v").combine_chunks())
+            for lo in range(0, len(queries), 64):
+                rough = queries[lo : lo + 64] @ x.T
+                out += [(int(query_ids[lo + q]), *_best(queries[lo + q], query_ids[lo + q], ids, x, np.arange(len(x)), r, k)) for q, r in enumerate(rough)]
+        return _table(out)
 
     def merge(table: pa.Table) -> pa.Table:
         ids = table.column("ids").combine_chunks().flatten().to_numpy()
@@ -220,4 +263,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         n = len(first)
         return pa.table({"query_id": pa.array([table.column("query_id")[0].as_py()] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "vec_id": pa.array(ids[first], pa.int64()), "score": pa.array(score[first], pa.float64())})
 
-    return found.groupBy("query_id").applyInArrow(merge, schema)
+    asking = clean(queries).where(F.size("v") == width).distinct()
+    short, done = asking, None
+    if not tables.exact:
+        found = data.mapInArrow(place, layout).groupBy("t", "g").cogroup(asking.mapInArrow(ask, layout).groupBy("t", "g")).applyInArrow(search, _FOUND)
+        done = materialize(found.groupBy("query_id").applyInArrow(merge, schema))
+        # what is found of fewer than k others is whole only if it is all of them
+        enough = done.groupBy("query_id").count().where(F.col("count") >= min(k, others)).select(F.col("query_id").alias("id"))
+        short = materialize(asking.join(enough, "id", "left_anti"))
+        if short.isEmpty():
+            return done
+    spans = max(1, -(-short.count() // QUERIES))
+    dealt = data.select(F.pmod(F.xxhash64("id", "v"), F.lit(groups)).cast("long").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(spans - 1))).alias("s"), "id", "v")
+    asked = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.pmod(F.xxhash64("id"), F.lit(spans)).cast("int").alias("s"), "id", "v")
+    exact = dealt.groupBy("g", "s").cogroup(asked.groupBy("g", "s")).applyInArrow(compare, _FOUND).groupBy("query_id").applyInArrow(merge, schema)
+    return exact if done is None else done.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(exact)
