@@ -23,7 +23,7 @@ GROUP, QUERIES = 16384, 4096
 class Tables:
     """Hash tables over vectors made unit by one more component, so that nearest means largest inner product.
 
-    Vectors are hashed by bands of their norms, between powers of two, each on its own scale: one long vector does not
+    Vectors are hashed by bands of their norms, which double from one to the next, each on its own scale: one long vector does not
     make the others look alike. A query probes in every band.
 
     Each table has `hashes` functions floor((a.x + b) / w) with Gaussian a. A query's probes follow the order of
@@ -31,9 +31,9 @@ class Tables:
     sequence of perturbation sets over their ranks.
     """
 
-    def __init__(self, width: int, bands: list[int], tables: int, hashes: int, w: float, seed: int = 23):
+    def __init__(self, width: int, norm: float, bands: list[int], tables: int, hashes: int, w: float, seed: int = 23):
         rng = np.random.default_rng(seed)
-        self.bands, self.tables, self.hashes, self.w = bands, tables, hashes, w
+        self.norm, self.bands, self.tables, self.hashes, self.w = norm, bands, tables, hashes, w
         self.a = rng.standard_normal((tables, width + 1, hashes))
         self.b = rng.random((tables, hashes)) * w
         self.mult = rng.integers(1, 1 << 62, (tables, hashes), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -42,7 +42,7 @@ class Tables:
     def lift(self, x: np.ndarray, query: bool) -> np.ndarray:
         if query:
             return np.column_stack([x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300), np.zeros(len(x))])
-        x = x / np.exp2(band_of(x))[:, None]
+        x = x / (self.norm * np.exp2(-band_of(x, self.norm)))[:, None]
         return np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))])
 
     def codes(self, lifted: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,9 +84,9 @@ class Tables:
         return out
 
 
-def band_of(x: np.ndarray) -> np.ndarray:
-    """The least power of two, as its exponent, that is not below a vector's norm."""
-    return np.ceil(np.log2(np.sqrt((x * x).sum(1)))).astype(np.int64)
+def band_of(x: np.ndarray, norm: float) -> np.ndarray:
+    """How many times each vector's norm can be doubled without passing the largest norm."""
+    return np.maximum(np.floor(np.log2(norm / np.sqrt((x * x).sum(1)))), 0).astype(np.int64)
 
 
 def banded(code: np.ndarray, band) -> np.ndarray:
@@ -95,14 +95,14 @@ def banded(code: np.ndarray, band) -> np.ndarray:
         return code + np.asarray(band, np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def fit(sample: np.ndarray, total: int, k: int, bands: list[int]) -> Tables:
+def fit(sample: np.ndarray, total: int, k: int, norm: float, bands: list[int]) -> Tables:
     """Tables for `total` vectors: hashes by log of their number, probes by the sampled queries' recall.
 
     `exact` says that MOST_PROBES do not reach AIM, `visited` which share of the sample the probes visit.
     """
     many = 4
     hashes = int(np.clip(round(np.log2(max(total, 64)) * 0.62), 3, 16))
-    tables = Tables(sample.shape[1], bands, many, hashes, 2.4)
+    tables = Tables(sample.shape[1], norm, bands, many, hashes, 2.4)
     queries = sample[:: max(1, len(sample) // TRIALS)][:TRIALS]
     true = np.argsort(-(queries @ sample.T), axis=1, kind="stable")[:, 1 : k + 1]
     sequence = tables.sequence(MOST_PROBES)
@@ -178,9 +178,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     widths = [len(v) for v in sample]
     width = max(set(widths), key=lambda w: (widths.count(w), w))
     data = data.where(F.size("v") == width)
-    about = data.agg(F.count("*"), F.countDistinct("id"), F.collect_set(F.expr("ceil(log2(sqrt(aggregate(v, 0D, (s, x) -> s + double(x) * double(x)))))"))).first()
-    total, others, bands = about[0], about[1], sorted({b + d for b in about[2] for d in (-1, 0, 1)})  # a neighbour more, as norms are summed in another order here
-    tables = fit(np.array([v for v in sample if len(v) == width], float), total, k, bands)
+    length = F.expr("sqrt(aggregate(v, 0D, (s, x) -> s + double(x) * double(x)))")
+    total, others, norm = data.agg(F.count("*"), F.countDistinct("id"), F.max(length)).first()
+    down = F.log2(F.lit(norm) / length)  # both bands of a norm that lies between two, as norms are summed in another order elsewhere
+    near = data.select(F.explode(F.array(F.floor(down - 1e-9), F.floor(down + 1e-9))).alias("band")).distinct().collect()  # a row for each power of two
+    tables = fit(np.array([v for v in sample if len(v) == width], float), total, k, norm, sorted({max(0, r.band) for r in near}))
     groups = max(1, -(-total // GROUP))
     shared = spark.sparkContext.broadcast(tables)
     kind = data.schema["v"].dataType.simpleString()
@@ -190,7 +192,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         tables = shared.value
         for batch in batches:
             x = matrix(batch.column(1))
-            lifted, band = tables.lift(x, False), band_of(x)
+            lifted, band = tables.lift(x, False), band_of(x, tables.norm)
             for t in range(tables.tables):
                 code = banded(tables.codes(lifted, t)[0], band)
                 lists = pa.ListArray.from_arrays(np.arange(len(code) + 1, dtype=np.int32), pa.array(signed(code.copy())))

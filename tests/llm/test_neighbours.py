@@ -64,5 +64,6 @@ def test_few_visits():
     rng = np.random.default_rng(3)
     x = (rng.standard_normal((100, 1, 16)) + 0.15 * rng.standard_normal((100, 40, 16))).reshape(-1, 16)
     rng.shuffle(x)
-    tables = fit(x, len(x), 20, sorted(set(band_of(x).tolist())))
-    assert not tables.exact and tables.visited < 0.25
+    norm = float(np.linalg.norm(x, axis=1).max())
+    tables = fit(x, len(x), 20, norm, sorted(set(band_of(x, norm).tolist())))
+    assert not tables.exact and tables.visited < 0.5
