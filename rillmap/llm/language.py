@@ -68,11 +68,12 @@ def train(labelled: DataFrame, text_col: str, lang_col: str) -> tuple[list[str],
     return names, np.log(table / table.sum(0)).astype(np.float32)
 
 
-def infer(like: np.ndarray, heads: np.ndarray, rounds: int = 8, penalty: float = 3.0, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def infer(like: np.ndarray, heads: np.ndarray, rounds: int = 8, penalty: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
     """(language, its proportion) of each document, from its words' log likelihoods (words x languages).
 
     Expectation-maximisation fits all languages' proportions; their order gives nested language sets, each fitted
-    again; the set with the best log likelihood less `penalty` * log(words) a further language is chosen.
+    again; the set with the best log likelihood less `penalty` * log(words) a further language is chosen. A
+    document's sets grow until two in a row were no better, up to all languages.
     """
     docs, langs = len(heads), like.shape[1]
     sizes = np.diff(np.append(heads, len(like)))
@@ -92,15 +93,18 @@ def infer(like: np.ndarray, heads: np.ndarray, rounds: int = 8, penalty: float =
 
     share, _ = fit(np.ones((docs, langs)), rounds)
     rank = np.argsort(-share, axis=1, kind="stable")
-    best, chosen = np.full(docs, -np.inf), share
-    for k in range(1, min(most, langs) + 1):
+    best, chosen, worse = np.full(docs, -np.inf), share, np.zeros(docs, np.int64)
+    for k in range(1, langs + 1):
         allowed = np.zeros((docs, langs))
         np.put_along_axis(allowed, rank[:, :k], 1.0, axis=1)
         fitted, score = fit(allowed, 4 if k > 1 else 0)
         score = score - penalty * (k - 1) * np.log(sizes + 1)
-        better = score > best
+        better = (score > best) & (worse < 2)
         best = np.where(better, score, best)
         chosen = np.where(better[:, None], fitted, chosen)
+        worse = np.where(better, 0, worse + 1)
+        if (worse >= 2).all():
+            break
     lang = chosen.argmax(1)
     return lang, np.clip(chosen[np.arange(docs), lang], 0, 1)
 
