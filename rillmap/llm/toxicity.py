@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .common import Substrings, mix, runs, text_blocks
 
 BITS = 17
-CHAIN = 128
+#: Tokens of a stretch: what runs step by step is done for all stretches together; training takes each for itself.
+STRETCH = 128
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -18,7 +19,7 @@ _LOWER[65:91] += 32
 
 
 class Tokens:
-    """Lower-cased word tokens of a block of texts: hashed features, places, and chains of CHAIN tokens at most."""
+    """Lower-cased word tokens of a block of texts: hashed features, places, and stretches of STRETCH tokens at most."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
         inside = _TOKEN[data]
@@ -44,22 +45,25 @@ class Tokens:
         with np.errstate(over="ignore"):
             self.features = np.stack([(mix(h + np.uint64(k + 1)) >> np.uint64(64 - BITS)).astype(np.int32) for k, h in enumerate([self.word, *heads, tail, before, after])])
         at = np.arange(n) - np.concatenate([[0], np.flatnonzero(np.diff(self.text)) + 1])[np.cumsum(np.append(0, np.diff(self.text) != 0)[:n])] if n else np.zeros(0, np.int64)
-        self.slot = at % CHAIN
+        self.slot = at % STRETCH
+        self.head = (at == 0)[self.slot == 0]  # whether a stretch begins its text
         self.chain = np.cumsum(self.slot == 0) - 1
         self.lengths = np.bincount(self.chain) if n else np.zeros(0, np.int64)
 
 
-def marginals(score: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(score: np.ndarray, lengths: np.ndarray, trans: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over padded chains (chains x steps) of one toxic state against one clean state.
 
-    (probability of the toxic state, sum of pair marginals, log partition). Messages are scaled at each step.
+    (probability of the toxic state, sum of pair marginals, log partition). Messages are scaled at each step. `before`
+    and `after` (2 x chains) are the messages that reach a chain's first token and its last.
     """
     s, t = score.shape
+    before, after = np.ones((2, s)) if before is None else before, np.ones((2, s)) if after is None else after
     e = np.exp(np.clip(score, -30, 30))
     m = np.exp(trans)
     alpha, scale = np.ones((t, 2, s)), np.ones((t, s))
     for k in range(t):
-        a0, a1 = (np.ones(s), np.ones(s)) if k == 0 else (alpha[k - 1, 0] * m[0, 0] + alpha[k - 1, 1] * m[1, 0], alpha[k - 1, 0] * m[0, 1] + alpha[k - 1, 1] * m[1, 1])
+        a0, a1 = (before[0], before[1]) if k == 0 else (alpha[k - 1, 0] * m[0, 0] + alpha[k - 1, 1] * m[1, 0], alpha[k - 1, 0] * m[0, 1] + alpha[k - 1, 1] * m[1, 1])
         a1 = a1 * e[:, k]
         scale[k] = a0 + a1
         alpha[k, 0], alpha[k, 1] = a0 / scale[k], a1 / scale[k]
@@ -68,11 +72,12 @@ def marginals(score: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tupl
     p = np.zeros((s, t))
     for k in range(t - 1, -1, -1):
         live = k < lengths - 1
+        beta[k] = after
         if k < t - 1:
             b0, b1 = beta[k + 1, 0], beta[k + 1, 1] * e[:, k + 1]
             n0, n1 = m[0, 0] * b0 + m[0, 1] * b1, m[1, 0] * b0 + m[1, 1] * b1
             z = alpha[k, 0] * n0 + alpha[k, 1] * n1
-            beta[k, 0], beta[k, 1] = np.where(live, n0 / z, 1), np.where(live, n1 / z, 1)
+            beta[k, 0], beta[k, 1] = np.where(live, n0 / z, after[0]), np.where(live, n1 / z, after[1])
             for i in (0, 1):
                 pairs[i, 0] += (alpha[k, i] * m[i, 0] * b0 / z)[live].sum()
                 pairs[i, 1] += (alpha[k, i] * m[i, 1] * b1 / z)[live].sum()
@@ -81,6 +86,36 @@ def marginals(score: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tupl
     return p, pairs, (np.log(scale) * mask).sum(0)
 
 
+def messages(score: np.ndarray, lengths: np.ndarray, head: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(before, after) of each stretch of whole chains: stretches (rows of `score`) follow each other, `head` begins one.
+
+    Each stretch is the product of its tokens' 2 x 2 matrices, all stretches step by step together; then messages pass
+    from stretch to stretch, all chains together.
+    """
+    n, t = score.shape
+    e = np.exp(np.clip(score, -30, 30))
+    m = np.exp(trans)
+    u = np.zeros((n, 2, 2))
+    u[:, 0, 0], u[:, 1, 1] = 1, e[:, 0]
+    for k in range(1, t):
+        live = k < lengths
+        step = u[live] @ m
+        step[:, :, 1] *= e[live, k, None]
+        u[live] = step / step.sum((1, 2), keepdims=True)
+    before, after = np.ones((n, 2)), np.ones((n, 2))
+    first = np.flatnonzero(head)
+    many = np.diff(np.append(first, n))
+    for k in range(1, int(many.max(initial=0))):
+        at = first[many > k] + k
+        x = np.einsum("ni,nij->nj", before[at - 1], u[at - 1]) @ m
+        before[at] = x / x.sum(1, keepdims=True)
+    for k in range(int(many.max(initial=0)) - 2, -1, -1):
+        at = first[many > k + 1] + k
+        x = np.einsum("nij,nj->ni", u[at + 1], after[at + 1]) @ m.T
+        after[at] = x / x.sum(1, keepdims=True)
+    return before.T, after.T
+
+
 class ChainField:
     """Weights of hashed token features for the toxic state, and transitions between the two states."""
 
@@ -95,17 +130,21 @@ class ChainField:
         if not len(out):
             return out
         score = self.weight[tokens.features].sum(0) + self.bias
-        chains = len(tokens.lengths)
-        for lo in range(0, chains, 2048):
-            mine = slice(*np.searchsorted(tokens.chain, [lo, min(lo + 2048, chains)]))
-            lengths = tokens.lengths[lo : lo + 2048]
-            padded = np.zeros((len(lengths), lengths.max()))
-            padded[tokens.chain[mine] - lo, tokens.slot[mine]] = score[mine]
-            out[mine] = marginals(padded, lengths, self.trans)[0][tokens.chain[mine] - lo, tokens.slot[mine]]
+        many = len(tokens.lengths)
+        before, after = np.ones((2, many)), np.ones((2, many))
+        parts = [(lo, min(lo + 4096, many)) for lo in range(0, many, 4096)]
+        padded = np.zeros((many, int(tokens.lengths.max())), np.float64)
+        padded[tokens.chain, tokens.slot] = score
+        if not tokens.head.all():
+            before, after = messages(padded, tokens.lengths, tokens.head, self.trans)
+        for lo, hi in parts:
+            mine = slice(*np.searchsorted(tokens.chain, [lo, hi]))
+            p = marginals(padded[lo:hi], tokens.lengths[lo:hi], self.trans, before[:, lo:hi], after[:, lo:hi])[0]
+            out[mine] = p[tokens.chain[mine] - lo, tokens.slot[mine]]
         return out
 
     def train(self, tokens: Tokens, tag: np.ndarray, epochs: int = 6, rate: float = 0.4, ridge: float = 1e-6, seed: int = 5) -> None:
-        """Adaptive gradient steps on the conditional likelihood of the tags, over batches of chains."""
+        """Adaptive gradient steps on the conditional likelihood of the tags, over batches of stretches."""
         rng = np.random.default_rng(seed)
         first = np.searchsorted(tokens.chain, np.arange(len(tokens.lengths)))
         g_w, g_t, g_b = np.full(1 << BITS, 1e-3), np.full((2, 2), 1e-3), 1e-3
@@ -182,7 +221,8 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: tuple[int, int] = (1600, 800), most_bytes: int = 32768) -> ChainField:
-    """A field trained on a bounded sample: `most` clean and toxic labelled texts of `most_bytes` at most, by hash of id."""
+    """A field trained on a bounded sample: of the first `most` clean and toxic labels by hash of id, the distinct texts
+    of `most_bytes` at most."""
     one = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     counts = {r.label: r["count"] for r in one.groupBy("label").count().collect()}
     ids = None
@@ -212,7 +252,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Rows (doc_id, score, spans), one for each input row; spans are byte offsets [start, end) of toxic stretches.
 
     Every token of every text gets its marginal from forward-backward; the largest and the sum of a text's marginals
-    make its score by a calibrated logistic map. Chains end with their text and after CHAIN tokens. `labels`
+    make its score by a calibrated logistic map. A chain is as long as its text. `labels`
     (doc_id, label) follow the rules of the quality operator; without a toxic one all scores are near 0. Null, empty
     and wordless texts have the score of no evidence and no spans. Extra columns are ignored; repeated rows score
     alike; an empty table gives no rows.
