@@ -43,8 +43,8 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify
 
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.expr("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1"))
-    return identify(docs, docs.where("not coalesce(held_out, false)")).select("doc_id", "held_out", "lang_pred", "score")
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.expr("coalesce(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, false)"))
+    return identify(docs, docs.where("not held_out")).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Rows without an id are in no fold that is held out.
+HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, false)"
+
+
 def _split(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("held_out", F.expr("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"))
+    return docs.withColumn("held_out", F.expr(HELD_OUT))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +66,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = _split(table(spark, sf_dir, "documents")), _split(table(spark, sf_dir, "labels"))
     scored = score_quality(docs, labels.where("not held_out").select("doc_id", F.col("quality").alias("label")))
-    return scored.select("doc_id", F.expr("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +92,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = _split(table(spark, sf_dir, "documents")), _split(table(spark, sf_dir, "labels"))
     scored = score_toxicity(docs, labels.where("not held_out").select("doc_id", F.col("toxic").alias("label")))
-    return scored.select("doc_id", F.expr("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
+    return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

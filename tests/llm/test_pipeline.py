@@ -1,14 +1,13 @@
 """The corpus pipeline on small tables, and the trained operators' held-out accuracy."""
 
 import pytest
+from pyspark.sql import functions as F
 
 LABELS = "doc_id long, quality int, toxic int"
 
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
-    from pyspark.sql import functions as F
-
     at = tmp_path_factory.mktemp("corpus")
     good = [f"The {a} of {b} is known. It came from {b} and went to {a}." for a in ("river", "town", "garden", "mountain") for b in ("north", "south", "valley", "lake", "old wood")]
     rows = [(k, f"{good[k % 20]} Part {k} tells of {good[(k * 7 + 3) % 20]}" + (" you idiotic scum" if k % 5 == 0 else ""), "en", "ab"[k % 2], 0) for k in range(120)]
@@ -16,7 +15,6 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
     labels = [(k, int(k < 120), int(k < 120 and k % 5 == 0)) for k in range(0, 160)]
     spark.createDataFrame(labels, LABELS).write.parquet(f"{at}/labels.parquet")
-    assert F
     return str(at)
 
 
@@ -32,7 +30,9 @@ def test_run(spark, folder):
         docs = spark.createDataFrame(out.collect(), out.schema)
         kept.append(docs.count())
     assert kept[1] <= kept[0] <= 163
-    assert corpus_pipeline.run(spark, folder).count() == kept[-1]
+    # where documents are cut depends on how they are read, what is packed does not
+    tokens = lambda pieces: sorted((r.doc_id, r.length) for r in pieces.groupBy("doc_id").agg(F.sum("length").alias("length")).collect())
+    assert tokens(corpus_pipeline.run(spark, folder)) == tokens(docs)
 
 
 def test_secrets_are_redacted(spark, folder):
