@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +26,9 @@ class ComponentConfig:
 
 
 def mean_vector(df: DataFrame, keys: list[str], vector: str, out: str = "vector") -> DataFrame:
-    """(keys, docs, out): element-wise mean of a group's vectors, aggregated partially by position."""
-    size = df.groupBy(*keys).agg(F.count("*").alias("docs"))
-    parts = df.select(*keys, F.posexplode(vector).alias("pos", "x")).groupBy(*keys, "pos").agg(F.avg("x").alias("x"))
-    rows = parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s.x).alias(out))
-    return rows.join(size, keys)
+    """(keys, docs, out): element-wise mean of a group's vectors, aggregated partially."""
+    rows = df.groupBy(*keys).agg(F.count("*").alias("docs"), Summarizer.mean(array_to_vector(F.col(vector))).alias("m"))
+    return rows.select(*keys, "docs", vector_to_array("m").alias(out))
 
 
 def centroids(df: DataFrame, cfg: ComponentConfig = ComponentConfig()) -> DataFrame:
@@ -73,7 +72,7 @@ def group_components(df: DataFrame, cfg: ComponentConfig = ComponentConfig()) ->
 def map_documents(df: DataFrame, meta: DataFrame, cfg: ComponentConfig = ComponentConfig()) -> DataFrame:
     """Documents with their cluster's component; the label is renamed orig_cluster_id."""
     small = meta.select(F.col(cfg.year_col), F.col(cfg.label_col).alias("orig_cluster_id"), "component_tech_id")
-    return df.withColumnRenamed(cfg.label_col, "orig_cluster_id").join(F.broadcast(small), [cfg.year_col, "orig_cluster_id"], "left")  # a row for each cluster
+    return df.withColumnRenamed(cfg.label_col, "orig_cluster_id").join(small, [cfg.year_col, "orig_cluster_id"], "left")
 
 
 def component_stats(meta: DataFrame, cfg: ComponentConfig = ComponentConfig()) -> DataFrame:
@@ -97,16 +96,18 @@ def component_density(meta: DataFrame, vector: str = "z", cfg: ComponentConfig =
 def representative_titles(docs: DataFrame, n: int = 3, keys: tuple[str, ...] = ("year", "cluster_id"), title: str = "title") -> DataFrame:
     """(keys, place, doc_id, title, similarity): the documents nearest to their cluster's mean vector."""
     mean = mean_vector(docs, list(keys), "embedding", "m")
-    rows = docs.join(F.broadcast(mean.drop("docs")), list(keys))  # a row for each cluster
+    rows = docs.join(mean.drop("docs"), list(keys))
     rows = rows.withColumn("similarity", dot(F.col("embedding"), F.col("m")) / (norm(F.col("embedding")) * (norm(F.col("m")) + 1e-9) + 1e-9))
     w = Window.partitionBy(*keys).orderBy(F.desc(F.round("similarity", 9)), "doc_id")
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select(*keys, "place", "doc_id", F.col(title).alias("title"), "similarity")
 
 
 def nearest_centroid(docs: DataFrame, cents: DataFrame) -> DataFrame:
-    """(doc_id, nearest_cluster, similarity): the assignment step within each year."""
-    c = cents.select("year", F.col("cluster_id").alias("nearest_cluster"), "vector")
-    rows = docs.select("doc_id", "year", "embedding").join(F.broadcast(c), "year")  # a row for each cluster
-    rows = rows.withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("vector")), 9))
-    best = F.max_by(F.struct("nearest_cluster", "similarity"), F.struct("similarity", -F.col("nearest_cluster"))).alias("b")
-    return rows.groupBy("doc_id").agg(best).select("doc_id", "b.nearest_cluster", "b.similarity")
+    """(doc_id, nearest_cluster, similarity): the assignment step within each year.
+
+    A year's centroids are one array, so every document finds its own in its row.
+    """
+    c = cents.groupBy("year").agg(F.collect_list(F.struct(F.col("cluster_id").alias("id"), "vector")).alias("cents"))
+    rows = docs.select("doc_id", "year", "embedding").join(c, "year")
+    near = F.array_max(F.transform("cents", lambda x: F.struct(F.round(cosine(F.col("embedding"), x["vector"]), 9).alias("similarity"), (-x["id"]).alias("minus")))).alias("b")
+    return rows.select("doc_id", near).select("doc_id", (-F.col("b.minus")).alias("nearest_cluster"), "b.similarity")

@@ -13,22 +13,24 @@ def flow_panel(edges: DataFrame) -> DataFrame:
     """(flow_id, year, cluster_id, docs): each cluster in the flow of the least (year, cluster) source that reaches it.
 
     Every cluster has one edge onward at most and years only grow, so pointers can double: in round k a cluster hands
-    its least source to the cluster 2^k steps on, and rounds end when no pointer is left, after the logarithm of the
-    number of years. Tables have a row for each cluster. Sources are numbered in (year, cluster) order.
+    its least source to the cluster 2^k steps on, for as many rounds as the logarithm of the years that the edges
+    span. Tables have a row for each cluster. Sources are numbered in (year, cluster) order.
     """
     node = lambda y, c: F.struct(F.col(y).alias("year"), F.col(c).alias("cluster_id"))
     edges = cut(edges)
-    steps = edges.select(node("year_from", "prev_id").alias("n"), node("year_to", "next_id").alias("to"))
-    docs = edges.select(node("year_from", "prev_id").alias("n"), F.col("docs_from").alias("docs")).union(edges.select(node("year_to", "next_id"), "docs_to")).groupBy("n").agg(F.max("docs").alias("docs"))
-    sources = steps.select("n").distinct().join(steps.select(F.col("to").alias("n")), "n", "left_anti")
+    first, last = edges.agg(F.min("year_from"), F.max("year_to")).first()
+    steps = edges.select(node("year_from", "prev_id").alias("n"), node("year_to", "next_id").alias("to"), F.col("docs_from").alias("docs"))
+    ends = edges.select(node("year_to", "next_id").alias("n"), F.lit(None).cast(steps.schema["to"].dataType).alias("to"), F.col("docs_to").alias("docs"))
+    nodes = steps.union(ends).groupBy("n").agg(F.max("to").alias("to"), F.max("docs").alias("docs"))
+    sources = steps.select("n").join(ends.select("n"), "n", "left_anti")
     numbered = sources.withColumn("flow_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("n")) - 1)
-    labels = cut(docs.join(numbered, "n", "left").select("n", "docs", "flow_id"))
-    steps = cut(steps)
-    while not steps.isEmpty():
-        handed = steps.join(labels, "n").groupBy(F.col("to").alias("n")).agg(F.min("flow_id").alias("other"))
-        labels = cut(labels.join(handed, "n", "left").select("n", "docs", F.least("flow_id", "other").alias("flow_id")))
-        steps = cut(steps.join(steps.select(F.col("n").alias("to"), F.col("to").alias("far")), "to").select("n", F.col("far").alias("to")))
-    return labels.select("flow_id", "n.year", "n.cluster_id", "docs")
+    nodes = cut(nodes.join(numbered, "n", "left").select("n", "docs", "flow_id", "to"))
+    for _ in range(max(0, (last or 0) - (first or 0)).bit_length()):
+        handed = nodes.where("to is not null").groupBy(F.col("to").alias("n")).agg(F.min("flow_id").alias("other"))
+        far = nodes.select(F.col("n").alias("to"), F.col("to").alias("far"))
+        moved = nodes.join(handed, "n", "left").join(far, "to", "left")
+        nodes = cut(moved.select("n", "docs", F.least("flow_id", "other").alias("flow_id"), F.col("far").alias("to")))
+    return nodes.select("flow_id", "n.year", "n.cluster_id", "docs")
 
 
 def flow_docs(panel: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def top_flows(panel: DataFrame, n: int) -> DataFrame:
 
 def flow_keywords(panel: DataFrame, terms: DataFrame, top: int = TERMS_PER_FLOW) -> DataFrame:
     """(flow_id, term, score, rank): summed scores of the flow's clusters' top terms."""
-    rows = terms.join(F.broadcast(panel.select("flow_id", "year", "cluster_id")), ["year", "cluster_id"])  # a row for each cluster
+    rows = terms.join(panel.select("flow_id", "year", "cluster_id"), ["year", "cluster_id"])
     summed = rows.where("term <> ''").groupBy("flow_id", F.lower("term").alias("term")).agg(F.sum("tfidf").alias("score"))
     order = Window.partitionBy("flow_id").orderBy(F.desc(F.round("score", 9)), "term")
     return summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def nodes(names: DataFrame, docs: DataFrame, key: str = "id") -> DataFrame:
     """(id, name_en, name_ko, docs): names with their documents, nulls as empty text or 0."""
-    rows = names.join(F.broadcast(docs), key, "left")  # a row for each flow or component
+    rows = names.join(docs, key, "left")
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c.replace("tech_", ""))
     return rows.select(key, text("tech_name_en").alias("name_en"), text("tech_name_ko").alias("name_ko"), F.coalesce("docs", F.lit(0)).alias("docs"))
 
@@ -21,7 +21,7 @@ def edges_compat(docs: DataFrame) -> DataFrame:
 def edges_corrected(docs: DataFrame, panel: DataFrame) -> DataFrame:
     """Documents by (flow, component), through the flow of each document's (year, cluster)."""
     p = panel.select("year", F.col("cluster_id").alias("orig_cluster_id"), "flow_id")
-    rows = docs.where("component_tech_id is not null").join(F.broadcast(p), ["year", "orig_cluster_id"])  # a row for each cluster
+    rows = docs.where("component_tech_id is not null").join(p, ["year", "orig_cluster_id"])
     return rows.groupBy(F.col("flow_id").alias("from_element_id"), F.col("component_tech_id").alias("to_component_id")).agg(F.count("*").alias("weight"))
 
 

@@ -9,44 +9,46 @@ from pyspark.sql import functions as F
 
 from rillmap.config import KEYWORDS_OVERALL, MAX_FEATURES, TERMS_PER_CLUSTER
 from rillmap.functions.text import ngrams, tokens
+from rillmap.operators.lineage import cut
 
 
-def term_counts(docs: DataFrame, text: Column, scope: Sequence[str] = (), key: str = "doc_id") -> DataFrame:
-    """(scope, key, term, tf): unigrams and bigrams of each document, counted after a map-side explode."""
-    grams = docs.select(*scope, key, F.explode(ngrams(tokens(text))).alias("term"))
-    return grams.groupBy(*scope, key, "term").agg(F.count("*").alias("tf"))
+def term_counts(docs: DataFrame, text: Column, scope: Sequence[str] = (), key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
+    """(scope, key, carry, term, tf): unigrams and bigrams of each document, counted after a map-side explode."""
+    grams = docs.select(*scope, key, *carry, F.explode(ngrams(tokens(text))).alias("term"))
+    return grams.groupBy(*scope, key, *carry, "term").agg(F.count("*").alias("tf"))
 
 
 def _on(scope: Sequence[str]):
     return list(scope)
 
 
-def document_frequency(tf: DataFrame, docs: DataFrame, scope: Sequence[str] = (), standard: bool = True, max_share: float = 0.95, max_features: int | None = MAX_FEATURES) -> DataFrame:
+def document_frequency(tf: DataFrame, docs: DataFrame, scope: Sequence[str] = (), standard: bool = True, max_share: float = 0.95, max_features: int | None = MAX_FEATURES, sizes: DataFrame | None = None) -> DataFrame:
     """(scope, term, df, tf_sum, n): the vocabulary of each scope.
 
     `standard` prunes terms in fewer than 3 documents (1 below 20 documents) or in more than `max_share` of them (all
     allowed up to 20); without it only `max_share` holds. A scope that would keep no term keeps all. The most
-    frequent `max_features` remain. n counts all documents, also those without a token.
+    frequent `max_features` remain. n counts all documents, also those without a token; `sizes` (scope, n) where it is
+    known already.
     """
-    n = docs.groupBy(*scope).agg(F.count("*").alias("n"))
+    n = sizes if sizes is not None else docs.groupBy(*scope).agg(F.count("*").alias("n"))
     terms = tf.groupBy(*scope, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf_sum"))
-    terms = terms.join(F.broadcast(n), _on(scope)) if scope else terms.crossJoin(n)  # one row for each scope
+    terms = terms.join(n, _on(scope)) if scope else terms.crossJoin(n)  # one row for each scope
     least = F.when(F.col("n") < 20, 1).otherwise(3) if standard else F.lit(1)
     most = F.when(F.col("n") <= 20, F.col("n").cast("double")).otherwise(F.col("n") * max_share) if standard else F.col("n") * max_share
     terms = terms.withColumn("fits", (F.col("df") >= least) & (F.col("df") <= most))
     fits = terms.groupBy(*scope).agg(F.bool_or("fits").alias("any_fits"))
-    terms = (terms.join(F.broadcast(fits), _on(scope)) if scope else terms.crossJoin(fits)).where("fits or not any_fits")
+    terms = (terms.join(fits, _on(scope)) if scope else terms.crossJoin(fits)).where("fits or not any_fits")
     if max_features:
         w = Window.partitionBy(*scope).orderBy(F.desc("tf_sum"), "term") if scope else Window.partitionBy(F.lit(1)).orderBy(F.desc("tf_sum"), "term")
         terms = terms.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max_features)
     return terms.select(*scope, "term", "df", "tf_sum", "n")
 
 
-def weights(tf: DataFrame, vocabulary: DataFrame, scope: Sequence[str] = (), key: str = "doc_id") -> DataFrame:
-    """(scope, key, term, w): tf * (ln((1 + n) / (1 + df)) + 1), scaled to length one for each document."""
+def weights(tf: DataFrame, vocabulary: DataFrame, scope: Sequence[str] = (), key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
+    """(scope, key, carry, term, w): tf * (ln((1 + n) / (1 + df)) + 1), scaled to length one for each document."""
     raw = tf.join(vocabulary, [*scope, "term"]).withColumn("raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*scope, key)))
-    return raw.select(*scope, key, "term", (F.col("raw") / length).alias("w"))
+    return raw.select(*scope, key, *carry, "term", (F.col("raw") / length).alias("w"))
 
 
 def cluster_counts(docs: DataFrame, year: str = "year", cluster: str = "cluster_id") -> DataFrame:
@@ -62,17 +64,17 @@ def cluster_terms(docs: DataFrame, text: Column, scope: Sequence[str] = ("year",
     `include_zero` asks for the padding.
     """
     scope = list(scope)
-    tf = term_counts(docs, text, scope)
-    vocabulary = document_frequency(tf, docs, scope)
-    w = weights(tf, vocabulary, scope)
-    labels = docs.select(*scope, "doc_id", cluster)
-    size = docs.groupBy(*scope, cluster).agg(F.count("*").alias("docs"))
-    summed = w.join(labels, [*scope, "doc_id"]).groupBy(*scope, cluster, "term").agg(F.sum("w").alias("total"))
-    scored = summed.join(F.broadcast(size), [*scope, cluster]).withColumn("tfidf", F.col("total") / F.col("docs"))  # a row for each cluster
+    # texts are read and tokenised once; a row for each cluster
+    tf = cut(term_counts(docs, text, scope, carry=[cluster]))
+    size = cut(docs.groupBy(*scope, cluster).agg(F.count("*").alias("docs")))
+    vocabulary = document_frequency(tf, docs, scope, sizes=size.groupBy(*scope).agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n")))
+    w = weights(tf, vocabulary, scope, carry=[cluster])
+    summed = w.groupBy(*scope, cluster, "term").agg(F.sum("w").alias("total"))
+    scored = summed.join(size, [*scope, cluster]).withColumn("tfidf", F.col("total") / F.col("docs"))
     if include_zero:
         # a cluster lacks `top` terms only if the scope's first `top` terms in order fill it up
         pads = vocabulary.withColumn("k", F.row_number().over(Window.partitionBy(*(scope or [F.lit(1)])).orderBy("term"))).where(F.col("k") <= 2 * top)
-        pads = (pads.join(F.broadcast(size), scope) if scope else pads.crossJoin(size)).select(*scope, cluster, "term", "docs").withColumn("tfidf", F.lit(0.0))
+        pads = (pads.join(size, scope) if scope else pads.crossJoin(size)).select(*scope, cluster, "term", "docs").withColumn("tfidf", F.lit(0.0))
         scored = scored.select(*scope, cluster, "term", "docs", "tfidf").unionByName(pads).groupBy(*scope, cluster, "term", "docs").agg(F.max("tfidf").alias("tfidf"))
     order = Window.partitionBy(*scope, cluster).orderBy(F.desc(F.round("tfidf", 9)), "term")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(*scope, cluster, "term", "tfidf", "docs", "rank")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmap.config import MATCH_THRESHOLD
+from rillmap.operators.lineage import cut
 from rillmap.operators.tfidf import document_frequency, term_counts, weights
 
 
@@ -19,7 +20,7 @@ def year_pairs(docs: DataFrame) -> DataFrame:
 
 def pair_documents(docs: DataFrame, text: Column) -> DataFrame:
     """Every document in the one or two year pairs that hold its year, with its side (0 before, 1 after)."""
-    pairs = F.broadcast(year_pairs(docs))  # a row for each year
+    pairs = year_pairs(docs)
     own = docs.select("doc_id", "year", "cluster_id", text.alias("text"))
     one = own.join(pairs, own.year == pairs.year_from).withColumn("side", F.lit(0))
     two = own.join(pairs, own.year == pairs.year_to).withColumn("side", F.lit(1))
@@ -35,26 +36,39 @@ def _matched(sims: DataFrame, clusters: DataFrame, threshold: float) -> DataFram
     return rows.select("year_from", "year_to", "prev_id", F.when(ok, F.col("next_id")).alias("next_id"), F.when(ok, F.col("similarity")).alias("similarity"), ok.alias("matched"))
 
 
+def _sided(years: list[int]) -> list[tuple[int, int, int, int]]:
+    """(year, year_from, year_to, side): the one or two pairs of successive years that hold a year."""
+    pairs = list(zip(years, years[1:], strict=False))
+    return [(p[side], *p, side) for p in pairs for side in (0, 1)]
+
+
 def transitions(docs: DataFrame, text: Column, threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """(year_from, year_to, prev_id, next_id, similarity, matched) by the exact cosine of joint TF-IDF centroids.
 
-    Terms are fitted on both years of a pair. Centroids meet on their terms, so only clusters that share one are
-    compared; all year pairs run at once.
+    Terms are fitted on both years of a pair. Texts are read and tokenised once, into a table of (document, term): a
+    pair's document frequencies are the sums of its years', and documents meet their one or two pairs as counts.
+    Centroids meet on their terms, so only clusters that share one are compared; all year pairs run at once.
     """
-    scope = ["year_from", "year_to"]
-    docs = pair_documents(docs, text)
-    tf = term_counts(docs, F.col("text"), scope, "doc_id")
-    w = weights(tf, document_frequency(tf, docs, scope, standard=False, max_features=None), scope)
-    sums = w.join(docs.select(*scope, "doc_id", "side", "cluster_id"), [*scope, "doc_id"]).groupBy(*scope, "side", "cluster_id", "term").agg(F.sum("w").alias("w"))
-    norms = sums.groupBy(*scope, "side", "cluster_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    prev = sums.where("side = 0").select(*scope, F.col("cluster_id").alias("prev_id"), "term", F.col("w").alias("a"))
-    following = sums.where("side = 1").select(*scope, F.col("cluster_id").alias("next_id"), "term", F.col("w").alias("b"))
-    dots = prev.join(following, [*scope, "term"]).groupBy(*scope, "prev_id", "next_id").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-    n0 = norms.where("side = 0").select(*scope, F.col("cluster_id").alias("prev_id"), F.col("norm").alias("n0"))
-    n1 = norms.where("side = 1").select(*scope, F.col("cluster_id").alias("next_id"), F.col("norm").alias("n1"))
-    sims = dots.join(n0, [*scope, "prev_id"]).join(n1, [*scope, "next_id"])
-    sims = sims.select(*scope, "prev_id", "next_id", F.round(F.col("dot") / (F.col("n0") * F.col("n1")), 9).alias("similarity"))
-    clusters = docs.where("side = 0").select(*scope, F.col("cluster_id").alias("prev_id")).distinct()
+    spark, scope = docs.sparkSession, ["year_from", "year_to"]
+    docs = docs.where("year is not null")
+    sizes = cut(docs.groupBy("year", "cluster_id").agg(F.count("*").alias("docs")))  # a row for each cluster
+    years = sorted(r.year for r in sizes.select("year").distinct().collect())
+    kind = docs.schema["year"].dataType.simpleString()
+    sided = spark.createDataFrame(_sided(years), f"year {kind}, year_from {kind}, year_to {kind}, side int")
+    tf = cut(term_counts(docs, text, ["year"], carry=["cluster_id"]))
+    n = sizes.join(sided, "year").groupBy(*scope).agg(F.sum("docs").alias("n"))
+    df = tf.groupBy("year", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf_sum"))
+    df = df.join(sided, "year").groupBy(*scope, "term").agg(F.sum("df").alias("df"), F.sum("tf_sum").alias("tf_sum")).join(n, scope)
+    # as in document_frequency without its standard pruning: a pair that would keep no term keeps all
+    df = df.withColumn("fits", F.col("df") <= F.col("n") * 0.95)
+    vocabulary = df.join(df.groupBy(*scope).agg(F.bool_or("fits").alias("any_fits")), scope).where("fits or not any_fits").select(*scope, "term", "df", "tf_sum", "n")
+    w = weights(tf.join(sided, "year"), vocabulary, scope, carry=["side", "cluster_id"])
+    sums = w.groupBy(*scope, "side", "cluster_id", "term").agg(F.sum("w").alias("w"))
+    unit = cut(sums.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*scope, "side", "cluster_id")))))
+    prev = unit.where("side = 0").select(*scope, F.col("cluster_id").alias("prev_id"), "term", F.col("w").alias("a"))
+    following = unit.where("side = 1").select(*scope, F.col("cluster_id").alias("next_id"), "term", F.col("w").alias("b"))
+    sims = prev.join(following, [*scope, "term"]).groupBy(*scope, "prev_id", "next_id").agg(F.round(F.sum(F.col("a") * F.col("b")), 9).alias("similarity"))
+    clusters = sizes.join(sided, "year").where("side = 0").select(*scope, F.col("cluster_id").alias("prev_id"))
     return _matched(sims, clusters, threshold)
 
 
@@ -94,5 +108,5 @@ def flow_edges(moves: DataFrame, counts: DataFrame) -> DataFrame:
     """Matched transitions with both clusters' documents and their relative change (null from none)."""
     a = counts.select(F.col("year").alias("year_from"), F.col("cluster_id").alias("prev_id"), F.col("count").alias("docs_from"))
     b = counts.select(F.col("year").alias("year_to"), F.col("cluster_id").alias("next_id"), F.col("count").alias("docs_to"))
-    rows = moves.where("matched").join(F.broadcast(a), ["year_from", "prev_id"]).join(F.broadcast(b), ["year_to", "next_id"])  # a row for each cluster
+    rows = moves.where("matched").join(a, ["year_from", "prev_id"]).join(b, ["year_to", "next_id"])
     return rows.select("year_from", "year_to", "prev_id", "next_id", "similarity", "docs_from", "docs_to", F.try_divide(F.col("docs_to") - F.col("docs_from"), F.col("docs_from")).alias("yoy_docs"))
