@@ -4,28 +4,35 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillmap.functions.vectors import l2
+from rillmap.operators.lineage import cut
 
-#: Years with more documents than this are clustered by the distributed algorithm.
-LOCAL_ROWS = 200_000
+#: Documents of a year, by hash of id, on which its principal components and first centres are fitted.
+FIT_ROWS = 20_000
+#: Rounds over all documents after that, at most; they end when no centre moves.
+ROUNDS = 20
 
 
 def _principal(x: np.ndarray, most: int) -> np.ndarray:
+    """Basis (width x components) of the centred rows; the identity where fewer than two components are left."""
     k = max(1, min(most, x.shape[1], len(x) - 1))
     if k < 2:
-        return x
+        return np.eye(x.shape[1])
     centred = x - x.mean(0)
-    _, vectors = np.linalg.eigh(centred.T @ centred)
-    return centred @ vectors[:, ::-1][:, :k]
+    return np.linalg.eigh(centred.T @ centred)[1][:, ::-1][:, :k]
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
 
 
 def _lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 50) -> np.ndarray:
+    """Centres of seeded k-means over the rows."""
     rng = np.random.default_rng(seed)
     centre = [x[int(rng.integers(len(x)))]]
     near = ((x - centre[0]) ** 2).sum(1)
@@ -35,45 +42,98 @@ def _lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 50) -> np.ndarray:
         near = np.minimum(near, ((x - centre[-1]) ** 2).sum(1))
     c, label = np.array(centre), None
     for _ in range(rounds):
-        new = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+        new = _nearest(x, c)
         if label is not None and (new == label).all():
             break
         label = new
         for j in range(k):
             if (label == j).any():
                 c[j] = x[label == j].mean(0)
-    return label
+    return c
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def cluster_years(docs: DataFrame, k: int, seed: int = 42, dims: int = 50) -> DataFrame:
     """(doc_id, year, cluster_id): k-means of each year's unit vectors after principal components.
 
-    A year is one task, rows ordered by id and seeded, so partitioning does not matter; clusters are numbered by
-    size, then smallest id. Years above LOCAL_ROWS run distributed k-means one after the other instead.
+    One algorithm for years of any size: components and first centres come from a seeded fit on FIT_ROWS documents of
+    each year at most; then all documents of all years go through the same rounds, each a partly aggregated sum by
+    (year, cluster), until no centre moves. The driver holds a row for each cluster and a basis for each year. Clusters
+    are numbered by size, then smallest id.
     """
-    unit = docs.select("doc_id", F.col("year").cast("int").alias("year"), l2(F.col("embedding")).alias("u"))
-    large = [r.year for r in unit.groupBy("year").count().where(F.col("count") > LOCAL_ROWS).collect()]
-
-    def one(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
-        x = np.array(table.column("u").to_pylist(), float)
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
-        label = _lloyd(_principal(x, dims), max(1, min(k, len(x))), seed)
-        kinds, first, size = np.unique(label, return_index=True, return_counts=True)
-        rank = np.lexsort((ids[first], -size))
-        renamed = np.empty(label.max() + 1, np.int64)
-        renamed[kinds[rank]] = np.arange(len(kinds))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "year": pa.array([table.column("year")[0].as_py()] * len(ids), pa.int32()), "cluster_id": pa.array(renamed[label], pa.int32())})
-
-    out = unit.where(~F.col("year").isin(large)) if large else unit
-    out = out.groupBy("year").applyInArrow(one, "doc_id long, year int, cluster_id int")
-    for year in large:
-        rows = unit.where(F.col("year") == year).withColumn("v", array_to_vector("u"))
-        rows = PCA(k=min(dims, len(rows.first().u)), inputCol="v", outputCol="features").fit(rows).transform(rows)
-        found = KMeans(k=k, seed=seed).fit(rows).transform(rows)
-        out = out.union(found.select("doc_id", "year", F.col("prediction").alias("cluster_id")))
-    return out
+    spark = docs.sparkSession
+    unit = docs.where("year is not null and embedding is not null").select("doc_id", F.col("year").cast("int").alias("year"), l2(F.col("embedding")).alias("u"))
+
+    def begin(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+        x = _rows(table.column("u").combine_chunks())[order]
+        basis = _principal(x, dims)
+        centres = _lloyd(x @ basis, max(1, min(k, len(x))), seed)
+        return pa.table({"year": pa.array([table.column("year")[0].as_py()], pa.int32()), "basis": pa.array([basis.ravel()], pa.list_(pa.float64())), "centres": pa.array([centres.ravel()], pa.list_(pa.float64())), "n": pa.array([len(centres)], pa.int32())})
+
+    some = unit.withColumn("k", F.expr("row_number() over (partition by year order by xxhash64(doc_id), doc_id)")).where(f"k <= {FIT_ROWS}").drop("k")
+    fitted = some.groupBy("year").applyInArrow(begin, "year int, basis array<double>, centres array<double>, n int").collect()
+    centres = {r.year: np.array(r.centres).reshape(r.n, -1) for r in fitted}
+    bases = spark.sparkContext.broadcast({r.year: np.array(r.basis).reshape(-1, len(r.centres) // r.n) for r in fitted})
+
+    def by_year(batch: pa.RecordBatch):
+        years = batch.column(1).to_numpy()
+        for year in np.unique(years).tolist():
+            part = batch.filter(pa.array(years == year))
+            yield year, part, _rows(part.column(2))
+
+    def project(batches):
+        for batch in batches:
+            for year, part, x in by_year(batch):
+                z = x @ bases.value[year]
+                yield pa.record_batch([part.column(0), part.column(1), pa.ListArray.from_arrays(np.arange(0, z.size + 1, z.shape[1], dtype=np.int32), pa.array(z.ravel()))], ["doc_id", "year", "z"])
+
+    placed = cut(unit.mapInArrow(project, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, year int, z array<double>"))
+
+    def summed(held):
+        def sums(batches):
+            total: dict[tuple[int, int], tuple] = {}
+            for batch in batches:
+                for year, _, z in by_year(batch):
+                    label = _nearest(z, held.value[year])
+                    for j in np.unique(label).tolist():
+                        own = z[label == j]
+                        n, s = total.get((year, j), (0, 0.0))
+                        total[year, j] = (n + len(own), s + own.sum(0))
+            for (year, j), (n, s) in total.items():
+                yield pa.record_batch([pa.array([year], pa.int32()), pa.array([j], pa.int32()), pa.array([n], pa.int64()), pa.array([s], pa.list_(pa.float64()))], ["year", "j", "n", "s"])
+
+        return sums
+
+    def add(table: pa.Table) -> pa.Table:
+        total = _rows(table.column("s").combine_chunks()).sum(0)
+        return pa.table({"year": table.column("year")[:1], "j": table.column("j")[:1], "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "s": pa.array([total], pa.list_(pa.float64()))})
+
+    kind = "year int, j int, n long, s array<double>"
+    for _ in range(ROUNDS if fitted else 0):
+        held = spark.sparkContext.broadcast(centres)  # a row for each cluster
+        moved, following = 0.0, {y: c.copy() for y, c in centres.items()}
+        for r in placed.mapInArrow(summed(held), kind).groupBy("year", "j").applyInArrow(add, kind).collect():
+            new = np.array(r.s) / r.n
+            moved = max(moved, float(np.abs(new - centres[r.year][r.j]).max()))
+            following[r.year][r.j] = new
+        centres = following
+        if moved < 1e-9:
+            break
+    last = spark.sparkContext.broadcast(centres)
+
+    def label(batches):
+        for batch in batches:
+            for year, part, z in by_year(batch):
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(_nearest(z, last.value[year]).astype(np.int32))], ["doc_id", "year", "j"])
+
+    found = placed.mapInArrow(label, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, year int, j int")
+    sizes = found.groupBy("year", "j").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    ranked = sizes.select("year", "j", F.expr("row_number() over (partition by year order by n desc, least) - 1").alias("cluster_id"))
+    return found.join(ranked, ["year", "j"]).select("doc_id", "year", "cluster_id")
 
 
 def pca_projection(docs: DataFrame, k: int = 2) -> DataFrame:
