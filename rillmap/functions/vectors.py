@@ -6,15 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def as_vector(c: Column, kind: str = "array<double>") -> Column:
-    """A vector from an array, or from its JSON or Python text; null where it cannot be read."""
-    return c.cast(kind) if kind else c
-
-
 def parse_vector(c: Column) -> Column:
-    """A vector from JSON text or a bracketed literal; null if it is none."""
+    """A vector from JSON text or a bracketed literal; null if it is none or if a component is no number."""
     text = F.regexp_replace(F.regexp_replace(F.trim(c), r"^\(", "["), r",?\s*\)$", "]")
-    return F.filter(F.from_json(text, "array<double>"), lambda x: x.isNotNull())
+    found = F.from_json(text, "array<double>")
+    return F.when(~F.exists(found, lambda x: x.isNull()), found)
 
 
 def dot(a: Column, b: Column) -> Column:

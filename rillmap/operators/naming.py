@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 import re
+import threading
 import time
 from typing import Protocol
 
@@ -59,11 +60,32 @@ def six_fields(answer: dict) -> dict[str, str]:
     return out
 
 
-def ask(provider: NameProvider, user: str, tries: int = 4, base: float = 1.5, sleep=time.sleep) -> str:
-    """The provider's answer, tried again after growing, jittered waits; the last failure is raised."""
+def within(seconds: float, call, *args):
+    """What call(*args) returns; TimeoutError after `seconds`, the call left to itself."""
+    out: list = []
+
+    def run():
+        try:
+            out.append((call(*args), None))
+        except Exception as e:
+            out.append((None, e))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not out:
+        raise TimeoutError(f"no answer within {seconds} s")
+    value, error = out[0]
+    if error:
+        raise error
+    return value
+
+
+def ask(provider: NameProvider, user: str, tries: int = 4, base: float = 1.5, sleep=time.sleep, timeout: float = 60.0) -> str:
+    """The provider's answer, tried again after growing, jittered waits; the last failure or timeout is raised."""
     for k in range(tries):
         try:
-            return provider.answer(SYSTEM_PROMPT, user)
+            return within(timeout, provider.answer, SYSTEM_PROMPT, user)
         except Exception:
             if k == tries - 1:
                 raise
@@ -77,7 +99,7 @@ NAMES_SCHEMA = "id int, tech_name_ko string, tech_name_en string, purpose string
 def name_groups(groups: DataFrame, keywords: DataFrame, provider: NameProvider | None = None, workers: int = 4, top: int = 60) -> DataFrame:
     """One row of NAMES_SCHEMA for each row (id) of `groups`, from keywords (id, term, rank).
 
-    `workers` partitions bound the calls made at once. A group without terms has status no_terms, a failed call
+    Rows come in the order of id. `workers` partitions bound the calls made at once. A group without terms has status no_terms, a failed call
     `error: ...`; neither fails the job.
     """
     provider = provider or OfflineNames()
@@ -101,4 +123,4 @@ def name_groups(groups: DataFrame, keywords: DataFrame, provider: NameProvider |
             kinds = pa.schema([("id", pa.int32()), *((c, pa.string()) for c in (*NAME_KEYS, "raw_text", "model", "status"))])
             yield pa.RecordBatch.from_pylist(out, kinds)
 
-    return rows.mapInArrow(name, NAMES_SCHEMA)
+    return rows.mapInArrow(name, NAMES_SCHEMA).orderBy("id")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import traceback
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -17,6 +19,9 @@ from rillmap.operators import clustering, components, embedding, flows, graph, n
 from rillmap.plans.progress import RunState
 from rillmap.sources.loader import load_table
 
+#: Seconds between two looks at a running step.
+POLL = 1.0
+
 
 @dataclass
 class ClusterResult:
@@ -69,6 +74,30 @@ class Pipeline:
         self.state.begin(phase, step)
         return self.state.heartbeat(1.0, 0, meta)
 
+    def _watched(self, phase: str, step: str, action):
+        """Runs the action's Spark jobs in a thread; every POLL seconds an event with the share of their tasks done."""
+        self.state.begin(phase, step)
+        context, group = self.spark.sparkContext, f"{step}-{uuid.uuid4().hex}"
+
+        def run():
+            context.setJobGroup(group, step)
+            return action()
+
+        with ThreadPoolExecutor(1) as pool:
+            work = pool.submit(run)
+            while not wait([work], timeout=POLL).done:
+                done, total = self._tasks(group)
+                if total:
+                    yield self.state.heartbeat(min(0.99, done / total), self.state.timer.eta_seconds(done, total))
+        return work.result()
+
+    def _tasks(self, group: str) -> tuple[int, int]:
+        """(finished, known) tasks of a job group."""
+        tracker = self.spark.sparkContext.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+        stages = [tracker.getStageInfo(s) for j in jobs if j for s in j.stageIds]
+        return sum(s.numCompletedTasks for s in stages if s), sum(s.numTasks for s in stages if s)
+
     def _steps(self, path: str) -> Iterator[dict]:
         cfg = self.cfg
         yield self._done("element", "upload")
@@ -79,11 +108,14 @@ class Pipeline:
         if "doc_id" not in df.columns:
             df = df.withColumn("doc_id", F.monotonically_increasing_id())
         df = df.transform(prep.clean_nonempty).transform(prep.keyword_filter, cfg.keywords).persist(StorageLevel.MEMORY_AND_DISK)
-        yield self._done("element", "preprocess", rows_after_filter=df.count())
+        rows = yield from self._watched("element", "preprocess", df.count)
+        yield self._done("element", "preprocess", rows_after_filter=rows)
         self.embedded = embedding.embed(df, self.encoder, batch_size=cfg.batch_size).persist(StorageLevel.MEMORY_AND_DISK)
-        yield self._done("element", "embedding", rows=self.embedded.count())
-        self.clusters = run_clustering(self.embedded, cfg)
-        yield self._done("element", "clustering", keywords=[r.term for r in self.clusters.keywords.collect()], titles=[r.title for r in self.clusters.titles.collect()])
+        rows = yield from self._watched("element", "embedding", self.embedded.count)
+        yield self._done("element", "embedding", rows=rows)
+        self.clusters = yield from self._watched("element", "clustering", lambda: run_clustering(self.embedded, cfg))
+        keywords = yield from self._watched("element", "clustering", self.clusters.keywords.collect)
+        yield self._done("element", "clustering", keywords=[r.term for r in keywords], titles=[r.title for r in self.clusters.titles.collect()])
         self.panel = flows.flow_panel(self.clusters.edges).persist(StorageLevel.MEMORY_AND_DISK)
         top = flows.top_flows(self.panel, cfg.top_flows).withColumnRenamed("flow_id", "id")
         words = flows.flow_keywords(self.panel, self.clusters.terms).withColumnRenamed("flow_id", "id")

@@ -68,19 +68,35 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*leaves(df.schema, "", ""))
 
 
-def read_jsonl(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def charset(encoding: str) -> dict[str, str]:
+    """Reader options for an encoding; the Korean ones have other names in Java."""
+    if encoding.startswith("utf-8"):
+        return {"encoding": "UTF-8"}
+    return {"encoding": {"cp949": "x-windows-949", "latin-1": "ISO-8859-1"}.get(encoding, encoding)}
+
+
+def allow_charset(spark: SparkSession, encoding: str) -> None:
+    """Spark reads but a few charsets unless told otherwise."""
+    if encoding in ("cp949", "euc-kr"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", True)
+
+
+def read_jsonl(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """JSON Lines; ids and years keep their text, malformed lines go."""
-    return spark.read.option("primitivesAsString", True).option("mode", "DROPMALFORMED").option("encoding", encoding).json(path)
+    allow_charset(spark, encoding)
+    return spark.read.options(primitivesAsString=True, mode="DROPMALFORMED", lineSep="\n", **charset(encoding)).json(path)
 
 
-def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+def read_json(spark: SparkSession, path: str, encoding: str = "utf-8") -> tuple[DataFrame, str]:
     """(table, shape): an array of rows, rows below a known root key, or one object flattened to a row."""
-    df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+    allow_charset(spark, encoding)
+    df = spark.read.options(multiLine=True, primitivesAsString=True, **charset(encoding)).json(path)
+    one_object = file_head(spark, path).decode(encoding, "ignore").lstrip()[:1] == "{"
     for key in JSON_ROOTS:
-        if key in df.columns and isinstance(df.schema[key].dataType, ArrayType) and looks_like_json(file_head(spark, path).decode("utf-8", "ignore")) and file_head(spark, path).lstrip()[:1] == b"{":
+        if one_object and key in df.columns and isinstance(df.schema[key].dataType, ArrayType):
             rows = df.select(F.explode(key).alias("r"))
             return (rows.select("r.*") if isinstance(rows.schema["r"].dataType, StructType) else rows), f"json:{key}"
-    if file_head(spark, path).lstrip()[:1] == b"{":
+    if one_object:
         return flatten(df), "json:object"
     return df, "json:array"
 
@@ -91,8 +107,8 @@ def read_delimited(spark: SparkSession, path: str, head: str, encoding: str) ->
         sep = csv.Sniffer().sniff(head[:20000], delimiters=",;\t|").delimiter
     except csv.Error:
         sep = ","
-    charset = "UTF-8" if encoding.startswith("utf-8") else encoding
-    reader = lambda mode: spark.read.options(header=True, sep=sep, quote='"', escape="\\", encoding=charset, mode=mode, multiLine=True, enforceSchema=True)
+    allow_charset(spark, encoding)
+    reader = lambda mode: spark.read.options(header=True, sep=sep, quote='"', escape="\\", mode=mode, multiLine=True, enforceSchema=True, **charset(encoding))
     schema = reader("PERMISSIVE").csv(path).schema
     strict = reader("FAILFAST").schema(schema).csv(path)
     try:
@@ -117,12 +133,12 @@ def load_table(spark: SparkSession, path: str, prefer_jsonl: bool = False) -> tu
     encoding = sniff_encoding(raw)
     head = raw.decode(encoding, "ignore")
     if prefer_jsonl or looks_like_jsonl(head) and not _one_document(head):
-        return read_jsonl(spark, path), {"format": "jsonl", "encoding": encoding}
+        return read_jsonl(spark, path, encoding), {"format": "jsonl", "encoding": encoding}
     if looks_like_json(head):
-        df, shape = read_json(spark, path)
+        df, shape = read_json(spark, path, encoding)
         return df, {"format": shape, "encoding": encoding}
     if kind == ".jsonl":
-        return read_jsonl(spark, path), {"format": "jsonl", "encoding": encoding}
+        return read_jsonl(spark, path, encoding), {"format": "jsonl", "encoding": encoding}
     df, facts = read_delimited(spark, path, head, encoding)
     return df, {"format": "csv", "encoding": encoding, **facts}
 
@@ -147,7 +163,3 @@ def save_table(df: DataFrame, path: str) -> str:
     df.write.mode("overwrite").parquet(path)
     return path
 
-
-def csv_text(df: DataFrame) -> str:
-    """A small table as CSV text, as the payload holds it."""
-    return df.toPandas().to_csv(index=False)

@@ -127,3 +127,66 @@ def test_whole_run(spark, tmp_path):
     assert run.panel.count() == 6 and events[-2]["elements"] and events[-2]["edges"]
     bad = list(Pipeline(spark).run(str(tmp_path / "missing.jsonl")))
     assert [e.get("type") for e in bad[-2:]] == ["error", "stream-close"]
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "cp949", "latin-1"])
+def test_encodings(spark, tmp_path, encoding):
+    from rillmap.sources.loader import load_table
+
+    word = "café" if encoding == "latin-1" else "한국어 논문"
+    rows = [{"id": str(k), "title": f"{word} {k}"} for k in range(40)]
+    lines = "\n".join(json.dumps(r, ensure_ascii=False) for r in rows)
+    for name, text in (("a.jsonl", lines), ("b.json", json.dumps(rows, ensure_ascii=False)), ("c.csv", "id,title\n" + "\n".join(f"{r['id']},{r['title']}" for r in rows))):
+        (tmp_path / name).write_bytes(text.encode(encoding))
+        df, _ = load_table(spark, str(tmp_path / name))
+        assert {r.title for r in df.collect()} == {r["title"] for r in rows}, name
+
+
+def test_vectors_as_text(spark):
+    from pyspark.sql import functions as F
+
+    from rillmap.functions.vectors import parse_vector
+
+    rows = [("[1, 2.5]", [1.0, 2.5]), ("(1, 2,)", [1.0, 2.0]), (" [] ", []), ("[1, null, 2]", None), ("[1, x]", None), ("no vector", None), (None, None)]
+    got = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "k int, t string").select("k", parse_vector(F.col("t")).alias("v")).orderBy("k").collect()
+    assert [r.v for r in got] == [v for _, v in rows]
+
+
+def test_hanging_provider():
+    import time
+
+    from rillmap.operators.naming import ask
+
+    class Hangs:
+        model = "x"
+
+        def answer(self, system, user):
+            time.sleep(5)
+
+    began = time.time()
+    with pytest.raises(TimeoutError):
+        ask(Hangs(), "?", tries=2, sleep=lambda _: None, timeout=0.2)
+    assert time.time() - began < 3
+
+
+def test_progress_within_a_step(spark, monkeypatch):
+    import time
+
+    from rillmap.plans import pipeline
+
+    def slow(batches):
+        time.sleep(0.7)
+        yield from batches
+
+    monkeypatch.setattr(pipeline, "POLL", 0.2)
+    run = pipeline.Pipeline(spark)
+    watched = run._watched("element", "embedding", lambda: spark.range(0, 40, 1, 12).mapInArrow(slow, "id long").count())
+    events = []
+    while True:
+        try:
+            events.append(next(watched))
+        except StopIteration as end:
+            assert end.value == 40
+            break
+    shares = [e["step_progress"] for e in events]
+    assert shares == sorted(shares) and any(0 < s < 100 for s in shares)
