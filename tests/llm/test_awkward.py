@@ -52,3 +52,31 @@ def test_packing_with_extra_columns(spark, folders):
         docs = {(r.doc_id, r.doc_tokens) for r in rows}
         assert sum(r.length for r in rows) >= sum(n for _, n in docs)
         assert {d for d, _ in docs} == {r.doc_id for r in spark.read.parquet(f"{folders}/{kind}/documents.parquet").collect()}
+
+
+def test_pipeline_on_awkward_tables(spark, folders):
+    """Clashing columns, nulls, repeated rows, a long text, no labels, no rows: each stage keeps to its columns."""
+    pytest.importorskip("tokenizers")
+    import corpus_pipeline
+
+    for kind, some in (("plain", True), ("extra", True), ("empty", False), ("unlabelled", False)):
+        docs = spark.read.parquet(f"{folders}/{kind}/documents.parquet")
+        columns = docs.columns
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, f"{folders}/{kind}")
+            rows = docs.collect()
+            docs = spark.createDataFrame(rows, docs.schema)
+            assert k == 4 or docs.columns == columns
+        assert bool(rows) == some, kind
+
+
+@pytest.mark.parametrize("name", ["near_duplicates", "secrets", "mixture"])
+def test_stages_alone(spark, folders, name):
+    """On unfiltered rows with clashing columns: equal to the rows without them."""
+    import corpus_pipeline
+
+    stage, out = dict(corpus_pipeline.STAGES)[name], []
+    for kind in ("plain", "extra"):
+        docs = spark.read.parquet(f"{folders}/{kind}/documents.parquet")
+        out.append(sorted(map(str, stage(spark, docs, f"{folders}/{kind}").select("doc_id", "text", "source").collect())))
+    assert out[0] == out[1] and out[0]
