@@ -1,4 +1,4 @@
-"""Every query against its SQL at sf0.001 and sf0.01."""
+"""Every query against its SQL at sf0.01."""
 
 import math
 import os
