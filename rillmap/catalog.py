@@ -416,7 +416,7 @@ def oracle_sql() -> dict[str, str]:
         "cluster_top_terms": f"WITH {_PROFILE} SELECT year, cluster_id, term, round(tfidf, 6) AS tfidf, docs, CAST(rank AS INT) AS rank FROM profile",
         "global_keywords": f"WITH {_PROFILE}, x AS (SELECT term, sum(tfidf) AS score FROM profile GROUP BY 1 ORDER BY round(sum(tfidf), 9) DESC, term LIMIT 100) SELECT term, round(score, 6) AS score FROM x",
         "component_top_terms": "WITH " + ", ".join([_PAPERS, _grams("papers", ""), _vocabulary("papers", ""), _weights(""), _profile("", "component_tech_id")]) + " SELECT component_tech_id, term, round(tfidf, 6) AS tfidf, docs, CAST(rank AS INT) AS rank FROM profile",
-        "tfidf_diagnostics": f"WITH {_PAPERS}, x AS (SELECT year, {_TOKENS.format('CASE WHEN year = 1997 THEN $$a of the$$ ELSE title END')} AS t FROM papers) SELECT year, 'empty_vocabulary' AS reason, count(*) AS n FROM x GROUP BY year HAVING sum(len(t)) = 0",
+        "tfidf_diagnostics": f"WITH {_PAPERS}, x AS (SELECT year, {_TOKENS.format('CASE WHEN year = 1997 THEN $$a of the$$ ELSE title END')} AS t FROM papers) SELECT year, CAST(NULL AS INT) AS cluster_id, '' AS term, 0.0::DOUBLE AS tfidf, 0::BIGINT AS docs, 'empty_vocabulary' AS reason, count(*) AS n FROM x GROUP BY year HAVING sum(len(t)) = 0",
         "transitions": f"WITH {_moves_sql(0.08)} SELECT year_from, year_to, prev_id, next_id, round(similarity, 6) AS similarity, matched FROM moves",
         "transitions_strict": f"WITH {_EDGES} SELECT year_from, year_to, prev_id, next_id, round(similarity, 6) AS similarity, matched FROM moves",
         "flow_edges": f"WITH {_EDGES} SELECT year_from, year_to, prev_id, next_id, round(similarity, 6) AS similarity, docs_from, docs_to, round(yoy_docs, 6) AS yoy_docs FROM edges",

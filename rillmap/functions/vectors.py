@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def parse_vector(c: Column) -> Column:
@@ -13,6 +14,14 @@ def parse_vector(c: Column) -> Column:
     return F.when(~F.exists(found, lambda x: x.isNull()), found)
 
 
+def usable_vector(df: DataFrame, name: str) -> Column:
+    """The vector of an array or text column; null where it is empty or a component is null or not finite."""
+    v = F.col(name)
+    v = parse_vector(v) if isinstance(df.schema[name].dataType, StringType) else v.cast("array<double>")
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return F.when((F.size(v) > 0) & ~bad, v)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

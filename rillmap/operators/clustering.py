@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmap.functions.vectors import l2
+from rillmap.functions.vectors import l2, usable_vector
 from rillmap.operators.lineage import cut
 
 #: Documents of a year, by hash of id, on which its principal components and first centres are fitted.
@@ -52,6 +52,12 @@ def _lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 50) -> np.ndarray:
     return c
 
 
+def _last_hash(n: int) -> int:
+    """A 64-bit hash up to which FIT_ROWS of n documents lie, all but surely; only those are sorted for the fit."""
+    share = (FIT_ROWS + 6 * FIT_ROWS**0.5) / n
+    return (1 << 63) - 1 if share >= 1 else int(share * 2**64) - (1 << 63)
+
+
 def _rows(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
@@ -62,10 +68,16 @@ def cluster_years(docs: DataFrame, k: int, seed: int = 42, dims: int = 50) -> Da
     One algorithm for years of any size: components and first centres come from a seeded fit on FIT_ROWS documents of
     each year at most; then all documents of all years go through the same rounds, each a partly aggregated sum by
     (year, cluster), until no centre moves. The driver holds a row for each cluster and a basis for each year. Clusters
-    are numbered by size, then smallest id.
+    are numbered by size, then smallest id. Documents without a year or a usable vector (text is parsed) get no row, nor
+    do those whose vector is not as wide as most of their year's (ties: the narrower), so one bad row fails nothing.
     """
     spark = docs.sparkSession
-    unit = docs.where("year is not null and embedding is not null").select("doc_id", F.col("year").cast("int").alias("year"), l2(F.col("embedding")).alias("u"))
+    unit = docs.select("doc_id", F.col("year").cast("int").alias("year"), l2(usable_vector(docs, "embedding")).alias("u")).where("year is not null and u is not null").withColumn("width", F.size("u"))
+    widths: dict[int, tuple[int, int]] = {}  # by year: (documents, width)
+    for r in unit.groupBy("year", "width").agg(F.count("*").alias("n")).collect():
+        widths[r.year] = max(widths.get(r.year, (0, 0)), (r.n, r.width), key=lambda x: (x[0], -x[1]))
+    held = [(y, w, _last_hash(n)) for y, (n, w) in sorted(widths.items())]
+    unit = unit.join(spark.createDataFrame(held, "year int, width int, last_hash long"), ["year", "width"]).select("doc_id", "year", "u", "last_hash")
 
     def begin(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
@@ -74,7 +86,8 @@ def cluster_years(docs: DataFrame, k: int, seed: int = 42, dims: int = 50) -> Da
         centres = _lloyd(x @ basis, max(1, min(k, len(x))), seed)
         return pa.table({"year": pa.array([table.column("year")[0].as_py()], pa.int32()), "basis": pa.array([basis.ravel()], pa.list_(pa.float64())), "centres": pa.array([centres.ravel()], pa.list_(pa.float64())), "n": pa.array([len(centres)], pa.int32())})
 
-    some = unit.withColumn("k", F.expr("row_number() over (partition by year order by xxhash64(doc_id), doc_id)")).where(f"k <= {FIT_ROWS}").drop("k")
+    some = unit.where("xxhash64(doc_id) <= last_hash").drop("last_hash")
+    some = some.withColumn("k", F.expr("row_number() over (partition by year order by xxhash64(doc_id), doc_id)")).where(f"k <= {FIT_ROWS}").drop("k")
     fitted = some.groupBy("year").applyInArrow(begin, "year int, basis array<double>, centres array<double>, n int").collect()
     centres = {r.year: np.array(r.centres).reshape(r.n, -1) for r in fitted}
     bases = spark.sparkContext.broadcast({r.year: np.array(r.basis).reshape(-1, len(r.centres) // r.n) for r in fitted})
@@ -91,7 +104,7 @@ def cluster_years(docs: DataFrame, k: int, seed: int = 42, dims: int = 50) -> Da
                 z = x @ bases.value[year]
                 yield pa.record_batch([part.column(0), part.column(1), pa.ListArray.from_arrays(np.arange(0, z.size + 1, z.shape[1], dtype=np.int32), pa.array(z.ravel()))], ["doc_id", "year", "z"])
 
-    placed = cut(unit.mapInArrow(project, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, year int, z array<double>"))
+    placed = cut(unit.drop("last_hash").mapInArrow(project, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, year int, z array<double>"))
 
     def summed(held):
         def sums(batches):

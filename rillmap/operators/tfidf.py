@@ -18,6 +18,10 @@ def term_counts(docs: DataFrame, text: Column, scope: Sequence[str] = (), key: s
     return grams.groupBy(*scope, key, *carry, "term").agg(F.count("*").alias("tf"))
 
 
+#: Parts in which a scope's terms are ranked first, so that no task sorts a whole vocabulary.
+RANK_PARTS = 32
+
+
 def _on(scope: Sequence[str]):
     return list(scope)
 
@@ -39,8 +43,11 @@ def document_frequency(tf: DataFrame, docs: DataFrame, scope: Sequence[str] = ()
     fits = terms.groupBy(*scope).agg(F.bool_or("fits").alias("any_fits"))
     terms = (terms.join(fits, _on(scope)) if scope else terms.crossJoin(fits)).where("fits or not any_fits")
     if max_features:
-        w = Window.partitionBy(*scope).orderBy(F.desc("tf_sum"), "term") if scope else Window.partitionBy(F.lit(1)).orderBy(F.desc("tf_sum"), "term")
-        terms = terms.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max_features)
+        part = F.pmod(F.xxhash64("term"), F.lit(RANK_PARTS)).alias("part")
+        terms = terms.select("*", part)
+        for keys in ([*scope, "part"], scope or [F.lit(1)]):
+            w = Window.partitionBy(*keys).orderBy(F.desc("tf_sum"), "term")
+            terms = terms.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max_features).drop("place")
     return terms.select(*scope, "term", "df", "tf_sum", "n")
 
 
@@ -81,9 +88,15 @@ def cluster_terms(docs: DataFrame, text: Column, scope: Sequence[str] = ("year",
 
 
 def diagnostics(docs: DataFrame, text: Column, scope: Sequence[str] = ("year",)) -> DataFrame:
-    """(scope, reason, n): scopes whose documents have no term."""
-    sized = docs.withColumn("grams", F.size(tokens(text)))
-    return sized.groupBy(*scope).agg(F.count("*").alias("n"), F.sum("grams").alias("grams")).where("grams = 0").select(*scope, F.lit("empty_vocabulary").alias("reason"), "n")
+    """(scope, cluster_id, term, tfidf, docs, reason, n): a row like those of cluster_terms, with no cluster or term, for
+    each scope that has none there: `no_text` where all its texts are null or blank, else `empty_vocabulary`.
+
+    n counts the scope's documents. No other failure of a scope is known: terms and weights are expressions.
+    """
+    sized = docs.select(*scope, F.size(tokens(text)).alias("grams"), F.coalesce(F.trim(text) != "", F.lit(False)).alias("written"))
+    rows = sized.groupBy(*scope).agg(F.count("*").alias("n"), F.sum("grams").alias("grams"), F.bool_or("written").alias("written")).where("grams <= 0")
+    reason = F.when(F.col("written"), "empty_vocabulary").otherwise("no_text").alias("reason")
+    return rows.select(*scope, F.lit(None).cast("int").alias("cluster_id"), F.lit("").alias("term"), F.lit(0.0).alias("tfidf"), F.lit(0).cast("long").alias("docs"), reason, "n")
 
 
 def global_keywords(terms: DataFrame, top: int = KEYWORDS_OVERALL) -> DataFrame:

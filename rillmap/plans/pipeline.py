@@ -75,7 +75,10 @@ class Pipeline:
         return self.state.heartbeat(1.0, 0, meta)
 
     def _watched(self, phase: str, step: str, action):
-        """Runs the action's Spark jobs in a thread; every POLL seconds an event with the share of their tasks done."""
+        """Runs the action's Spark jobs in a thread; every POLL seconds an event with the share of their tasks done.
+
+        Tasks become known stage by stage, so the share of the known ones can fall; what is told never does.
+        """
         self.state.begin(phase, step)
         context, group = self.spark.sparkContext, f"{step}-{uuid.uuid4().hex}"
 
@@ -83,12 +86,14 @@ class Pipeline:
             context.setJobGroup(group, step)
             return action()
 
+        share = 0.0
         with ThreadPoolExecutor(1) as pool:
             work = pool.submit(run)
             while not wait([work], timeout=POLL).done:
                 done, total = self._tasks(group)
                 if total:
-                    yield self.state.heartbeat(min(0.99, done / total), self.state.timer.eta_seconds(done, total))
+                    share = max(share, min(0.99, done / total))
+                    yield self.state.heartbeat(share, self.state.timer.eta_seconds(done, total))
         return work.result()
 
     def _tasks(self, group: str) -> tuple[int, int]:

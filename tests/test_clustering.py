@@ -47,3 +47,24 @@ def test_principal_components(spark):
     want = c @ np.linalg.svd(c, full_matrices=False)[2][:2].T
     got = np.array([r.projected for r in pca_projection(df).orderBy("doc_id").collect()])
     assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
+
+
+def test_bad_vectors_get_no_cluster(spark):
+    """Nulls, other widths and components that are no finite numbers fail nothing, in arrays and in text."""
+    from rillmap.operators.clustering import cluster_years
+
+    good = [(k, 2000, [float(k % 2), 1.0 - k % 2]) for k in range(6)]
+    bad = [(10, 2000, [1.0, None]), (11, 2000, [1.0, float("nan")]), (12, 2000, [1.0, 2.0, 3.0]), (13, 2000, []), (14, 2000, None), (15, None, [1.0, 0.0]), (16, 2000, [float("inf"), 0.0])]
+    got = {r.doc_id: r.cluster_id for r in cluster_years(spark.createDataFrame(good + bad, "doc_id long, year int, embedding array<double>"), 2).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 1}
+    text = [(k, y, None if v is None else str(v)) for k, y, v in good + [b for b in bad if b[0] != 11 and b[0] != 16]]
+    assert {r.doc_id: r.cluster_id for r in cluster_years(spark.createDataFrame(text, "doc_id long, year int, embedding string"), 2).collect()} == got
+
+
+def test_fit_sample_is_never_short():
+    from rillmap.operators import clustering
+
+    assert clustering._last_hash(100) == (1 << 63) - 1
+    for n in (50_000, 10**7, 10**11):
+        mean = (clustering._last_hash(n) + (1 << 63)) / 2**64 * n
+        assert clustering.FIT_ROWS + 5.9 * clustering.FIT_ROWS**0.5 < mean < 1.1 * clustering.FIT_ROWS

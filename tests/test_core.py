@@ -190,3 +190,40 @@ def test_progress_within_a_step(spark, monkeypatch):
             break
     shares = [e["step_progress"] for e in events]
     assert shares == sorted(shares) and any(0 < s < 100 for s in shares)
+
+
+def test_delimited_line_breaks(spark, tmp_path):
+    """A quoted line break keeps a file whole; without one it is split. The rows are the same as the file's."""
+    from rillmap.sources.loader import breaks_lines, read_delimited
+
+    files = {"a.csv": ('id,title\n1,"two\nlines"\n2,c\n', True, ["two\nlines", "c"]), "b.csv": ('id,title\n1,"a,b"\n2,"c"\n', False, ["a,b", "c"]), "c.csv": ('id,title\n1,"say \\"x\\""\n2,d\n', True, ['say "x"', "d"])}
+    for name, (text, whole, titles) in files.items():
+        (tmp_path / name).write_text(text)
+        assert breaks_lines(spark, str(tmp_path / name)) == whole
+        df, facts = read_delimited(spark, str(tmp_path / name), text, "utf-8")
+        assert [r.title for r in df.orderBy("id").collect()] == titles and facts["mode"] == "strict", name
+
+
+def test_most_frequent_terms(spark):
+    """Ranked in parts, the vocabulary is still the most frequent terms of each scope, ties by term."""
+    from rillmap.operators.tfidf import document_frequency
+
+    tf = spark.createDataFrame([(y, d, f"t{k:03d}", 1 + (k * 7 + y) % 5) for y in (1, 2) for d in range(3) for k in range(200)], "year int, doc_id int, term string, tf int")
+    docs = tf.select("year", "doc_id").distinct()
+    total = {(y, f"t{k:03d}"): 3 * (1 + (k * 7 + y) % 5) for y in (1, 2) for k in range(200)}
+    got = {(r.year, r.term) for r in document_frequency(tf, docs, ["year"], max_features=70).collect()}
+    assert got == {(y, t) for y in (1, 2) for t in sorted((t for z, t in total if z == y), key=lambda t: (-total[y, t], t))[:70]}
+    both = {t: total[1, t] + total[2, t] for _, t in total}
+    flat = tf.withColumn("doc_id", tf.doc_id + 10 * tf.year)
+    got = {r.term for r in document_frequency(flat, flat.select("doc_id").distinct(), max_features=70).collect()}
+    assert got == set(sorted(both, key=lambda t: (-both[t], t))[:70])
+
+
+def test_diagnostic_rows(spark):
+    from pyspark.sql import functions as F
+
+    from rillmap.operators.tfidf import diagnostics
+
+    rows = [(1, "a of the"), (1, None), (2, "graph data"), (2, ""), (3, None), (3, "  ")]
+    got = diagnostics(spark.createDataFrame(rows, "year int, title string"), F.col("title")).orderBy("year").collect()
+    assert [(r.year, r.cluster_id, r.term, r.tfidf, r.docs, r.reason, r.n) for r in got] == [(1, None, "", 0.0, 0, "empty_vocabulary", 2), (3, None, "", 0.0, 0, "no_text", 2)]
