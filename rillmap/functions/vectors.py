@@ -30,10 +30,16 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def divided(a: Column, by: Column) -> Column:
+    """The vector divided by a number, which is bound first: within the inner function it would be reckoned for each component."""
+    bound = F.array(F.struct(a.alias("a"), by.alias("by")))
+    return F.transform(bound, lambda s: F.transform(s["a"], lambda x: x.cast("double") / s["by"]))[0]
+
+
 def l2(a: Column) -> Column:
     """The vector scaled to length one; a zero vector stays as it is."""
     n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(F.lit(1.0)))
+    return divided(a, F.when(n > 0, n).otherwise(F.lit(1.0)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -73,6 +73,7 @@ def cluster_years(docs: DataFrame, k: int, seed: int = 42, dims: int = 50) -> Da
     """
     spark = docs.sparkSession
     unit = docs.select("doc_id", F.col("year").cast("int").alias("year"), l2(usable_vector(docs, "embedding")).alias("u")).where("year is not null and u is not null").withColumn("width", F.size("u"))
+    unit = cut(unit)  # read by three jobs, the first of which only counts
     widths: dict[int, tuple[int, int]] = {}  # by year: (documents, width)
     for r in unit.groupBy("year", "width").agg(F.count("*").alias("n")).collect():
         widths[r.year] = max(widths.get(r.year, (0, 0)), (r.n, r.width), key=lambda x: (x[0], -x[1]))

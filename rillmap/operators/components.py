@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmap.functions.vectors import cosine, dot, l2, norm
+from rillmap.functions.vectors import cosine, divided, dot, l2, norm
 
 
 @dataclass(frozen=True)
@@ -38,7 +38,7 @@ def centroids(df: DataFrame, cfg: ComponentConfig = ComponentConfig()) -> DataFr
         raise KeyError(f"columns missing: {missing}")
     unit = df.select(cfg.year_col, cfg.label_col, l2(F.col(cfg.embedding_col)).alias("u"))
     rows = mean_vector(unit, [cfg.year_col, cfg.label_col], "u", "m").where(F.col("docs") >= cfg.min_cluster_docs)
-    return rows.withColumn("len", norm(F.col("m")) + 1e-12).select(cfg.year_col, cfg.label_col, "docs", F.transform("m", lambda x: x / F.col("len")).alias("vector"))
+    return rows.select(cfg.year_col, cfg.label_col, "docs", divided(F.col("m"), norm(F.col("m")) + 1e-12).alias("vector"))
 
 
 def reduce_dimensions(cents: DataFrame, cfg: ComponentConfig = ComponentConfig()) -> DataFrame:

@@ -68,3 +68,13 @@ def test_fit_sample_is_never_short():
     for n in (50_000, 10**7, 10**11):
         mean = (clustering._last_hash(n) + (1 << 63)) / 2**64 * n
         assert clustering.FIT_ROWS + 5.9 * clustering.FIT_ROWS**0.5 < mean < 1.1 * clustering.FIT_ROWS
+
+
+def test_unit_vectors(spark):
+    from pyspark.sql import functions as F
+
+    from rillmap.functions.vectors import l2
+
+    rows = [(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [1.0, None])]
+    got = {r.k: r.u for r in spark.createDataFrame(rows, "k int, v array<float>").select("k", l2(F.col("v")).alias("u")).collect()}
+    assert got == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None, 4: [], 5: [1.0, None]}
