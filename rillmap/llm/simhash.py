@@ -26,13 +26,12 @@ def _fingerprint(text: str | None, width: int) -> int:
     words = [w for w in words if w]
     if not words:
         return 0
-    grams = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
-    digest = xxhash.xxh64_intdigest
+    grams, digest = max(1, len(words) - width + 1), xxhash.xxh64_intdigest
     total = np.zeros(64, np.int64)
-    for lo in range(0, len(grams), 65536):
-        part = np.array([digest(g, SEED) for g in grams[lo : lo + 65536]], ">u8")
+    for lo in range(0, grams, 65536):  # a text's shingles are never held all at once
+        part = np.array([digest(b" ".join(words[i : i + width]), SEED) for i in range(lo, min(grams, lo + 65536))], ">u8")
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > len(grams)).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * total > grams).tobytes(), "big")
 
 
 _AS_SPACE = bytes(32 if i in (9, 10, 11, 12, 13) else i for i in range(256))

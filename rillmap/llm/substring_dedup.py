@@ -91,7 +91,7 @@ def _windows(batches, length: int):
 
 
 def _segments(data: np.ndarray, off: np.ndarray, length: int, most: int = 12 << 20):
-    """Blocks of 16 MiB at most: a longer text (alone in its block) in stretches that overlap by length - 1 bytes."""
+    """Blocks as they are up to `most` bytes; a longer text (alone in its block) in stretches that overlap by length - 1 bytes."""
     if len(data) <= most:
         yield 0, data, off
         return
