@@ -95,6 +95,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .manifest import audit
+
+    tampered = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 2 = 0")
+    return audit(table(spark, sf_dir, "documents"), tampered, {"text": F.expr("replace(text, '\n', '')")})
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,9 +115,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_mix_sources, op2_substring_dedup, op3_nearest_neighbours, op4_language_id, op5_simhash, op6_quality, op7_packing, op8_embedding_dedup, op9_secret_scan, op10_toxicity, pipeline]
+    own = [op1_mix_sources, op2_substring_dedup, op3_nearest_neighbours, op4_language_id, op5_simhash, op6_quality, op7_packing, op8_embedding_dedup, op9_secret_scan, op10_toxicity, op11_merkle_manifest, op12_importance_resampling, pipeline]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracles
+
+    return oracles.oracle_sql()
