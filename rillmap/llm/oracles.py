@@ -82,5 +82,19 @@ select doc_id, n_features, weight, score, case when fit and k <= drawn then k en
 """
 
 
+#: Windows are grouped by the MD5 of their 50 words.
+OP13 = """
+with texts as materialized (select row_number() over () row, doc_id, coalesce(doc_id::hugeint, 9223372036854775808::hugeint) own, regexp_extract_all(coalesce(text, ''), '[^\\x{20}\\x{09}-\\x{0D}]+') w from documents),
+windows as materialized (select row, own, p, md5(array_to_string(w[p : p + 49], ' ')) h from (select row, own, w, unnest(range(1, len(w) - 48)) p from texts where len(w) >= 50)),
+firsts as (select h, min(own) first_own from windows group by h),
+later as (select row, p, lead(p) over (partition by row order by p) following from windows join firsts using (h) where own > first_own),
+cut as materialized (select row, unnest(range(p, least(p + 50, coalesce(following, p + 50)))) k from later),
+gone as (select row, count(*) n from cut group by row),
+words as (select row, k, w[k] word from (select row, w, unnest(range(1, len(w) + 1)) k from texts)),
+kept as (select row, string_agg(word, ' ' order by k) kept from words anti join cut using (row, k) group by row)
+select doc_id, len(w) n_words, coalesce(n, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from texts left join gone using (row) left join kept using (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_merkle_manifest": OP11, "op12_importance_resampling": OP12}
+    return {"op11_merkle_manifest": OP11, "op12_importance_resampling": OP12, "op13_window_dedup": OP13}

@@ -108,6 +108,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .window_dedup import remove_repeated_windows
+
+    return remove_repeated_windows(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -115,7 +121,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_mix_sources, op2_substring_dedup, op3_nearest_neighbours, op4_language_id, op5_simhash, op6_quality, op7_packing, op8_embedding_dedup, op9_secret_scan, op10_toxicity, op11_merkle_manifest, op12_importance_resampling, pipeline]
+    own = [op1_mix_sources, op2_substring_dedup, op3_nearest_neighbours, op4_language_id, op5_simhash, op6_quality, op7_packing, op8_embedding_dedup, op9_secret_scan, op10_toxicity, op11_merkle_manifest, op12_importance_resampling, op13_window_dedup, pipeline]
     return {f.__name__: f for f in own}
 
 
