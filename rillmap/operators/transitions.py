@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmap.config import MATCH_THRESHOLD
 from rillmap.operators.lineage import cut
-from rillmap.operators.tfidf import document_frequency, term_counts, weights
+from rillmap.operators.lsa import best_matches, latent_centroids, latent_rows
+from rillmap.operators.tfidf import term_counts, weights
 
 
 def year_pairs(docs: DataFrame) -> DataFrame:
@@ -18,15 +19,6 @@ def year_pairs(docs: DataFrame) -> DataFrame:
     return years.select(F.col("year").alias("year_from"), F.lead("year").over(Window.partitionBy(F.lit(1)).orderBy("year")).alias("year_to")).where("year_to is not null")
 
 
-def pair_documents(docs: DataFrame, text: Column) -> DataFrame:
-    """Every document in the one or two year pairs that hold its year, with its side (0 before, 1 after)."""
-    pairs = year_pairs(docs)
-    own = docs.select("doc_id", "year", "cluster_id", text.alias("text"))
-    one = own.join(pairs, own.year == pairs.year_from).withColumn("side", F.lit(0))
-    two = own.join(pairs, own.year == pairs.year_to).withColumn("side", F.lit(1))
-    return one.unionByName(two)
-
-
 def _matched(sims: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
     """The best next cluster of every cluster, ties to the smaller id; unmatched ones keep a row with nulls."""
     best = Window.partitionBy("year_from", "year_to", "prev_id").orderBy(F.desc("similarity"), "next_id")
@@ -42,66 +34,68 @@ def _sided(years: list[int]) -> list[tuple[int, int, int, int]]:
     return [(p[side], *p, side) for p in pairs for side in (0, 1)]
 
 
-def transitions(docs: DataFrame, text: Column, threshold: float = MATCH_THRESHOLD) -> DataFrame:
-    """(year_from, year_to, prev_id, next_id, similarity, matched) by the exact cosine of joint TF-IDF centroids.
+@dataclass
+class PairWeights:
+    """TF-IDF of the documents of all pairs of successive years, fitted on both years of a pair."""
 
-    Terms are fitted on both years of a pair. Texts are read and tokenised once, into a table of (document, term): a
-    pair's document frequencies are the sums of its years', and documents meet their one or two pairs as counts.
-    Centroids meet on their terms, so only clusters that share one are compared; all year pairs run at once.
-    """
+    #: (year_from, year_to, key, side, cluster_id, term, w)
+    w: DataFrame
+    #: (year_from, year_to, prev_id): the clusters of each pair's first year.
+    clusters: DataFrame
+    #: Documents of each pair, by its first year.
+    sizes: dict[int, int]
+
+
+def pair_weights(docs: DataFrame, text: Column, key: str = "doc_id") -> PairWeights:
+    """Texts are read and tokenised once, into a table of (document, term): a pair's document frequencies are the sums
+    of its years', and documents meet their one or two pairs as counts."""
     spark, scope = docs.sparkSession, ["year_from", "year_to"]
     docs = docs.where("year is not null")
     sizes = cut(docs.groupBy("year", "cluster_id").agg(F.count("*").alias("docs")))  # a row for each cluster
-    years = sorted(r.year for r in sizes.select("year").distinct().collect())
+    by_year = {r.year: r.docs for r in sizes.groupBy("year").agg(F.sum("docs").alias("docs")).collect()}
+    years = sorted(by_year)
     kind = docs.schema["year"].dataType.simpleString()
     sided = spark.createDataFrame(_sided(years), f"year {kind}, year_from {kind}, year_to {kind}, side int")
-    tf = cut(term_counts(docs, text, ["year"], carry=["cluster_id"]))
+    tf = cut(term_counts(docs, text, ["year"], key, carry=["cluster_id"]))
     n = sizes.join(sided, "year").groupBy(*scope).agg(F.sum("docs").alias("n"))
     df = tf.groupBy("year", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf_sum"))
     df = df.join(sided, "year").groupBy(*scope, "term").agg(F.sum("df").alias("df"), F.sum("tf_sum").alias("tf_sum")).join(n, scope)
     # as in document_frequency without its standard pruning: a pair that would keep no term keeps all
     df = df.withColumn("fits", F.col("df") <= F.col("n") * 0.95)
     vocabulary = df.join(df.groupBy(*scope).agg(F.bool_or("fits").alias("any_fits")), scope).where("fits or not any_fits").select(*scope, "term", "df", "tf_sum", "n")
-    w = weights(tf.join(sided, "year"), vocabulary, scope, carry=["side", "cluster_id"])
-    sums = w.groupBy(*scope, "side", "cluster_id", "term").agg(F.sum("w").alias("w"))
+    w = weights(tf.join(sided, "year"), vocabulary, scope, key, carry=["side", "cluster_id"])
+    clusters = sizes.join(sided, "year").where("side = 0").select(*scope, F.col("cluster_id").alias("prev_id"))
+    return PairWeights(w, clusters, {a: by_year[a] + by_year[b] for a, b in zip(years, years[1:], strict=False)})
+
+
+def transitions(docs: DataFrame, text: Column, threshold: float = MATCH_THRESHOLD, key: str = "doc_id") -> DataFrame:
+    """(year_from, year_to, prev_id, next_id, similarity, matched) by the exact cosine of joint TF-IDF centroids.
+
+    Terms are fitted on both years of a pair. Centroids meet on their terms, so only clusters that share one are
+    compared; all year pairs run at once.
+    """
+    scope, pairs = ["year_from", "year_to"], pair_weights(docs, text, key)
+    sums = pairs.w.groupBy(*scope, "side", "cluster_id", "term").agg(F.sum("w").alias("w"))
     unit = cut(sums.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*scope, "side", "cluster_id")))))
     prev = unit.where("side = 0").select(*scope, F.col("cluster_id").alias("prev_id"), "term", F.col("w").alias("a"))
     following = unit.where("side = 1").select(*scope, F.col("cluster_id").alias("next_id"), "term", F.col("w").alias("b"))
     sims = prev.join(following, [*scope, "term"]).groupBy(*scope, "prev_id", "next_id").agg(F.round(F.sum(F.col("a") * F.col("b")), 9).alias("similarity"))
-    clusters = sizes.join(sided, "year").where("side = 0").select(*scope, F.col("cluster_id").alias("prev_id"))
-    return _matched(sims, clusters, threshold)
+    return _matched(sims, pairs.clusters, threshold)
 
 
-def lsa_transitions(docs: DataFrame, text: Column, threshold: float = MATCH_THRESHOLD, most: int = 256) -> DataFrame:
-    """The same rows by cosine in a truncated singular space, min(most, features - 1, documents - 1) wide.
+def lsa_transitions(docs: DataFrame, text: Column, threshold: float = MATCH_THRESHOLD, most: int = 256, seed: int = 42, key: str = "doc_id") -> DataFrame:
+    """The same rows by cosine of cluster means in a truncated singular space of each pair of years, `most` wide at most.
 
-    One task for each year pair: the space is a dense factorisation of that pair's documents.
+    All pairs go through one randomised block decomposition (`lsa.latent_rows`); cluster means are compared in tiles.
+    Documents without a term of the pair's vocabulary have no row there, which changes no direction of a mean.
     """
-    scope = ["year_from", "year_to"]
-    docs = pair_documents(docs, text)
-    tf = term_counts(docs, F.col("text"), scope, "doc_id")
-    w = weights(tf, document_frequency(tf, docs, scope, standard=False, max_features=None), scope)
-    rows = w.join(docs.select(*scope, "doc_id", "side", "cluster_id"), [*scope, "doc_id"])
-
-    def match(table: pa.Table) -> pa.Table:
-        doc, d = np.unique(table.column("doc_id").to_numpy(), return_inverse=True)
-        term, t = np.unique(np.array(table.column("term").to_pylist()), return_inverse=True)
-        x = np.zeros((len(doc), len(term)))
-        x[d, t] = table.column("w").to_numpy()
-        values, left = np.linalg.eigh(x @ x.T)  # documents are fewer than terms
-        k = min(most, max(2, min(len(term) - 1, len(doc) - 1)), len(doc))
-        z = left[:, ::-1][:, :k] * np.sqrt(np.maximum(values[::-1][:k], 0))
-        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-        first = np.unique(d, return_index=True)[1]
-        side, cluster = table.column("side").to_numpy()[first], table.column("cluster_id").to_numpy()[first]
-        centre = {(s, c): z[(side == s) & (cluster == c)].mean(0) for s, c in {*zip(side.tolist(), cluster.tolist(), strict=True)}}
-        out = [(p, n, float(a @ b / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-12))) for (s, p), a in centre.items() if s == 0 for (r, n), b in centre.items() if r == 1]
-        return pa.table({"year_from": pa.array([table.column("year_from")[0].as_py()] * len(out), pa.int32()), "year_to": pa.array([table.column("year_to")[0].as_py()] * len(out), pa.int32()), "prev_id": pa.array([o[0] for o in out], pa.int32()), "next_id": pa.array([o[1] for o in out], pa.int32()), "similarity": pa.array([round(o[2], 9) for o in out], pa.float64())})
-
-    rows = rows.withColumns({c: F.col(c).cast("int") for c in ("year_from", "year_to", "cluster_id")})
-    sims = rows.groupBy(*scope).applyInArrow(match, "year_from int, year_to int, prev_id int, next_id int, similarity double")
-    clusters = docs.where("side = 0").select(*scope, F.col("cluster_id").alias("prev_id")).distinct()
-    return _matched(sims, clusters, threshold)
+    scope, pairs = ["year_from", "year_to"], pair_weights(docs, text, key)
+    w = cut(pairs.w.select(F.col("year_from").cast("int").alias("p"), F.struct("side", F.col(key).alias("id")).alias("doc"), "side", F.col("cluster_id").cast("int").alias("cluster"), "term", "w"))
+    rows, blocks = latent_rows(w, pairs.sizes, most, seed)
+    means = cut(latent_centroids(rows, blocks, w.select("p", "doc", "side", "cluster").distinct()))
+    before, after = (means.where(F.col("side") == side).select("p", F.col("cluster").alias("id"), "vector") for side in (0, 1))
+    sims = best_matches(before, after).join(pairs.clusters.select(*scope).distinct().withColumn("p", F.col("year_from").cast("int")), "p")
+    return _matched(sims.select(*scope, "prev_id", "next_id", "similarity"), pairs.clusters, threshold)
 
 
 def flow_edges(moves: DataFrame, counts: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import json
 import os
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from rillmap.config import JSON_ROOTS
+from rillmap.sources.delimited import read_delimited
 
 HEAD = 100_000
 ENCODINGS = ("utf-8-sig", "utf-8", "cp949", "euc-kr", "latin-1")
@@ -101,35 +101,6 @@ def read_json(spark: SparkSession, path: str, encoding: str = "utf-8") -> tuple[
     return df, "json:array"
 
 
-def breaks_lines(spark: SparkSession, path: str) -> bool:
-    """True if a quoted field may hold a line break: a line has an odd number of quotes, or an escaped one."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where((quotes % 2 == 1) | F.contains("value", F.lit('\\"'))).isEmpty()
-
-
-def read_delimited(spark: SparkSession, path: str, head: str, encoding: str) -> tuple[DataFrame, dict]:
-    """(table, facts): the sniffed separator strictly; where a row is malformed, such rows go.
-
-    A file is split among tasks unless a quoted field may hold a line break.
-    """
-    try:
-        sep = csv.Sniffer().sniff(head[:20000], delimiters=",;\t|").delimiter
-    except csv.Error:
-        sep = ","
-    allow_charset(spark, encoding)
-    whole = breaks_lines(spark, path)
-    reader = lambda mode: spark.read.options(header=True, sep=sep, quote='"', escape="\\", mode=mode, multiLine=whole, enforceSchema=True, **charset(encoding))
-    schema = reader("PERMISSIVE").csv(path).schema
-    strict = reader("FAILFAST").schema(schema).csv(path)
-    try:
-        strict.write.format("noop").mode("overwrite").save()
-        return strict, {"sep": sep, "mode": "strict"}
-    except Exception as e:
-        if "MALFORMED" not in str(e):
-            raise
-    return reader("DROPMALFORMED").schema(schema).csv(path), {"sep": sep, "mode": "lenient"}
-
-
 def load_table(spark: SparkSession, path: str, prefer_jsonl: bool = False) -> tuple[DataFrame, dict]:
     """(table, facts with `format`), by extension and content: Excel, Parquet, JSON Lines, JSON, delimited text."""
     kind = os.path.splitext(path.rstrip("/"))[1].lower()

@@ -192,18 +192,6 @@ def test_progress_within_a_step(spark, monkeypatch):
     assert shares == sorted(shares) and any(0 < s < 100 for s in shares)
 
 
-def test_delimited_line_breaks(spark, tmp_path):
-    """A quoted line break keeps a file whole; without one it is split. The rows are the same as the file's."""
-    from rillmap.sources.loader import breaks_lines, read_delimited
-
-    files = {"a.csv": ('id,title\n1,"two\nlines"\n2,c\n', True, ["two\nlines", "c"]), "b.csv": ('id,title\n1,"a,b"\n2,"c"\n', False, ["a,b", "c"]), "c.csv": ('id,title\n1,"say \\"x\\""\n2,d\n', True, ['say "x"', "d"])}
-    for name, (text, whole, titles) in files.items():
-        (tmp_path / name).write_text(text)
-        assert breaks_lines(spark, str(tmp_path / name)) == whole
-        df, facts = read_delimited(spark, str(tmp_path / name), text, "utf-8")
-        assert [r.title for r in df.orderBy("id").collect()] == titles and facts["mode"] == "strict", name
-
-
 def test_most_frequent_terms(spark):
     """Ranked in parts, the vocabulary is still the most frequent terms of each scope, ties by term."""
     from rillmap.operators.tfidf import document_frequency
