@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rillmap.config import COMPONENT_STEPS, ELEMENT_STEPS, STOP_WORDS
 from rillmap.functions import text as tx
 from rillmap.functions import vectors as vec
-from rillmap.operators import clustering, components, flows, graph, naming, prep, tfidf, transitions
+from rillmap.operators import clustering, components, flows, graph, naming, pca, prep, tfidf, transitions
 from rillmap.plans.papers import dated, papers, table
 
 STRICT = 0.35
@@ -265,7 +265,7 @@ def kmeans_labels(spark, sf):
 
 
 def pca_projection(spark, sf):
-    return clustering.pca_projection(papers(spark, sf))
+    return pca.pca_projection(papers(spark, sf))
 
 
 def lsa_transitions(spark, sf):

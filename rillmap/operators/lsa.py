@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillmap.operators.blocks import DENSE as _DENSE
+from rillmap.operators.blocks import matrix as _matrix
+from rillmap.operators.blocks import record as _record
+from rillmap.operators.blocks import summed
 from rillmap.operators.lineage import cut
 
 #: Documents and terms of a block; a dense block of documents is ROWS x (components + EXTRA) numbers.
@@ -17,8 +21,6 @@ ROWS, COLUMNS = 4096, 2048
 EXTRA, POWERS = 16, 4
 #: Directions weaker than this share of the strongest count as none.
 LEAST = 1e-13
-#: Bytes of sums that a task holds before it deals them.
-HELD = 64 << 20
 
 
 def _indexed(rows: DataFrame, key: str, size: int, block: str, place: str) -> DataFrame:
@@ -62,55 +64,6 @@ def _runs(batches, keys: tuple[str, ...]) -> Iterator[tuple]:
         yield (*own, pa.Table.from_batches(held).combine_chunks())
 
 
-def _matrix(raw: bytes, height: int) -> np.ndarray:
-    return np.frombuffer(raw, "<f8").reshape(height, -1)
-
-
-_DENSE = "p int, b int, height int, x binary"
-
-
-def _record(p: int, b: int, x: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([*(pa.array([v], pa.int32()) for v in (p, b, len(x))), pa.array([np.ascontiguousarray(x, "<f8").tobytes()])], ["p", "b", "height", "x"])
-
-
-def summed(parts: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, int, np.ndarray]]]) -> DataFrame:
-    """Dense blocks (p, b, height, x), the sums of the blocks that `make` yields: first within each task, then over all.
-
-    A task holds HELD bytes of sums before it deals them; what is dealt is added up as it comes, a block at a time.
-    """
-
-    def within(batches):
-        total: dict[tuple[int, int], np.ndarray] = {}
-        size = 0
-        for p, b, x in make(batches):
-            if (p, b) in total:
-                total[p, b] += x
-            else:
-                total[p, b] = x
-                size += x.nbytes
-            if size > HELD:
-                yield from (_record(*k, v) for k, v in total.items())
-                total, size = {}, 0
-        yield from (_record(*k, v) for k, v in total.items())
-
-    def over(batches):
-        own, total = None, None
-        for batch in batches:
-            for k in range(batch.num_rows):
-                key = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                x = _matrix(batch.column(3)[k].as_py(), batch.column(2)[k].as_py())
-                if key == own:
-                    total += x
-                else:
-                    if own:
-                        yield _record(*own, total)
-                    own, total = key, x.copy()
-        if own:
-            yield _record(*own, total)
-
-    return parts.mapInArrow(within, _DENSE).repartition("p", "b").sortWithinPartitions("p", "b").mapInArrow(over, _DENSE)
-
-
 def _times(cells: DataFrame, dense: DataFrame, along: str) -> DataFrame:
     """The sparse matrix times dense blocks of terms (along j), or its transpose times dense blocks of documents (along i)."""
     out = "i" if along == "j" else "j"

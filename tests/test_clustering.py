@@ -11,12 +11,12 @@ def vectors(spark, seed=0, n=400):
     return rows, spark.createDataFrame(rows, "doc_id long, year int, embedding array<float>").repartition(3)
 
 
-@pytest.mark.parametrize("fit_rows", [20_000, 60])
-def test_k_means(spark, fit_rows, monkeypatch):
-    """The same clusters whether a year is fitted whole or on a part; each document is with its nearest centre."""
+@pytest.mark.parametrize("part_rows", [50_000, 25])
+def test_k_means(spark, part_rows, monkeypatch):
+    """The planted groups whether a year goes whole or in mini-batches; clusters are numbered by size and smallest id."""
     from rillmap.operators import clustering
 
-    monkeypatch.setattr(clustering, "FIT_ROWS", fit_rows)
+    monkeypatch.setattr(clustering, "PART_ROWS", part_rows)
     rows, df = vectors(spark)
     got = {r.doc_id: (r.year, r.cluster_id) for r in clustering.cluster_years(df, 4, dims=5).collect()}
     assert len(got) == len(rows)
@@ -29,6 +29,73 @@ def test_k_means(spark, fit_rows, monkeypatch):
         assert first == sorted(first)  # equal sizes: numbered by smallest id
 
 
+def inertia(x, labels):
+    return sum(((x[labels == c] - x[labels == c].mean(0)) ** 2).sum() for c in set(labels.tolist()))
+
+
+@pytest.mark.parametrize("part_rows", [50_000, 100])
+def test_inertia_is_that_of_plain_k_means(spark, part_rows, monkeypatch):
+    """On groups of unequal size, within 2 percent of plain rounds that start from the planted middles."""
+    from rillmap.operators import clustering
+
+    monkeypatch.setattr(clustering, "PART_ROWS", part_rows)
+    rng = np.random.default_rng(9)
+    middle = rng.standard_normal((12, 16))
+    which = np.minimum(rng.geometric(0.2, 1500) - 1, 11)
+    x = middle[which] + 0.25 * rng.standard_normal((1500, 16))
+    df = spark.createDataFrame([(k, 2000, v) for k, v in enumerate(x.tolist())], "doc_id long, year int, embedding array<double>").repartition(4)
+    labels = np.array([r.cluster_id for r in clustering.cluster_years(df, 12, dims=16).orderBy("doc_id").collect()])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    c = np.array([unit[which == j].mean(0) for j in range(12)])
+    for _ in range(50):
+        own = ((unit[:, None] - c) ** 2).sum(2).argmin(1)
+        c = np.array([unit[own == j].mean(0) for j in range(12)])
+    assert inertia(unit, labels) <= 1.02 * inertia(unit, own)
+    again = np.array([r.cluster_id for r in clustering.cluster_years(df.repartition(7), 12, dims=16).orderBy("doc_id").collect()])
+    assert (again == labels).all()  # no matter how the rows lie
+
+
+def test_years_are_reported(spark, monkeypatch):
+    """A year that fails loses its own documents, with its reason; repeated ids stay as many as they are."""
+    from rillmap.operators import clustering, pca
+
+    good = [(k % 4, y, [float(k % 2), 1.0 - k % 2, 0.5]) for y in (2000, 2001) for k in range(8)]
+    bad = [(20, 2000, None), (21, 2000, [1.0]), (22, 1990, None), (23, None, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(good + bad, "doc_id long, year int, embedding array<double>")
+    found = clustering.fit_years(df, 2)
+    assert sorted(map(tuple, found.report.collect())) == [(1990, "unusable vector", 1), (2000, "clustered", 8), (2000, "other width", 1), (2000, "unusable vector", 1), (2001, "clustered", 8)]
+    assert found.docs.count() == 16 and found.docs.columns == ["doc_id", "year", "embedding", "cluster_id"]
+    with pytest.raises(ValueError, match="2000: 1 documents with other width"):
+        clustering.fit_years(df, 2, on_bad="fail")
+    real = clustering.principal
+
+    def failing(rows, most):
+        found = real(rows, most)
+        found[2001] = pca.Basis(8, np.zeros(3), np.zeros((3, 2)), "LinAlgError: no luck")
+        return found
+
+    monkeypatch.setattr(clustering, "principal", failing)
+    found = clustering.fit_years(df, 2)
+    assert {r.year for r in found.docs.collect()} == {2000} and (2001, "error: LinAlgError: no luck", 8) in set(map(tuple, found.report.collect()))
+
+
+@pytest.mark.parametrize("most", [3, 50])
+def test_components_of_every_group(spark, most):
+    """Each group's components are NumPy's over all its rows; a lone row has the identity."""
+    from rillmap.operators.pca import principal
+
+    rng = np.random.default_rng(most)
+    groups = {g: rng.standard_normal((n, 6)) * [5, 4, 3, 2, 1, 0.5] + g for g, n in ((1, 400), (-2, 5), (7, 1))}
+    df = spark.createDataFrame([(g, v) for g, x in groups.items() for v in x.tolist()], "g int, u array<double>").repartition(3)
+    for g, b in principal(df, most).items():
+        x, k = groups[g], max(1, min(most, 6, len(groups[g]) - 1))
+        if k < 2:
+            assert np.allclose(b.basis, np.eye(6)) and b.n == 1
+            continue
+        want = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:k].T
+        assert b.n == len(x) and np.allclose(b.mean, x.mean(0)) and np.allclose(np.abs(b.basis.T @ want), np.eye(k), atol=1e-6)
+
+
 def test_one_document_and_none(spark):
     from rillmap.operators.clustering import cluster_years
 
@@ -38,7 +105,7 @@ def test_one_document_and_none(spark):
 
 
 def test_principal_components(spark):
-    from rillmap.operators.clustering import pca_projection
+    from rillmap.operators.pca import pca_projection
 
     rows, df = vectors(spark, 1, 100)
     x = np.array([r[2] for r in rows])
@@ -61,15 +128,6 @@ def test_bad_vectors_get_no_cluster(spark):
     assert {r.doc_id: r.cluster_id for r in cluster_years(spark.createDataFrame(text, "doc_id long, year int, embedding string"), 2).collect()} == got
 
 
-def test_fit_sample_is_never_short():
-    from rillmap.operators import clustering
-
-    assert clustering._last_hash(100) == (1 << 63) - 1
-    for n in (50_000, 10**7, 10**11):
-        mean = (clustering._last_hash(n) + (1 << 63)) / 2**64 * n
-        assert clustering.FIT_ROWS + 5.9 * clustering.FIT_ROWS**0.5 < mean < 1.1 * clustering.FIT_ROWS
-
-
 def test_unit_vectors(spark):
     from pyspark.sql import functions as F
 
