@@ -11,7 +11,9 @@ from rillmap.config import COMPONENT_STEPS, ELEMENT_STEPS, STOP_WORDS
 from rillmap.functions import text as tx
 from rillmap.functions import vectors as vec
 from rillmap.operators import clustering, components, flows, graph, naming, pca, prep, tfidf, transitions
+from rillmap.plans import progress
 from rillmap.plans.papers import dated, papers, table
+from rillmap.sources.payload import csv_text
 
 STRICT = 0.35
 
@@ -288,16 +290,25 @@ def vector_parse(spark, sf):
     return rows.select("doc_id", F.size("v").cast("long").alias("width"), F.round(vec.norm(F.col("v")), 4).alias("length"), F.round(vec.norm(vec.l2(F.col("v"))), 6).alias("unit_length"))
 
 
+def _told(spark, sf):
+    """Shares that runs (a document's source) have told of their steps, by a rule that SQL can follow."""
+    names = F.array(*[F.lit(n) for n, _ in ELEMENT_STEPS + COMPONENT_STEPS], F.lit("no such step"))
+    return table(spark, sf, "documents").select(F.col("source").alias("run"), F.get(names, F.expr("cast(doc_id % 12 as int)")).alias("step"), F.expr("(n_chars % 131) / 100.0D").alias("share"))
+
+
 def progress_weights(spark, sf):
-    rows = [("element", n, w) for n, w in ELEMENT_STEPS] + [("component", n, w) for n, w in COMPONENT_STEPS]
-    steps = spark.createDataFrame(rows, "phase string, step string, weight double")
-    return steps.groupBy("phase").agg(F.round(F.sum("weight"), 6).alias("total"), F.round(F.sum(F.when(F.col("step") != "component_result", F.col("weight")).otherwise(0.0)), 6).alias("started"))
+    return _round(progress.progress_of(_told(spark, sf)), "element", "component", "overall")
 
 
 def eta_buckets(spark, sf):
-    from rillmap.plans.progress import format_eta
+    seconds = F.expr("case when doc_id % 9 = 0 then null else n_chars / 16.0D end")
+    return table(spark, sf, "documents").select("doc_id", progress.eta_text(seconds).alias("said"))
+
 
-    return spark.createDataFrame([(k, format_eta(s)) for k, s in enumerate((None, 0.5, 59.9, 90.0))], "k int, said string")
+def csv_payload(spark, sf):
+    heads = papers(spark, sf).withColumn("head", F.substring("abstract", 1, 60))
+    rows = flows.cluster_titles(heads, "head")
+    return csv_text(rows.select("year", "cluster_id", "place", F.col("title").alias('title, "cut"')), F.col("year"), F.col("cluster_id"), F.col("place"))
 
 
 # --- oracles -------------------------------------------------------------------------------------------------------
@@ -307,6 +318,8 @@ _TOKENS = f"list_filter(regexp_extract_all(lower({{0}}), '[가-힣A-Za-z0-9]+'),
 _DATED = "dated AS (SELECT d.doc_id, split_part(d.text, chr(10), 1) AS title, d.text AS abstract, strftime(o.o_orderdate, '%Y-%m-%d') AS update_date FROM documents d JOIN orders o ON d.doc_id = o.o_orderkey)"
 _PAPERS = f"{_DATED}, papers AS (SELECT d.*, CAST(substr(update_date, 1, 4) AS INT) AS year, e.embedding, e.label AS cluster_id, e.label % 4 AS component_tech_id FROM dated d JOIN embeddings e ON d.doc_id = e.vec_id)"
 _SLICE = "CASE WHEN regexp_full_match(substr({0}, 1, 4), '[0-9]{{1,4}}') THEN CAST(substr({0}, 1, 4) AS INT) ELSE -1 END"
+_STEPS = ", ".join([f"('{n}', {w}::DOUBLE, 0.0::DOUBLE)" for n, w in ELEMENT_STEPS] + [f"('{n}', 0.0::DOUBLE, {w}::DOUBLE)" for n, w in COMPONENT_STEPS])
+_STEP_NAMES = ", ".join(f"'{n}'" for n, _ in ELEMENT_STEPS + COMPONENT_STEPS)
 _SOON = "CASE WHEN doc_id % 7 = 0 THEN 'soon' ELSE update_date END"
 
 
@@ -438,8 +451,9 @@ def oracle_sql() -> dict[str, str]:
         "graph_nodes": f"WITH RECURSIVE {_GRAPH} SELECT id, name_en, name_ko, docs FROM elements WHERE id IN (SELECT from_element_id FROM pruned)",
         "name_alias_fields": "SELECT n_nationkey, '' AS tech_name_ko, n_name AS tech_name_en, '' AS purpose, '' AS method, '' AS novelty, 'x' AS rationale FROM nation",
         "vector_parse": f"WITH {_PAPERS} SELECT doc_id, len(embedding) AS width, round(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 4) AS length, 1.0 AS unit_length FROM papers",
-        "progress_weights": "SELECT * FROM (VALUES ('element', 1.0::DOUBLE, 1.0::DOUBLE), ('component', 1.0, 0.9)) v(phase, total, started)",
-        "eta_buckets": "SELECT CAST(k AS INT) AS k, said FROM (VALUES (0, '예상 소요 시간: 계산 중'), (1, '예상 소요 시간: 거의 완료'), (2, '예상 소요 시간: 59초'), (3, '예상 소요 시간: 1.5분')) v(k, said)",
+        "progress_weights": f"WITH w AS (SELECT * FROM (VALUES {_STEPS}) v(step, element, component)), t AS (SELECT source AS run, ([{_STEP_NAMES}, 'no such step'])[doc_id % 12 + 1] AS step, (n_chars % 131) / 100.0::DOUBLE AS share FROM documents), s AS (SELECT run, step, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(max(share), 0.0::DOUBLE))) AS share FROM t GROUP BY ALL), p AS (SELECT run, coalesce(sum(share * element), 0.0) AS element, coalesce(sum(share * component), 0.0) AS component FROM s LEFT JOIN w USING (step) GROUP BY run) SELECT run, round(element, 6) AS element, round(component, 6) AS component, round(0.85 * element + 0.15 * component, 6) AS overall FROM p",
+        "eta_buckets": "SELECT doc_id, CASE WHEN s IS NULL THEN '예상 소요 시간: 계산 중' WHEN s < 1 THEN '예상 소요 시간: 거의 완료' WHEN s < 60 THEN '예상 소요 시간: ' || CAST(floor(s) AS BIGINT) || '초' ELSE '예상 소요 시간: ' || printf('%.1f', s / 60) || '분' END AS said FROM (SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN n_chars / 16.0::DOUBLE END AS s FROM documents)",
+        "csv_payload": f"WITH {_PAPERS}, x AS (SELECT year, cluster_id, row_number() OVER (PARTITION BY year, cluster_id ORDER BY doc_id) AS place, substr(abstract, 1, 60) AS title FROM papers), y AS (SELECT * FROM x WHERE place <= 2 ORDER BY year, cluster_id, place LIMIT 120), z AS (SELECT 'year,cluster_id,place,' || $$\"title, \"\"cut\"\"\"$$ || chr(10) || string_agg(year || ',' || cluster_id || ',' || place || ',' || CASE WHEN regexp_matches(title, '[,\"\r\n]') THEN '\"' || replace(title, '\"', '\"\"') || '\"' ELSE title END || chr(10), '' ORDER BY year, cluster_id, place) AS csv_text FROM y) SELECT csv_text, base64(encode(csv_text)) AS content FROM z",
     }
 
 
@@ -448,7 +462,7 @@ _OWN = (
     tokenize, ngrams, prompt, json_props_scan, json_lines_before, cluster_counts, doc_frequency_pruned, tfidf_doc_weights, cluster_top_terms, global_keywords, component_top_terms,
     tfidf_diagnostics, transitions_strict, flow_edges, flow_panel, flow_docs, top_flows, flow_keywords, cluster_titles, centroid_norms, rep_titles_by_rank, nearest_centroid,
     centroid_similarity, component_stats, component_density, doc_component_map, graph_edges_compat, graph_edges_corrected, graph_pruned_edges, graph_nodes, names_offline,
-    name_alias_fields, kmeans_labels, pca_projection, lsa_transitions, component_grouping, embedding_offline, vector_parse, progress_weights, eta_buckets,
+    name_alias_fields, kmeans_labels, pca_projection, lsa_transitions, component_grouping, embedding_offline, vector_parse, progress_weights, eta_buckets, csv_payload,
 )
 
 

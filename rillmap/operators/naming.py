@@ -7,6 +7,7 @@ import random
 import re
 import threading
 import time
+from collections.abc import Callable
 from typing import Protocol
 
 import pyarrow as pa
@@ -35,13 +36,35 @@ class OfflineNames:
         return json.dumps({"tech_name_ko": name, "tech_name_en": name, "purpose": "", "method": ", ".join(words[:5]), "novelty": "", "rationale": "leading terms"})
 
 
+class ChatNames:
+    """A provider over any chat client: `complete(model, messages, temperature, timeout, response_format)` gives the answer's text.
+
+    It asks for one JSON object; a client that knows no response_format is asked without, once and for all.
+    """
+
+    def __init__(self, complete: Callable[..., str | None], model: str, temperature: float = 0.35, timeout: float = 60.0):
+        self.complete, self.model, self.temperature, self.timeout, self.json_mode = complete, model, temperature, timeout, True
+
+    def answer(self, system: str, user: str) -> str:
+        said = {"model": self.model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}], "temperature": self.temperature, "timeout": self.timeout}
+        if self.json_mode:
+            try:
+                return self.complete(**said, response_format={"type": "json_object"}) or "{}"
+            except TypeError as e:
+                if "response_format" not in str(e):
+                    raise
+                self.json_mode = False
+        return self.complete(**said) or "{}"
+
+
 def read_answer(text: str) -> dict:
-    """The first flat JSON object of an answer, fences aside; else its `key: value` lines."""
+    """The whole answer as a JSON object; else its first flat JSON object, fences aside; else its `key: value` lines."""
     plain = text.replace("```json", "").replace("```JSON", "").replace("```", "")
     start = plain.find("{")
-    if start >= 0 and (end := plain.find("}", start)) >= 0:
+    end = plain.find("}", start)
+    for part in (text, plain[start : end + 1] if 0 <= start < end else ""):
         try:
-            found = json.loads(plain[start : end + 1])
+            found = json.loads(part)
             if isinstance(found, dict):
                 return found
         except ValueError:

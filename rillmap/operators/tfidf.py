@@ -64,7 +64,7 @@ def cluster_counts(docs: DataFrame, year: str = "year", cluster: str = "cluster_
     return n.withColumn("ratio", F.col("count") / F.sum("count").over(Window.partitionBy(year)))
 
 
-def cluster_terms(docs: DataFrame, text: Column, scope: Sequence[str] = ("year",), cluster: str = "cluster_id", top: int = TERMS_PER_CLUSTER, include_zero: bool = False) -> DataFrame:
+def cluster_terms(docs: DataFrame, text: Column, scope: Sequence[str] = ("year",), cluster: str = "cluster_id", top: int = TERMS_PER_CLUSTER, include_zero: bool = False, key: str = "doc_id") -> DataFrame:
     """(scope, cluster, term, tfidf, docs, rank): the `top` terms of each cluster's mean document, fitted per scope.
 
     Ranks order by the score rounded to nine places, then the term. Terms that a cluster lacks are left out unless
@@ -72,10 +72,10 @@ def cluster_terms(docs: DataFrame, text: Column, scope: Sequence[str] = ("year",
     """
     scope = list(scope)
     # texts are read and tokenised once; a row for each cluster
-    tf = cut(term_counts(docs, text, scope, carry=[cluster]))
+    tf = cut(term_counts(docs, text, scope, key, carry=[cluster]))
     size = cut(docs.groupBy(*scope, cluster).agg(F.count("*").alias("docs")))
     vocabulary = document_frequency(tf, docs, scope, sizes=size.groupBy(*scope).agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n")))
-    w = weights(tf, vocabulary, scope, carry=[cluster])
+    w = weights(tf, vocabulary, scope, key, carry=[cluster])
     summed = w.groupBy(*scope, cluster, "term").agg(F.sum("w").alias("total"))
     scored = summed.join(size, [*scope, cluster]).withColumn("tfidf", F.col("total") / F.col("docs"))
     if include_zero:

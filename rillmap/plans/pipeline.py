@@ -10,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rillmap.config import EngineConfig
@@ -18,6 +18,7 @@ from rillmap.functions.text import joined_text, pick_text_columns
 from rillmap.operators import clustering, components, embedding, flows, graph, naming, prep, tfidf, transitions
 from rillmap.plans.progress import RunState
 from rillmap.sources.loader import load_table
+from rillmap.sources.payload import csv_file
 
 #: Seconds between two looks at a running step.
 POLL = 1.0
@@ -34,27 +35,51 @@ class ClusterResult:
     edges: DataFrame
     keywords: DataFrame
     titles: DataFrame
+    #: (year, status, docs): clustered, left out for its vector, or a year's error.
+    report: DataFrame
 
 
 def run_clustering(docs: DataFrame, cfg: EngineConfig = EngineConfig(), text_cols: list[str] | None = None, labelled: bool = False) -> ClusterResult:
-    """Clusters of each year, their terms, and how they pass into each other; `labelled` uses a given cluster_id."""
-    if not labelled:
-        found = clustering.cluster_years(docs, cfg.n_clusters, cfg.seed).select("doc_id", "cluster_id")
-        docs = docs.drop("cluster_id").join(found, "doc_id")
+    """Clusters of each year, their terms, and how they pass into each other; `labelled` uses a given cluster_id.
+
+    Rows that share a doc_id are documents each: terms are counted by row, not by id.
+    """
+    if labelled:
+        report = docs.groupBy(F.col("year").cast("int").alias("year"), F.lit("clustered").alias("status")).agg(F.count("*").alias("docs"))
+    else:
+        found = clustering.fit_years(docs, cfg.n_clusters, cfg.seed)
+        docs, report = found.docs, found.report
     docs = docs.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = docs.withColumn("row_id", F.monotonically_increasing_id())  # it need hold within one table of terms alone
     own = pick_text_columns(docs, text_cols)
     text = joined_text(own)
     counts = tfidf.cluster_counts(docs)
-    terms = tfidf.cluster_terms(docs, text).persist(StorageLevel.MEMORY_AND_DISK)
-    moves = transitions.transitions(docs, text, cfg.match_threshold).persist(StorageLevel.MEMORY_AND_DISK)
-    return ClusterResult(docs, counts, terms, moves, transitions.flow_edges(moves, counts), tfidf.global_keywords(terms), flows.cluster_titles(docs, own[0]))
+    terms = tfidf.cluster_terms(rows, text, key="row_id").persist(StorageLevel.MEMORY_AND_DISK)
+    moves = transitions.transitions(rows, text, cfg.match_threshold, key="row_id").persist(StorageLevel.MEMORY_AND_DISK)
+    return ClusterResult(docs, counts, terms, moves, transitions.flow_edges(moves, counts), tfidf.global_keywords(terms), flows.cluster_titles(docs, own[0]), report)
+
+
+def materialised(df: DataFrame, **counts: Column) -> dict:
+    """Fills the cache of a persisted `df` in one job, and what was observed on the way: rows, and `counts`."""
+    seen = Observation()
+    observed = df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in counts.items()))
+    observed.write.format("noop").mode("overwrite").save()
+    return seen.get
+
+
+# The files that callers of the old engine look for.
+FLOW_NAMES, COMPONENT_NAMES = "names_generated_flowagg.csv", "component_tech_names.csv"
+
+
+def largest(nodes: DataFrame, n: int = 10) -> list[dict]:
+    return [r.asDict() for r in nodes.orderBy(F.desc("docs"), "id").limit(n).collect()]
 
 
 class Pipeline:
     """Progress events as dictionaries, one for each step; the last good one carries the graph. Results stay on `self`."""
 
-    def __init__(self, spark: SparkSession, cfg: EngineConfig = EngineConfig(), encoder=None, provider=None):
-        self.spark, self.cfg, self.encoder, self.provider = spark, cfg, encoder, provider
+    def __init__(self, spark: SparkSession, cfg: EngineConfig = EngineConfig(), encoder=None, provider=None, checkpoint: str | None = None):
+        self.spark, self.cfg, self.encoder, self.provider, self.checkpoint = spark, cfg, encoder, provider, checkpoint
         self.state = RunState()
 
     def lines(self, path: str) -> Iterator[str]:
@@ -86,7 +111,7 @@ class Pipeline:
             context.setJobGroup(group, step)
             return action()
 
-        share = 0.0
+        share = self.state.progress.done.get(step, 0.0)  # a step may be watched in parts
         with ThreadPoolExecutor(1) as pool:
             work = pool.submit(run)
             while not wait([work], timeout=POLL).done:
@@ -106,41 +131,60 @@ class Pipeline:
     def _steps(self, path: str) -> Iterator[dict]:
         cfg = self.cfg
         yield self._done("element", "upload")
-        df, facts = load_table(self.spark, path)
+        df, facts = yield from self._watched("element", "load", lambda: load_table(self.spark, path))
+        malformed = facts.pop("malformed", None)
         yield self._done("element", "load", **facts)
         df = prep.before_year(df, cfg.cutoff_year, cfg.drop_unknown_year)
         yield self._done("element", "year_filter")
         if "doc_id" not in df.columns:
             df = df.withColumn("doc_id", F.monotonically_increasing_id())
         df = df.transform(prep.clean_nonempty).transform(prep.keyword_filter, cfg.keywords).persist(StorageLevel.MEMORY_AND_DISK)
-        rows = yield from self._watched("element", "preprocess", df.count)
-        yield self._done("element", "preprocess", rows_after_filter=rows)
-        self.embedded = embedding.embed(df, self.encoder, batch_size=cfg.batch_size).persist(StorageLevel.MEMORY_AND_DISK)
-        rows = yield from self._watched("element", "embedding", self.embedded.count)
-        yield self._done("element", "embedding", rows=rows)
+        seen = yield from self._watched("element", "preprocess", lambda: materialised(df))
+        yield self._done("element", "preprocess", rows_after_filter=seen["rows"], **(malformed.get if malformed else {}))
+        self.embedded = embedding.embed(df, self.encoder, self.checkpoint, batch_size=cfg.batch_size).persist(StorageLevel.MEMORY_AND_DISK)
+        seen = yield from self._watched("element", "embedding", lambda: materialised(self.embedded, without_vector=F.count_if(F.col("embedding").isNull())))
+        yield self._done("element", "embedding", **seen)
         self.clusters = yield from self._watched("element", "clustering", lambda: run_clustering(self.embedded, cfg))
-        keywords = yield from self._watched("element", "clustering", self.clusters.keywords.collect)
-        yield self._done("element", "clustering", keywords=[r.term for r in keywords], titles=[r.title for r in self.clusters.titles.collect()])
+        keywords, titles, report = yield from self._watched("element", "clustering", lambda: [x.collect() for x in (self.clusters.keywords, self.clusters.titles, self.clusters.report)])
+        left = [r.asDict() for r in report if r.status != "clustered"]
+        yield self._done("element", "clustering", keywords=[r.term for r in keywords], titles=[r.title for r in titles], left_out=left)
+        elements, file, first = yield from self._watched("element", "tech_naming", self._name_flows)
+        yield {**self._done("element", "tech_naming", elements=first), "files": [file]}
+        docs, self.meta = yield from self._watched("component", "component_grouping", self._group)
+        self.documents = docs.persist(StorageLevel.MEMORY_AND_DISK)
+        yield self._done("component", "component_grouping")
+        parts, file, first = yield from self._watched("component", "component_naming", self._name_components)
+        yield self._done("component", "component_naming", components=first)
+        yield {**self._done("component", "component_result"), "files": [file]}
+        payload = yield from self._watched("component", "visualize", lambda: self._graph(elements, parts))
+        yield {**self._done("component", "visualize"), **payload}
+
+    def _name_flows(self) -> tuple[DataFrame, dict, list[dict]]:
+        """(element nodes, the names as a file, the ten largest)."""
         self.panel = flows.flow_panel(self.clusters.edges).persist(StorageLevel.MEMORY_AND_DISK)
-        top = flows.top_flows(self.panel, cfg.top_flows).withColumnRenamed("flow_id", "id")
+        top = flows.top_flows(self.panel, self.cfg.top_flows).withColumnRenamed("flow_id", "id")
         words = flows.flow_keywords(self.panel, self.clusters.terms).withColumnRenamed("flow_id", "id")
         self.names = naming.name_groups(top, words, self.provider).persist(StorageLevel.MEMORY_AND_DISK)
-        elements = graph.nodes(self.names, top)
-        yield self._done("element", "tech_naming", elements=[r.asDict() for r in elements.orderBy(F.desc("docs"), "id").limit(10).collect()])
-        setting = components.ComponentConfig(n_components=cfg.n_components, seed=cfg.seed)
-        docs, self.meta = components.group_components(self.clusters.docs, setting)
-        self.documents = docs.persist(StorageLevel.MEMORY_AND_DISK)
-        yield self._done("component", "component_grouping")
-        text = joined_text(pick_text_columns(self.documents))
-        terms = tfidf.cluster_terms(self.documents, text, (), "component_tech_id").withColumnRenamed("component_tech_id", "id")
+        nodes = graph.nodes(self.names, top)
+        return nodes, csv_file(self.names.withColumnRenamed("id", "flow_id"), FLOW_NAMES, F.col("flow_id")), largest(nodes)
+
+    def _group(self) -> tuple[DataFrame, DataFrame]:
+        return components.group_components(self.clusters.docs, components.ComponentConfig(n_components=self.cfg.n_components, seed=self.cfg.seed))
+
+    def _name_components(self) -> tuple[DataFrame, dict, list[dict]]:
+        """(component nodes, the names as a file, the ten largest)."""
+        rows = self.documents.withColumn("row_id", F.monotonically_increasing_id())
+        terms = tfidf.cluster_terms(rows, joined_text(pick_text_columns(self.documents)), (), "component_tech_id", key="row_id").withColumnRenamed("component_tech_id", "id")
         sizes = self.documents.groupBy(F.col("component_tech_id").alias("id")).agg(F.count("*").alias("docs"))
         self.component_names = naming.name_groups(sizes, terms, self.provider).persist(StorageLevel.MEMORY_AND_DISK)
-        parts = graph.nodes(self.component_names, sizes)
-        yield self._done("component", "component_naming", components=[r.asDict() for r in parts.orderBy(F.desc("docs"), "id").limit(10).collect()])
-        yield self._done("component", "component_result")
+        nodes = graph.nodes(self.component_names, sizes)
+        file = csv_file(self.component_names.join(sizes, "id").withColumnRenamed("id", "component_tech_id").select("component_tech_id", *self.component_names.columns[1:], "docs"), COMPONENT_NAMES, -F.col("docs"), F.col("component_tech_id"))
+        return nodes, file, largest(nodes)
+
+    def _graph(self, elements: DataFrame, parts: DataFrame) -> dict[str, list[dict]]:
+        cfg = self.cfg
         edges = graph.edges_corrected(self.documents, self.panel)
         self.edges = graph.pruned_edges(edges, elements, parts, cfg.min_edge_weight, cfg.edges_per_element, cfg.edges_per_component).persist(StorageLevel.MEMORY_AND_DISK)
         self.elements = graph.connected_nodes(elements, self.edges, "from_element_id")
         self.components = graph.connected_nodes(parts, self.edges, "to_component_id")
-        payload = {"elements": self.elements, "components": self.components, "edges": self.edges}
-        yield {**self._done("component", "visualize"), **{k: [r.asDict() for r in v.collect()] for k, v in payload.items()}}
+        return {k: [r.asDict() for r in v.collect()] for k, v in (("elements", self.elements), ("components", self.components), ("edges", self.edges))}

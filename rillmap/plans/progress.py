@@ -5,20 +5,44 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from rillmap.config import COMPONENT_SHARE, COMPONENT_STEPS, ELEMENT_SHARE, ELEMENT_STEPS
 
-# What the old engine says to its users.
-ETA_LABEL, ETA_UNKNOWN, ETA_SOON, ETA_SECONDS, ETA_MINUTES = "예상 소요 시간: ", "계산 중", "거의 완료", "초", "분"
+# What the old engine says to its users, whole.
+ETA_UNKNOWN = "예상 소요 시간: 계산 중"
+ETA_SOON = "예상 소요 시간: 거의 완료"
+ETA_SECONDS = "예상 소요 시간: {}초"
+ETA_MINUTES = "예상 소요 시간: {}분"
 
 
 def format_eta(seconds: float | None) -> str:
     if seconds is None:
-        said = ETA_UNKNOWN
-    elif seconds < 1:
-        said = ETA_SOON
-    else:
-        said = f"{int(seconds)}{ETA_SECONDS}" if seconds < 60 else f"{seconds / 60:.1f}{ETA_MINUTES}"
-    return ETA_LABEL + said
+        return ETA_UNKNOWN
+    if seconds < 1:
+        return ETA_SOON
+    return ETA_SECONDS.format(int(seconds)) if seconds < 60 else ETA_MINUTES.format(f"{seconds / 60:.1f}")
+
+
+def eta_text(seconds: Column) -> Column:
+    """What format_eta says, for a column of seconds; tenths are rounded by the binary value, as there."""
+    minutes = F.call_function("format_number", seconds / 60, F.lit("0.0"))
+    whole, minutes = F.format_string(ETA_SECONDS.format("%s"), seconds.cast("long")), F.format_string(ETA_MINUTES.format("%s"), minutes)
+    return F.when(seconds.isNull(), ETA_UNKNOWN).when(seconds < 1, ETA_SOON).when(seconds < 60, whole).otherwise(minutes)
+
+
+def progress_of(told: DataFrame) -> DataFrame:
+    """(run, element, component, overall) of the shares that runs have told (run, step, share).
+
+    A step counts with the last it told, as what is told never falls: the largest, cut to 0 to 1; steps of no name weigh nothing.
+    """
+    spark = told.sparkSession
+    steps = spark.createDataFrame([(n, w, 0.0) for n, w in ELEMENT_STEPS] + [(n, 0.0, w) for n, w in COMPONENT_STEPS], "step string, element double, component double")
+    shares = told.groupBy("run", "step").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.max("share"), F.lit(0.0)))).alias("share"))
+    parts = shares.join(F.broadcast(steps), "step", "left")  # eleven rows
+    sums = parts.groupBy("run").agg(*[F.coalesce(F.sum(F.col("share") * F.col(c)), F.lit(0.0)).alias(c) for c in ("element", "component")])
+    return sums.withColumn("overall", ELEMENT_SHARE * F.col("element") + COMPONENT_SHARE * F.col("component"))
 
 
 @dataclass
