@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillmap.functions.text import clean_words, pick_embed_text
+from rillmap.sources.bucketed import BucketedTable
 
 
 class Encoder(Protocol):
@@ -40,8 +41,10 @@ class HashingEncoder:
 def embed(df: DataFrame, encoder: Encoder | None = None, checkpoint: str | None = None, key: str = "doc_id", stop_words: Sequence[str] = (), batch_size: int = 512) -> DataFrame:
     """`df` with an array<float> column `embedding` of its first text column, cleaned.
 
-    With `checkpoint`, a Parquet folder keyed by (key, model, hash of the cleaned text): rows already there are
-    never encoded again, new ones are appended, and a changed text or model never meets an old vector.
+    With `checkpoint`, a folder of buckets keyed by (key, hash of model and cleaned text): rows already there are
+    never encoded again, new ones are appended, and a changed text or model never meets an old vector. The history is
+    read in its buckets: a resume deals the rows it is given, and of the table only what it adds. With a
+    checkpoint a row without a key gets no vector.
     """
     encoder = encoder or HashingEncoder()
     rows = df.withColumn("__clean", clean_words(pick_embed_text(df), stop_words))
@@ -60,15 +63,10 @@ def embed(df: DataFrame, encoder: Encoder | None = None, checkpoint: str | None
     if checkpoint is None:
         done = todo.mapInArrow(encode, schema)
     else:
-        spark = df.sparkSession
-        try:
-            have = spark.read.schema(schema).parquet(checkpoint)
-            todo = todo.join(have.select("k", "h"), ["k", "h"], "left_anti")
-        except Exception as e:  # the first run has no folder yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        todo.mapInArrow(encode, schema).write.mode("append").parquet(checkpoint)
-        done = spark.read.schema(schema).parquet(checkpoint).dropDuplicates(["k", "h"])
-    done = done.select(F.col("k").alias(key), F.col("h").alias("__h"), "embedding")
-    rows = rows.withColumn("__h", F.sha2(F.concat_ws("\u0001", F.lit(encoder.name), "__clean"), 256))
-    return rows.drop("embedding").join(done, [key, "__h"], "left").select(*[c for c in df.columns if c != "embedding"], "embedding")
+        table = BucketedTable(df.sparkSession, checkpoint, schema)
+        table.append(table.missing(todo).mapInArrow(encode, schema))
+        done = table.read()
+    done = done.select(F.col("k").alias("__k"), F.col("h").alias("__d"), "embedding")
+    rows = rows.withColumn("__h", F.sha2(F.concat_ws("\u0001", F.lit(encoder.name), "__clean"), 256)).drop("embedding")
+    same = F.col(key).eqNullSafe(F.col("__k")) if checkpoint is None else F.col(key) == F.col("__k")
+    return rows.join(done, same & BucketedTable.same(F.col("__h"), F.col("__d")), "left").select(*[c for c in df.columns if c != "embedding"], "embedding")

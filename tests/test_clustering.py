@@ -96,6 +96,53 @@ def test_components_of_every_group(spark, most):
         assert b.n == len(x) and np.allclose(b.mean, x.mean(0)) and np.allclose(np.abs(b.basis.T @ want), np.eye(k), atol=1e-6)
 
 
+def test_components_group_what_lies_together(spark):
+    """Planted groups of centroids are found, numbered by size; one centroid, or none, is a group of its own, or none."""
+    from rillmap.operators.components import ComponentConfig, centroids, group_components, reduce_dimensions
+
+    rng = np.random.default_rng(4)
+    middle = rng.standard_normal((3, 10)) * 2
+    rows = [(y * 100 + c * 10 + d, y, c, (middle[min(c // 2, 2)] + 0.05 * rng.standard_normal(10)).tolist()) for y in (2000, 2001, 2003) for c in range(8) for d in range(5)]
+    rows += [(9000, 2000, 0, None), (9001, 2000, 0, [1.0]), (9002, 2001, 1, [float("nan")] * 10), (9003, 2001, None, [1.0] * 10)]
+    df = spark.createDataFrame(rows, "doc_id long, year int, cluster_id int, embedding array<double>")
+    cents = centroids(df).orderBy("year", "cluster_id").collect()
+    assert len(cents) == 24 and all(r.docs == 5 for r in cents)
+    for r in cents:
+        unit = np.array([v for _, y, c, v in rows if (y, c) == (r.year, r.cluster_id) and v and len(v) == 10 and not np.isnan(v).any()])
+        mean = (unit / np.linalg.norm(unit, axis=1)[:, None]).mean(0)
+        assert np.allclose(r.vector, mean / (np.linalg.norm(mean) + 1e-12))
+    docs, meta = group_components(df, ComponentConfig(n_components=3, pca_dims=4))
+    assert {(r.cluster_id // 2 if r.cluster_id < 4 else 2, r.component_tech_id) for r in meta.collect()} == {(0, 1), (1, 2), (2, 0)}
+    assert docs.count() == len(rows) and {r.component_tech_id for r in docs.where("orig_cluster_id = 7").collect()} == {0}
+    x = np.array([r.vector for r in cents])
+    z = np.array([r.z for r in reduce_dimensions(centroids(df), ComponentConfig(pca_dims=4)).orderBy("year", "cluster_id").collect()])
+    c = x - x.mean(0)
+    want = c @ np.linalg.svd(c, full_matrices=False)[2][:4].T
+    assert np.allclose(np.abs(z), np.abs(want / np.linalg.norm(want, axis=1)[:, None]), atol=1e-6)
+    for some, n in ((df.where("year = 2000 and cluster_id = 1"), 1), (df.where("false"), 0)):
+        docs, meta = group_components(some)
+        assert [r.component_tech_id for r in meta.collect()] == [0] * n and docs.count() == 5 * n
+
+
+def test_titles_of_rows_with_bad_vectors(spark):
+    from rillmap.operators.components import representative_titles
+
+    rows = [(1, 2000, 0, "a", [1.0, 0.0]), (2, 2000, 0, "b", [1.0, 0.1]), (3, 2000, 0, "c", None), (4, 2000, 0, "d", [1.0]), (5, 2000, 0, "e", [None, 1.0]), (6, 2001, 0, "f", [0.0, 1.0])]
+    found = representative_titles(spark.createDataFrame(rows, "doc_id long, year int, cluster_id int, title string, embedding array<double>"))
+    assert {(r.year, r.title) for r in found.collect()} == {(2000, "a"), (2000, "b"), (2001, "f")}
+
+
+def test_vocabulary_backs_off(spark):
+    """Where pruning would leave a year no term it keeps all of them, and a year that keeps some keeps only those."""
+    from pyspark.sql import functions as F
+
+    from rillmap.operators.tfidf import cluster_terms
+
+    rows = [(k, 2000, 0, f"alone{k}a alone{k}b") for k in range(25)] + [(100 + k, 2001, 0, f"shared word{k}" if k % 2 else f"word{k}") for k in range(30)]
+    found = cluster_terms(spark.createDataFrame(rows, "doc_id long, year int, cluster_id int, title string"), F.col("title")).collect()
+    assert len([r for r in found if r.year == 2000]) == 30 and {r.term for r in found if r.year == 2001} == {"shared"}
+
+
 def test_one_document_and_none(spark):
     from rillmap.operators.clustering import cluster_years
 
