@@ -129,15 +129,27 @@ def fit(sample: np.ndarray, total: int, k: int, norm: float, bands: list[int]) -
     return tables
 
 
-def _best(query: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, at: np.ndarray, rough: np.ndarray | None, k: int):
-    """The k best of the candidates `at`: rough scores choose, one fixed double-precision sum decides, ties to smaller id."""
-    if len(at) > 3 * k + 24:
-        rough = x[at] @ query if rough is None else rough[at]
-        at = at[np.argpartition(-rough, 3 * k + 23)[: 3 * k + 24]]
+def _best(query: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, at: np.ndarray, rough: np.ndarray | None, k: int, repeated: bool):
+    """The k best ids of the candidates `at`, each by its best vector, the query's own left out first.
+
+    Rough scores choose rows of enough different ids, one fixed double-precision sum decides, ties go to the smaller id.
+    `repeated`: an id may have several vectors here.
+    """
     at = at[ids[at] != own]
+    most = 3 * k + 24
+    if len(at) > most:
+        rough = x[at] @ query if rough is None else rough[at]
+        if repeated:
+            order = np.argsort(-rough, kind="stable")
+            first = np.sort(np.unique(ids[at][order], return_index=True)[1])  # where each id's best row stands
+            at = at[order[: first[most] if len(first) > most else len(order)]]
+        else:
+            at = at[np.argpartition(-rough, most - 1)[:most]]
     score = (x[at] * query).sum(1)
-    order = np.lexsort((ids[at], -score))[:k]
-    return ids[at][order], score[order]
+    order = np.lexsort((ids[at], -score))
+    if repeated:
+        order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])]
+    return ids[at][order[:k]], score[order[:k]]
 
 
 _FOUND = "query_id long, ids array<long>, scores array<double>"
@@ -163,7 +175,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors without an
     id or of another width than most of the sample. Ties go to the smaller id. Rows that repeat an id and vector
-    count once; an id with several vectors may be found by each. Extra columns are ignored; an empty table gives
+    count once; an id with several vectors is as near as its nearest one, and as a query it asks with each. Extra columns are ignored; an empty table gives
     no rows, and fewer than k candidates give as many rows.
     """
     spark = vectors.sparkSession
@@ -220,6 +232,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
             ids, x = left.column("id").to_numpy(), matrix(left.column("v").combine_chunks())
+            repeated = len(np.unique(ids)) < len(ids)
             code = left.column("codes").combine_chunks().flatten().to_numpy()
             order = np.argsort(code, kind="stable")
             ids, x, code = ids[order], x[order], code[order]
@@ -242,17 +255,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                         continue
                     size = sizes[found]
                     rows = np.repeat(heads[found] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                    out.append((int(query_ids[q]), *_best(queries[q], query_ids[q], ids, x, rows, None if rough is None else rough[q - lo], k)))
+                    out.append((int(query_ids[q]), *_best(queries[q], query_ids[q], ids, x, rows, None if rough is None else rough[q - lo], k, repeated)))
         return _table(out)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
             ids, x = left.column("id").to_numpy(), matrix(left.column("v").combine_chunks())
+            repeated = len(np.unique(ids)) < len(ids)
             query_ids, queries = right.column("id").to_numpy(), matrix(right.column("v").combine_chunks())
             for lo in range(0, len(queries), 64):
                 rough = queries[lo : lo + 64] @ x.T
-                out += [(int(query_ids[lo + q]), *_best(queries[lo + q], query_ids[lo + q], ids, x, np.arange(len(x)), r, k)) for q, r in enumerate(rough)]
+                out += [(int(query_ids[lo + q]), *_best(queries[lo + q], query_ids[lo + q], ids, x, np.arange(len(x)), r, k, repeated)) for q, r in enumerate(rough)]
         return _table(out)
 
     def merge(table: pa.Table) -> pa.Table:

@@ -67,3 +67,29 @@ def test_few_visits():
     norm = float(np.linalg.norm(x, axis=1).max())
     tables = fit(x, len(x), 20, norm, sorted(set(band_of(x, norm).tolist())))
     assert not tables.exact and tables.visited < 0.5
+
+
+@pytest.mark.parametrize("aim", [0.96, 2.0])
+def test_an_id_with_many_vectors_pushes_no_other_out(spark, aim, monkeypatch):
+    """Thirty near vectors of one id, and thirty of the query's own, are one neighbour and none; an id counts by its nearest."""
+    from rillmap.llm import ann
+
+    monkeypatch.setattr(ann, "AIM", aim)
+    monkeypatch.setattr(ann, "GROUP", 60)
+    rng = np.random.default_rng(5)
+    near = lambda spread: [float(v) for v in [1.0, 0, 0, 0] + spread * rng.standard_normal(4)]
+    less = lambda spread: [0.9 * v / float(np.linalg.norm(w)) for w in [near(spread)] for v in w]
+    rows = [(0, near(0.0)), *((20, near(0.01)) for _ in range(30)), *((0, near(0.02)) for _ in range(30)), *((k, less(0.3)) for k in range(100, 200)), *((k, less(0.5)) for k in range(100, 140))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = df.where("vec_id = 0").limit(1)
+    query = np.array(asked.first().embedding)
+    best = {}
+    for i, v in rows:
+        if i != 0:
+            best[i] = max(best.get(i, -9.0), float((np.array(v) * query).sum()))
+    want = sorted(((-s, i) for i, s in best.items()))[:20]
+    found = ann.nearest(df, spark.createDataFrame([(0, query.tolist())], df.schema)).orderBy("rank").collect()
+    assert len(found) == 20 and len({r.vec_id for r in found}) == 20 and found[0].vec_id == 20
+    if aim > 1:
+        assert [(r.vec_id, round(r.score, 12)) for r in found] == [(i, round(-s, 12)) for s, i in want]
+    assert all(abs(r.score - best[r.vec_id]) < 1e-12 for r in found) or aim < 1
