@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
 from math import comb
@@ -49,7 +50,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def close_pairs(fps: np.ndarray, radius: int, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of fingerprints within `radius` bits; a fingerprint is a 64-bit number or a row of bytes.
+    """All index pairs of close_parts at once."""
+    parts = list(zip(*close_parts(fps, radius, block), strict=True))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(parts[0]), np.concatenate(parts[1])) if parts else (none, none)
+
+
+#: Pairs that one step of a comparison looks at, and may find.
+STEP_PAIRS = 1 << 20
+
+
+def close_parts(fps: np.ndarray, radius: int, block: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of fingerprints within `radius` bits, in parts of STEP_PAIRS at most; a fingerprint is a 64-bit number or a row of bytes.
 
     The fingerprints are transposed to bit planes, 64 fingerprints to a machine word. For a block of queries,
     each plane's differing bits are added to vertical counters by carry-save steps (and, xor); a counter that passes
@@ -57,7 +69,6 @@ def close_pairs(fps: np.ndarray, radius: int, block: int = 4096) -> tuple[np.nda
     of its bits has overflowed.
     """
     n, levels = len(fps), max(1, int(radius + 1).bit_length())
-    out_a, out_b = [], []
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     raw = fps if fps.ndim == 2 else fps.astype(">u8").view(np.uint8).reshape(n, 8)
     bits = np.unpackbits(raw, axis=1)
@@ -71,7 +82,7 @@ def close_pairs(fps: np.ndarray, radius: int, block: int = 4096) -> tuple[np.nda
         tail = np.zeros(planes.shape[1], np.uint64)
         for k in range(len(part), len(padded)):
             tail[k // 64] |= np.uint64(1) << np.uint64(63 - k % 64)
-        step = max(1, (1 << 18) // planes.shape[1])
+        step = max(1, min(1 << 18, STEP_PAIRS // 64) // planes.shape[1])
         for q0 in range(0, min(n, lo + len(part)), step):
             mine = bits[q0 : min(q0 + step, lo + len(part))]
             over = np.broadcast_to(tail, (len(mine), len(tail))).copy()
@@ -97,10 +108,21 @@ def close_pairs(fps: np.ndarray, radius: int, block: int = 4096) -> tuple[np.nda
             q, j = np.nonzero(hit)
             a, b = live[q] + q0, j + lo
             keep = a < b
-            out_a.append(a[keep])
-            out_b.append(b[keep])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
+            yield a[keep], b[keep]
+
+
+def _united(n: int, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Smallest index reachable from each of n nodes over pairs that come in parts: none is kept."""
+    label = np.arange(n)
+    for a, b in parts:
+        a, b = label[a], label[b]
+        apart = a != b
+        if apart.any():
+            ends = np.unique(np.minimum(a[apart], b[apart]) * n + np.maximum(a[apart], b[apart]))
+            label = local_components(n, ends // n, ends % n)[label]
+            if not label.any():  # all are one
+                break
+    return label
 
 
 def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
@@ -351,37 +373,40 @@ def _prints(rows: pa.Table, at: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint8).reshape(-1, WIDE // 8)[at]
 
 
-def _similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Smallest index reachable from each set over those pairs a-b whose exact Jaccard similarity is `similarity` or more.
+def _similar(sets: list[np.ndarray], parts: Iterator[tuple[np.ndarray, np.ndarray]], similarity: float) -> np.ndarray:
+    """Smallest index reachable from each set over those pairs whose exact Jaccard similarity is `similarity` or more.
 
-    Pairs of sets that are linked already are not counted again.
+    Pairs come in parts, of which none is kept; pairs of sets that are linked already are not counted again.
     """
     label = np.arange(len(sets))
-    if not len(a):
-        return label
-    size = np.array([len(x) for x in sets])
+    size = np.array([len(x) for x in sets], np.int64)
     begin = np.concatenate([[0], np.cumsum(size)])
-    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    known, flat = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
     mark = np.zeros(len(known), bool)
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], b[order]
-    cuts = np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a))
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        one, others = a[lo], b[lo:hi]
-        least, most = np.minimum(size[one], size[others]), np.maximum(size[one], size[others])
-        others = others[(label[others] != label[one]) & (least > 0) & (least >= similarity * most - 1e-9)]
-        own = flat[begin[one] : begin[one + 1]]
-        mark[own] = True
-        for k in range(0, len(others), 512):
-            some = others[k : k + 512]
-            step = size[some]
-            head = np.cumsum(step) - step
-            both = np.add.reduceat(mark[flat[np.repeat(begin[some] - head, step) + np.arange(step.sum())]], head, dtype=np.int64)
-            near = some[both >= similarity * (size[one] + step - both) - 1e-9]
-            if len(near):
-                joined = np.unique(label[np.append(near, one)])
-                label[np.isin(label, joined)] = joined[0]
-        mark[own] = False
+    for a, b in parts:
+        least, most = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        open_ = (label[a] != label[b]) & (least > 0) & (least >= similarity * most - 1e-9)
+        a, b = a[open_], b[open_]
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        cuts = np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a)) if len(a) else np.zeros(1, np.int64)
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            one, others = a[lo], b[lo:hi]
+            own = flat[begin[one] : begin[one + 1]]
+            mark[own] = True
+            for k in range(0, len(others), 512):
+                some = others[k : k + 512]
+                some = some[label[some] != label[one]]
+                if not len(some):
+                    continue
+                step = size[some]
+                head = np.cumsum(step) - step
+                both = np.add.reduceat(mark[flat[np.repeat(begin[some] - head, step) + np.arange(step.sum())]], head, dtype=np.int64)
+                near = some[both >= similarity * (size[one] + step - both) - 1e-9]
+                if len(near):
+                    joined = np.unique(label[np.append(near, one)])
+                    label[np.isin(label, joined)] = joined[0]
+            mark[own] = False
     return label
 
 
@@ -396,7 +421,7 @@ def rough_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     def found(rows: pa.Table) -> pa.RecordBatch:
         node, at = np.unique(rows.column("node").to_numpy(), return_index=True)
-        return _moved(node, local_components(len(node), *close_pairs(_prints(rows, at), radius)))
+        return _moved(node, _united(len(node), close_parts(_prints(rows, at), radius)))
 
     keyed = nodes.select("node", F.posexplode("least").alias("t", "key"))
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -422,16 +447,11 @@ def copy_links(nodes: DataFrame, docs: DataFrame, similarity: float = 0.8, width
 
     def found(rows: pa.Table) -> pa.RecordBatch:
         node, at = np.unique(rows.column("node").to_numpy(), return_index=True)
-        a, b = close_pairs(_prints(rows, at), radius)
-        met = np.zeros(len(node), bool)
-        met[a], met[b] = True, True
-        sets = [np.zeros(0, np.uint64)] * len(node)
-        some = np.flatnonzero(met)
-        for lo, hi, data, off in text_blocks(rows.column("text").take(pa.array(at[some])).combine_chunks(), 1 << 20):
+        sets: list[np.ndarray] = []
+        for _, _, data, off in text_blocks(rows.column("text").take(pa.array(at)).combine_chunks(), 1 << 20):
             count, h = _shingles(data, off, width)
-            for k, part in zip(some[lo:hi], np.split(h, np.cumsum(count)[:-1]), strict=True):
-                sets[k] = part
-        return _moved(node, _similar(sets, a, b, similarity))
+            sets += np.split(h, np.cumsum(count)[:-1])
+        return _moved(node, _similar(sets, close_parts(_prints(rows, at), radius), similarity))
 
     rough = components(rough_links(nodes, similarity))
     rough = materialize(rough.union(rough.select(F.col("root").alias("node"), "root")).distinct())

@@ -120,3 +120,36 @@ def test_links_are_exact(spark, tile, monkeypatch):
         assert (of[k] == of[k + 1]) == (s >= 0.8 - 1e-9), (rows[k], s)
         linked += s >= 0.8 - 1e-9
     assert 20 < linked < len(pairs) - 20
+
+
+def test_many_near_equal_sketches_hold_no_pairs():
+    """8192 sketches that all lie near each other are one group in little memory, though they make 33 million pairs."""
+    import tracemalloc
+
+    from rillmap.llm.simhash import WIDE, _similar, _united, close_parts
+
+    rng = np.random.default_rng(0)
+    bits = np.repeat(rng.integers(0, 2, (2, WIDE), dtype=np.uint8), 4096, 0)
+    bits[np.arange(8192), rng.integers(0, WIDE, 8192)] ^= 1
+    prints = np.packbits(bits, axis=1)
+    tracemalloc.start()
+    label = _united(8192, close_parts(prints, 200))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(label[:4096]) == {0} and set(label[4096:]) == {4096} and peak < 400e6, peak
+    sets = [np.array([1, 2, 3, 4, k % 3 + 10], np.uint64) for k in range(40)] + [np.array([7], np.uint64), np.zeros(0, np.uint64)]
+    every = [(np.array([i]), np.array([j])) for i in range(42) for j in range(i + 1, 42)]
+    for similarity, groups in ((0.6, 3), (0.9, 5)):
+        label = _similar(sets, iter(every), similarity)
+        assert len(set(label.tolist())) == groups and all(label[k] <= k for k in range(42))
+
+
+def test_parts_are_the_pairs(monkeypatch):
+    from rillmap.llm import simhash
+
+    rng = np.random.default_rng(1)
+    fps = rng.integers(0, 1 << 12, 300, dtype=np.uint64)
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if bin(int(fps[i] ^ fps[j])).count("1") <= 2}
+    for size in (1 << 22, 1 << 7):
+        monkeypatch.setattr(simhash, "STEP_PAIRS", size)
+        assert {*zip(*(x.tolist() for x in simhash.close_pairs(fps, 2, block=128)), strict=True)} == want
