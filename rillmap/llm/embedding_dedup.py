@@ -13,6 +13,8 @@ from .common import components, local_components, materialize, release
 
 #: Distinct vectors that a cell should be home to, and most pivots (drawn from a bounded sample of the vectors).
 CELL, MOST_PIVOTS, SAMPLE = 16384, 4096, 16384
+#: Vectors of the sample on which copies are counted.
+MEASURED = 2048
 #: A cell with more members is joined in pairs of blocks of this size.
 BLOCK = 32768
 
@@ -43,7 +45,12 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[picked]
 
 
-def cells(x: np.ndarray, pivots: np.ndarray, angle: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def between(pivots: np.ndarray) -> np.ndarray:
+    """The distances of all pivots from each other."""
+    return np.sqrt(np.maximum(2 - 2 * np.clip(pivots @ pivots.T, -1, 1), 1e-12))
+
+
+def cells(x: np.ndarray, pivots: np.ndarray, angle: float, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, cell, angle to its pivot) of all memberships; a row's home comes first.
 
     Angles are a metric. Were a partner at home with p, within `angle`, then by the triangle inequality
@@ -54,7 +61,7 @@ def cells(x: np.ndarray, pivots: np.ndarray, angle: float) -> tuple[np.ndarray,
     home = cos.argmax(1)
     rows = np.arange(len(x))
     far = np.arccos(cos)
-    apart = np.sqrt(np.maximum(2 - 2 * np.clip(pivots @ pivots.T, -1, 1), 1e-12))
+    apart = between(pivots) if apart is None else apart
     near = (far <= far[rows, home][:, None] + 2 * angle + 1e-9) & (cos[rows, home][:, None] - cos <= apart[home] * math.sin(angle) + 1e-9)
     near &= np.arange(len(pivots))[None, :] < home[:, None]
     r, c = np.nonzero(near)
@@ -94,8 +101,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str
     Equal vectors are one class, weighted by their number, before any comparison. Classes meet in pivot cells
     (`cells`); a cell's links are counted where found and summed, and go on as links to their local component's
     root alone, so neither pairs nor a group's square leave a task. A cell of many members is joined in block pairs.
-    On data without neighbourhoods in few dimensions the replicas approach all cells: exactness then costs a full
-    comparison, in blocks.
+    On data without neighbourhoods in few dimensions the replicas approach all cells: where a sample has more copies than
+    there are blocks, all vectors lie around one pivot and are compared in block pairs, with the same links.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so do vectors of
     different widths with each other. A class is known by a number of its own, so rows that repeat an id are vectors
@@ -115,17 +122,23 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str
     width = max(set(widths), key=lambda w: (widths.count(w), w)) if widths else 0
     many = max(1, min(MOST_PIVOTS, -(-total // CELL)))
     pivots = choose_pivots(unit(np.array([v for v in sample if len(v) == width], float)), many) if widths else np.zeros((1, 1))
+    if len(pivots) > 1:
+        some = unit(np.array([v for v in sample if len(v) == width], float)[:MEASURED])
+        copies = len(cells(some, pivots, angle)[0]) / len(some)
+        if copies > -(-total // BLOCK):  # on these data cells deal more copies than block pairs do: all vectors around one pivot
+            pivots = pivots[:1]
     shared = spark.sparkContext.broadcast(pivots)  # MOST_PIVOTS vectors at most
     kind = classes.schema["v"].dataType.simpleString()
 
     def assign(batches):
+        apart = between(shared.value)
         for batch in batches:
             lengths = np.diff(batch.column(0).offsets.to_numpy())
             for w in np.unique(lengths):
                 mine = np.flatnonzero(lengths == w)
                 part = batch.take(pa.array(mine))
                 if w == width:
-                    row, cell, far = cells(unit(matrix(part.column(0))), shared.value, angle)
+                    row, cell, far = cells(unit(matrix(part.column(0))), shared.value, angle, apart)
                 else:  # vectors of another width have a cell of their own
                     row, cell, far = np.arange(len(mine)), np.full(len(mine), -int(w)), np.zeros(len(mine))
                 for lo in range(0, len(row), 16384):

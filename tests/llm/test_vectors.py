@@ -37,3 +37,19 @@ def test_absent_and_repeated_ids(spark, cell, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     key = lambda r: tuple((v is None, v) for v in r)
     assert sorted((tuple(r) for r in m.near_duplicate_vectors(df).collect()), key=key) == sorted(by_force(rows), key=key)
+
+
+def test_one_pivot_where_cells_copy_more(spark, monkeypatch):
+    """On random directions cells would copy every vector more often than blocks do; the links are the same either way."""
+    from rillmap.llm import embedding_dedup as m
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 24))
+    x[200:] = x[:100] + 0.05 * rng.standard_normal((100, 24))
+    rows = [(k, v) for k, v in enumerate(x.tolist())]
+    monkeypatch.setattr(m, "CELL", 20)
+    want = sorted(by_force(rows))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (100, 10):
+        monkeypatch.setattr(m, "BLOCK", block)
+        assert sorted(tuple(r) for r in m.near_duplicate_vectors(df).collect()) == want
