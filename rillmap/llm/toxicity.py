@@ -222,7 +222,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: tuple[int, int] = (1600, 800), most_bytes: int = 32768) -> ChainField:
     """A field trained on a bounded sample: of the first `most` clean and toxic labels by hash of id, the distinct texts
-    of `most_bytes` at most."""
+    of `most_bytes` at most. Equal texts are one, with the label that most of them have (toxic where as many have either)."""
     one = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     counts = {r.label: r["count"] for r in one.groupBy("label").count().collect()}
     ids = None
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: tu
         ids = part if ids is None else ids.union(part)
     text = F.col(text_col).cast("string")
     told = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where(F.octet_length("text") <= most_bytes)
-    rows = told.join(F.broadcast(ids), "doc_id").select("text", "label").dropDuplicates(["text"]).orderBy(F.xxhash64("text")).limit(sum(most)).toArrow()  # 2400 ids at most
+    rows = told.join(F.broadcast(ids), "doc_id").groupBy("text").agg((F.avg("label") >= 0.5).cast("int").alias("label")).orderBy(F.xxhash64("text")).limit(sum(most)).toArrow()  # 2400 ids at most
     model = ChainField()
     toxic = rows.column("label").to_numpy() == 1
     if not toxic.any():
