@@ -10,7 +10,7 @@ from math import ceil, log2
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, Substrings, byte_view, materialize, mix, release, runs, shared_checkpoints
@@ -294,9 +294,9 @@ def remove_repeated_windows(docs: DataFrame, width: int = 50, id_col: str = "doc
     shard, shards = max(min(LEAST_SHARD, bits), min(MOST_SHARD, bits - SHARDS)), max(0, bits - EXACT)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/windows-{uuid.uuid4().hex}"
     rows.mapInArrow(lambda x: _ask_sketch(x, width, bits, shard), _ROW).write.option("compression", "zstd").partitionBy("kind").parquet(folder)
-    stored = spark.read.schema(_ROW).parquet(folder).select(*_NAMES)
-    texts, asked = stored.where("kind = 0"), stored.where("kind = 1")
+    texts, asked = (_stored(spark, folder, kind) for kind in (0, 1))
     said = materialize(asked.repartition("slot").sortWithinPartitions("slot").mapInArrow(lambda x: _merge_sketch(x, shard), _ROW))
+    _delete(spark, f"{folder}/kind=1")
     release(spark)
     met = texts.unionByName(said).repartition("block").sortWithinPartitions("block", "slot")
     wanted = met.mapInArrow(lambda x: _ask_exact(x, width, bits, shards), _ROW).repartition("slot").sortWithinPartitions("slot")
@@ -305,6 +305,18 @@ def remove_repeated_windows(docs: DataFrame, width: int = 50, id_col: str = "doc
     met = texts.unionByName(said).repartition("block").sortWithinPartitions("block", "slot")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
     out = materialize(met.mapInArrow(lambda x: _cut(x, width, with_text), schema))
+    _delete(spark, folder)
+    return out
+
+
+def _stored(spark: SparkSession, folder: str, kind: int) -> DataFrame:
+    """The rows of one kind, as no other's files are looked for; none where none were written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/kind={kind}")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], _ROW)
+    return spark.read.schema(_ROW.partition(", ")[2]).parquet(str(path.toString())).select(F.lit(kind).cast("int").alias("kind"), *_NAMES[1:])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return out
