@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from rillmap.config import JSON_ROOTS
 from rillmap.sources.delimited import read_delimited
+from rillmap.sources.workbook import read_workbooks
 
 HEAD = 100_000
 ENCODINGS = ("utf-8-sig", "utf-8", "cp949", "euc-kr", "latin-1")
@@ -104,10 +105,10 @@ def read_json(spark: SparkSession, path: str, encoding: str = "utf-8") -> tuple[
 def load_table(spark: SparkSession, path: str, prefer_jsonl: bool = False) -> tuple[DataFrame, dict]:
     """(table, facts with `format`), by extension and content: Excel, Parquet, JSON Lines, JSON, delimited text."""
     kind = os.path.splitext(path.rstrip("/"))[1].lower()
-    if kind in (".xlsx", ".xls"):
-        import pandas as pd  # needs an Excel library beside it
-
-        return spark.createDataFrame(pd.read_excel(path)), {"format": "excel"}
+    if kind == ".xlsx":
+        return read_workbooks(spark, path), {"format": "excel"}
+    if kind == ".xls":
+        raise ValueError("the old binary workbooks are not read: save them as .xlsx")
     if kind in (".parquet", ".pq"):
         return spark.read.parquet(path), {"format": "parquet"}
     raw = file_head(spark, path)
