@@ -160,6 +160,10 @@ def flow_panel(spark, sf):
     return _panel(spark, sf)
 
 
+def flow_panel_recursive(spark, sf):
+    return flows.flow_panel_recursive(_edges(spark, sf))
+
+
 def flow_docs(spark, sf):
     return flows.flow_docs(_panel(spark, sf))
 
@@ -434,6 +438,7 @@ def oracle_sql() -> dict[str, str]:
         "transitions_strict": f"WITH {_EDGES} SELECT year_from, year_to, prev_id, next_id, round(similarity, 6) AS similarity, matched FROM moves",
         "flow_edges": f"WITH {_EDGES} SELECT year_from, year_to, prev_id, next_id, round(similarity, 6) AS similarity, docs_from, docs_to, round(yoy_docs, 6) AS yoy_docs FROM edges",
         "flow_panel": f"WITH RECURSIVE {_PANEL} SELECT flow_id, year, cluster_id, docs FROM panel",
+        "flow_panel_recursive": f"WITH RECURSIVE {_PANEL} SELECT flow_id, year, cluster_id, docs FROM panel",
         "flow_docs": f"WITH RECURSIVE {_FLOW_DOCS} SELECT * FROM flow_docs",
         "top_flows": f"WITH RECURSIVE {_FLOW_DOCS} SELECT * FROM tops",
         "flow_keywords": f"WITH RECURSIVE {_PANEL}, prof AS (WITH {_PROFILE} SELECT * FROM profile), x AS (SELECT flow_id, lower(term) AS term, sum(tfidf) AS score FROM prof JOIN (SELECT flow_id, year, cluster_id FROM panel) USING (year, cluster_id) GROUP BY ALL) SELECT flow_id, term, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY flow_id ORDER BY round(score, 9) DESC, term) AS INT) AS rank FROM x QUALIFY rank <= 60",
@@ -460,7 +465,7 @@ def oracle_sql() -> dict[str, str]:
 _OWN = (
     year_slice, year_from_date, year_filter_keep_unknown, year_filter_strict, clean_nonempty, keyword_any_substring, keyword_regex, preprocess, concat_text, clean_text, embed_text_choice,
     tokenize, ngrams, prompt, json_props_scan, json_lines_before, cluster_counts, doc_frequency_pruned, tfidf_doc_weights, cluster_top_terms, global_keywords, component_top_terms,
-    tfidf_diagnostics, transitions_strict, flow_edges, flow_panel, flow_docs, top_flows, flow_keywords, cluster_titles, centroid_norms, rep_titles_by_rank, nearest_centroid,
+    tfidf_diagnostics, transitions_strict, flow_edges, flow_panel, flow_panel_recursive, flow_docs, top_flows, flow_keywords, cluster_titles, centroid_norms, rep_titles_by_rank, nearest_centroid,
     centroid_similarity, component_stats, component_density, doc_component_map, graph_edges_compat, graph_edges_corrected, graph_pruned_edges, graph_nodes, names_offline,
     name_alias_fields, kmeans_labels, pca_projection, lsa_transitions, component_grouping, embedding_offline, vector_parse, progress_weights, eta_buckets, csv_payload,
 )

@@ -33,6 +33,36 @@ def flow_panel(edges: DataFrame) -> DataFrame:
     return nodes.select("flow_id", "n.year", "n.cluster_id", "docs")
 
 
+def flow_panel_recursive(edges: DataFrame) -> DataFrame:
+    """The same rows as flow_panel by a recursive query that follows every source year by year.
+
+    It has a step for each year that edges span, and a row for each source and cluster that it reaches, so flows that
+    merge are followed on side by side: fit for few flows, while flow_panel has a row for each cluster alone.
+    """
+    edges = cut(edges)
+    first, last = edges.agg(F.min("year_from"), F.max("year_to")).first()
+    walked = """
+        WITH RECURSIVE sources AS (
+          SELECT year_from AS year, prev_id AS cluster_id, row_number() OVER (ORDER BY year_from, prev_id) - 1 AS flow_id
+          FROM (SELECT DISTINCT year_from, prev_id FROM {edges}) f ANTI JOIN {edges} e ON e.year_to = f.year_from AND e.next_id = f.prev_id),
+        walk (year, cluster_id, flow_id) MAX RECURSION LEVEL {levels} AS (
+          SELECT year, cluster_id, flow_id FROM sources
+          UNION ALL
+          SELECT e.year_to, e.next_id, w.flow_id FROM walk w JOIN {edges} e ON e.year_from = w.year AND e.prev_id = w.cluster_id),
+        docs AS (
+          SELECT year, cluster_id, max(docs) AS docs
+          FROM (SELECT year_from AS year, prev_id AS cluster_id, docs_from AS docs FROM {edges} UNION ALL SELECT year_to, next_id, docs_to FROM {edges}) GROUP BY ALL)
+        SELECT min(flow_id) AS flow_id, year, cluster_id, any_value(docs) AS docs FROM walk JOIN docs USING (year, cluster_id) GROUP BY year, cluster_id
+    """
+    spark, limit = edges.sparkSession, "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, -1)  # rows are bounded by the sources and the years
+    try:
+        return cut(spark.sql(walked.replace("{levels}", str((last or 0) - (first or 0) + 2)), edges=edges).select(F.col("flow_id").cast("int").alias("flow_id"), "year", "cluster_id", "docs"))
+    finally:
+        spark.conf.set(limit, before)
+
+
 def flow_docs(panel: DataFrame) -> DataFrame:
     return panel.groupBy("flow_id").agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"))
 

@@ -100,6 +100,21 @@ def test_panel_merge(spark):
     assert got == {(2000, 1): (0, 3), (2000, 2): (1, 2), (2003, 5): (0, 4), (2004, 7): (0, 6), (2003, 6): (2, 1), (2004, 8): (2, 2)}
 
 
+def test_the_recursive_panel_is_the_same(spark):
+    """Chains, merges and gaps over more than a hundred years; no edges give no rows."""
+    import random
+
+    from rillmap.operators.flows import flow_panel, flow_panel_recursive
+
+    rng = random.Random(2)
+    edges = [(y, y + 1, 0, 0, 0.5, 1, 1) for y in range(1880, 2010)]  # one flow of 131 years
+    edges += [(y, y + 1, c, rng.randrange(1, 7), 0.5, c, c) for y in range(1990, 2005) for c in range(1, 7) if rng.random() < 0.8]
+    kind = "year_from int, year_to int, prev_id int, next_id int, similarity double, docs_from long, docs_to long"
+    for rows in (edges, edges[:3], []):
+        df = spark.createDataFrame(rows, kind)
+        assert sorted(map(tuple, flow_panel_recursive(df).collect())) == sorted(map(tuple, flow_panel(df).collect()))
+
+
 def test_preprocess_boundaries(spark):
     from rillmap.operators import prep
 
