@@ -319,8 +319,8 @@ def csv_payload(spark, sf):
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
 _TOKENS = f"list_filter(regexp_extract_all(lower({{0}}), '[가-힣A-Za-z0-9]+'), lambda x: length(x) >= 2 and x not in ({_STOP}))"
-_DATED = "dated AS (SELECT d.doc_id, split_part(d.text, chr(10), 1) AS title, d.text AS abstract, strftime(o.o_orderdate, '%Y-%m-%d') AS update_date FROM documents d JOIN orders o ON d.doc_id = o.o_orderkey)"
-_PAPERS = f"{_DATED}, papers AS (SELECT d.*, CAST(substr(update_date, 1, 4) AS INT) AS year, e.embedding, e.label AS cluster_id, e.label % 4 AS component_tech_id FROM dated d JOIN embeddings e ON d.doc_id = e.vec_id)"
+_DATED = "dated AS (SELECT d.doc_id, split_part(d.text, chr(10), 1) AS title, d.text AS abstract, strftime(o.o_orderdate, '%Y-%m-%d') AS update_date FROM documents d LEFT JOIN orders o ON d.doc_id = o.o_orderkey)"
+_PAPERS = f"{_DATED}, papers AS (SELECT d.*, CAST(substr(update_date, 1, 4) AS INT) AS year, e.embedding, e.label AS cluster_id, e.label % 4 AS component_tech_id FROM dated d JOIN embeddings e ON d.doc_id = e.vec_id WHERE d.update_date IS NOT NULL)"
 _SLICE = "CASE WHEN regexp_full_match(substr({0}, 1, 4), '[0-9]{{1,4}}') THEN CAST(substr({0}, 1, 4) AS INT) ELSE -1 END"
 _STEPS = ", ".join([f"('{n}', {w}::DOUBLE, 0.0::DOUBLE)" for n, w in ELEMENT_STEPS] + [f"('{n}', 0.0::DOUBLE, {w}::DOUBLE)" for n, w in COMPONENT_STEPS])
 _STEP_NAMES = ", ".join(f"'{n}'" for n, _ in ELEMENT_STEPS + COMPONENT_STEPS)

@@ -11,13 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, title (first line), abstract, update_date of every document."""
+    """doc_id, title (first line), abstract, update_date of every document, also of those without a date."""
     d, o = table(spark, sf_dir, "documents"), table(spark, sf_dir, "orders")
-    rows = d.join(o, d.doc_id == o.o_orderkey)
+    rows = d.join(o, d.doc_id == o.o_orderkey, "left")
     return rows.select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("abstract"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("update_date"))
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that have a vector, with year, embedding and cluster_id."""
+    """The documents that have a vector and a date, with year, embedding and cluster_id."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.col("label").alias("cluster_id"))
-    return dated(spark, sf_dir).withColumn("year", F.substring("update_date", 1, 4).cast("int")).join(e, "doc_id")
+    return dated(spark, sf_dir).where("update_date is not null").withColumn("year", F.substring("update_date", 1, 4).cast("int")).join(e, "doc_id")
