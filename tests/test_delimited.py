@@ -24,9 +24,7 @@ def check(spark, path, text, sep=",", encoding="utf-8"):
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(rows, key=key) == sorted(want, key=key)
     assert facts["sep"] == sep and facts["malformed"].get["malformed"] == bad
-    for c in df.columns:
-        assert df.select(c).count() == len(want) == len(df.select(f"`{c}`").collect())
-    assert df.count() == len(want)
+    assert df.count() == len(want) == len(df.select(f"`{df.columns[0]}`").collect())
     return df
 
 
@@ -35,17 +33,17 @@ def quoted(rng):
     return rng.choice(kinds)
 
 
-@pytest.mark.parametrize("size", [64, 200, 1000, 1 << 20])
+@pytest.mark.parametrize("size", [64, 700])
 def test_any_split_gives_the_rows_of_the_whole(spark, tmp_path, size):
     rng = random.Random(size)
-    lines = ["id,title,more"] + [",".join([str(i), *(quoted(rng) for _ in range(rng.choice([0, 1, 2, 2, 2, 2, 3, 5])))]) for i in range(300)]
+    lines = ["id,title,more"] + [",".join([str(i), *(quoted(rng) for _ in range(rng.choice([0, 1, 2, 2, 2, 2, 3, 5])))]) for i in range(110)]
     text = "\n".join(lines) + "\n"
     (tmp_path / "a.csv").write_bytes(text.encode())
     before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
         spark.conf.set("spark.sql.files.openCostInBytes", 1)
-        assert spark.read.text(str(tmp_path / "a.csv")).rdd.getNumPartitions() > 1 or size > 1000
+        assert spark.read.text(str(tmp_path / "a.csv")).rdd.getNumPartitions() > 3
         check(spark, tmp_path / "a.csv", text)
     finally:
         for k, v in before.items():

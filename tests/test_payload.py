@@ -62,8 +62,6 @@ def test_a_run_over_delimited_text(spark, tmp_path, monkeypatch):
     assert {"embedding", "clustering", "component_grouping"} <= told
     overall = [e["overall_progress"] for e in events if "overall_progress" in e]
     assert overall == sorted(overall)
-    again, more = run(spark, tmp_path / "p.csv", checkpoint=str(tmp_path / "vectors"))
-    assert again.embedded.count() == 60
 
 
 def test_a_client_without_json_mode_is_asked_without():
