@@ -18,7 +18,7 @@ from rillmap.operators.lineage import cut
 #: Documents and terms of a block; a dense block of documents is ROWS x (components + EXTRA) numbers.
 ROWS, COLUMNS = 4096, 2048
 #: Directions beyond the wanted ones, and rounds over the matrix that sharpen them.
-EXTRA, POWERS = 16, 4
+EXTRA, POWERS = 16, 2
 #: Directions weaker than this share of the strongest count as none.
 LEAST = 1e-13
 
@@ -112,9 +112,9 @@ def _turned(dense: DataFrame, by: dict[int, np.ndarray]) -> DataFrame:
     return dense.mapInArrow(turn, _DENSE)
 
 
-def _orthogonal(dense: DataFrame) -> DataFrame:
-    """Blocks with orthonormal columns that span the same space, by the small Gram matrices, twice for the sake of accuracy."""
-    for _ in range(2):
+def _orthogonal(dense: DataFrame, times: int = 1) -> DataFrame:
+    """Blocks with orthonormal columns that span the same space, by the small Gram matrices; a second time for accuracy."""
+    for _ in range(times):
         by = {}
         for p, g in _gram(dense).items():
             values, vectors = np.linalg.eigh(g)
@@ -132,7 +132,7 @@ def latent_rows(w: DataFrame, sizes: dict[int, int], most: int = 256, seed: int
     less than the documents or terms, and 2 at least; rows are as projected, not scaled to length one.
 
     The matrix lies in sparse blocks, dealt once. Seeded random directions, k + EXTRA of them, go through it and its
-    transpose in POWERS rounds; each product is summed by block, so no task holds more than a block of documents or of terms.
+    transpose in POWERS rounds (none where all scopes are covered); each product is summed by block, so no task holds more than a block of documents or of terms.
     Between them the driver only turns small squares (k + EXTRA wide, one for each scope). Where k + EXTRA covers the
     rank the space is exact, else its weaker directions are approximate.
     """
@@ -151,10 +151,11 @@ def latent_rows(w: DataFrame, sizes: dict[int, int], most: int = 256, seed: int
                 yield _record(s["p"], s["j"], rng.standard_normal((s["j_rows"], wide[s["p"]])))
 
     start = terms.select("p", "j", "j_rows").distinct().mapInArrow(begin, _DENSE)
-    q = _orthogonal(_times(cells, start, "j"))
-    for _ in range(POWERS):
-        q = _orthogonal(_times(cells, _orthogonal(_times(cells, q, "i")), "j"))
-    q = cut(q)
+    y = _times(cells, start, "j")
+    covered = all(wide[p] == min(s.n, s.m) for p, s in shapes.items())  # then the first product spans all there is
+    for _ in range(0 if covered else POWERS):
+        y = _times(cells, _orthogonal(_times(cells, _orthogonal(y), "i")), "j")
+    q = cut(_orthogonal(y, 2))
     turns = {}
     for p, g in _gram(_times(cells, q, "i")).items():
         values, vectors = np.linalg.eigh(g)
