@@ -21,7 +21,7 @@ def folders(spark, tmp_path_factory):
     labels = [(k, int(k < 28), int(k % 9 == 0)) for k in range(40)] + [(None, 1, 1), (3, None, None), (5, 1, 0), (5, 0, 1)]
     vectors = [(k, [float(k % 5), 1.0, float(-k)], k) for k in range(45)] + [(50, None, None), (51, [], 1), (52, [0.0] * 3, 1), (53, [None, 1.0, 2.0], 1), (54, [float("inf"), 1.0, 2.0], 1), (None, [1.0, 2.0, 3.0], 1), (1, [1.0, 1.0, -1.0], 1)]
     top = tmp_path_factory.mktemp("awkward")
-    for name, rows, schema in (("documents", docs, DOCS), ("labels", labels, LABELS), ("embeddings", vectors, VECTORS)):
+    for name, rows, schema in (("documents", docs, DOCS), ("labels", labels, LABELS), ("embeddings", vectors, VECTORS), ("benchmark", [(1, good), (None, None), (2, "")], "item_id long, text string")):
         plain = spark.createDataFrame(rows, schema).coalesce(2)
         plain.write.parquet(f"{top}/plain/{name}.parquet")
         extra = plain.select("*", *(F.lit(7).alias(c) for c in CLASHES if c not in plain.columns))
