@@ -15,8 +15,12 @@ from .common import components, local_components, materialize, release
 CELL, MOST_PIVOTS, SAMPLE = 16384, 4096, 16384
 #: Vectors of the sample on which copies are counted.
 MEASURED = 2048
-#: A cell with more members is joined in pairs of blocks of this size.
-BLOCK = 32768
+#: A cell with more members is joined in pairs of blocks; all vectors make PARTS blocks, of these sizes at least and at most.
+LEAST_BLOCK, BLOCK, PARTS = 4096, 65536, 4
+#: Rows and columns of a tile of products, and pairs that are judged at once.
+ROWS, COLUMNS, JUDGED = 512, 1024, 16384
+#: Share of a sample's pairs, of those whose cosine is less by UNLIKE, that the leading directions may leave to be judged.
+UNTOLD, UNLIKE = 2e-5, 0.1
 
 
 def usable(vector: str) -> Column:
@@ -24,9 +28,14 @@ def usable(vector: str) -> Column:
     return F.expr(f"coalesce(size({vector}) > 0 and forall({vector}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({vector}, x -> x <> 0), false)")
 
 
+def rows_of(column: pa.Array) -> np.ndarray:
+    """Rows of a list column of one width, as they are."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column of one width, in double precision."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return rows_of(column).astype(np.float64)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -68,31 +77,58 @@ def cells(x: np.ndarray, pivots: np.ndarray, angle: float, apart: np.ndarray | N
     return np.concatenate([rows, r]), np.concatenate([home, c]), np.concatenate([far[rows, home], far[r, c]])
 
 
-def join_cell(x: np.ndarray, at_home: np.ndarray, far: np.ndarray, block: np.ndarray | None, cosine: float):
+def leading(sample: np.ndarray, cosine: float) -> np.ndarray:
+    """Orthonormal directions (columns) that hold most of the sample, so many that their bound tells unlike pairs apart."""
+    axes = np.linalg.eigh(sample.T @ sample)[1][:, ::-1]
+    some = sample[:MEASURED]
+    unlike = np.triu(some @ some.T < cosine - UNLIKE, 1)
+    n = 8
+    while n < len(axes):
+        z = led(some, axes[:, :n])
+        if ((z @ z.T >= cosine) & unlike).sum() <= UNTOLD * unlike.sum():
+            break
+        n += max(1, n // 4)
+    return axes[:, :n]
+
+
+def led(x: np.ndarray, axes: np.ndarray | None) -> np.ndarray:
+    """Rows along the axes and the length of what is left: their products are at least the cosines (Cauchy and Schwarz)."""
+    if axes is None or axes.shape[0] == axes.shape[1]:
+        return x.astype(np.float32)
+    y = x @ axes
+    return np.concatenate([y, np.sqrt(np.maximum(1 - (y * y).sum(1, keepdims=True), 0))], axis=1).astype(np.float32)
+
+
+def join_cell(raw: np.ndarray, at_home: np.ndarray, far: np.ndarray, block: np.ndarray | None, cosine: float, axes: np.ndarray | None = None):
     """Index pairs (i, j) of a cell's members at `cosine` or more, at least one at home, each pair once.
 
     Members are ordered by their distance to the pivot; a tile is compared with those alone whose distances differ
-    by the radius at most. Single precision finds candidates, double precision decides. With `block` (0 or 1) only
-    pairs between the two blocks count.
+    by the radius at most. Single precision along the axes finds candidates, double precision over whole vectors
+    decides, JUDGED at a time. With `block` (0 or 1) only the pairs between the two blocks are compared.
     """
     order = np.argsort(far, kind="stable")
-    x, far, at_home = x[order], far[order], at_home[order]
-    side = None if block is None else block[order]
-    small = x.astype(np.float32)
+    left, right = (order, order) if block is None else (order[block[order] == 0], order[block[order] == 1])
+    small = np.concatenate([led(unit(raw[k : k + JUDGED].astype(np.float64)), axes) for k in range(0, len(raw), JUDGED)])
+    rows, columns, reach = small[left], np.ascontiguousarray(small[right].T), far[right]
     radius = math.acos(min(1.0, cosine)) + 1e-9
-    for lo in range(0, len(x), 1024):
-        hi = min(len(x), lo + 1024)
-        stop = int(np.searchsorted(far, far[hi - 1] + radius, "right"))
-        for a in range(lo, stop, 8192):
-            b = min(stop, a + 8192)
-            i, j = np.nonzero(small[lo:hi] @ small[a:b].T >= cosine - 1e-4)
-            i, j = i + lo, j + a
-            keep = (i < j) & (at_home[i] | at_home[j])
-            if side is not None:
-                keep &= side[i] != side[j]
+    for lo in range(0, len(left), ROWS):
+        hi = min(len(left), lo + ROWS)
+        start = lo if block is None else int(np.searchsorted(reach, far[left[lo]] - radius, "left"))
+        stop = int(np.searchsorted(reach, far[left[hi - 1]] + radius, "right"))
+        for a in range(start, stop, COLUMNS):
+            near = rows[lo:hi] @ columns[:, a : min(stop, a + COLUMNS)]
+            some = np.flatnonzero(near.max(1) >= cosine - 1e-4)  # most tiles have none
+            i, j = np.nonzero(near[some] >= cosine - 1e-4)
+            i, j = some[i] + lo, j + a
+            if block is None:
+                i, j = i[i < j], j[i < j]
+            i, j = left[i], right[j]
+            keep = at_home[i] | at_home[j]
             i, j = i[keep], j[keep]
-            keep = (x[i] * x[j]).sum(1) >= cosine
-            yield order[i[keep]], order[j[keep]]
+            for k in range(0, len(i), JUDGED):
+                p, q = i[k : k + JUDGED], j[k : k + JUDGED]
+                keep = (unit(raw[p].astype(np.float64)) * unit(raw[q].astype(np.float64))).sum(1) >= cosine
+                yield p[keep], q[keep]
 
 
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -101,8 +137,9 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str
     Equal vectors are one class, weighted by their number, before any comparison. Classes meet in pivot cells
     (`cells`); a cell's links are counted where found and summed, and go on as links to their local component's
     root alone, so neither pairs nor a group's square leave a task. A cell of many members is joined in block pairs.
-    On data without neighbourhoods in few dimensions the replicas approach all cells: where a sample has more copies than
-    there are blocks, all vectors lie around one pivot and are compared in block pairs, with the same links.
+    On data without neighbourhoods in few dimensions the replicas approach all cells: where by a sample cells deal out more
+    copies than blocks do, all vectors lie around one pivot and are compared in block pairs, with the same links. Pairs are
+    told apart by the directions that hold most of a sample; whole vectors are compared only where these do not.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so do vectors of
     different widths with each other. A class is known by a number of its own, so rows that repeat an id are vectors
@@ -122,12 +159,14 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str
     width = max(set(widths), key=lambda w: (widths.count(w), w)) if widths else 0
     many = max(1, min(MOST_PIVOTS, -(-total // CELL)))
     pivots = choose_pivots(unit(np.array([v for v in sample if len(v) == width], float)), many) if widths else np.zeros((1, 1))
+    block = max(min(LEAST_BLOCK, BLOCK), min(BLOCK, -(-total // PARTS)))
     if len(pivots) > 1:
         some = unit(np.array([v for v in sample if len(v) == width], float)[:MEASURED])
-        copies = len(cells(some, pivots, angle)[0]) / len(some)
-        if copies > -(-total // BLOCK):  # on these data cells deal more copies than block pairs do: all vectors around one pivot
+        held = np.bincount(cells(some, pivots, angle)[1]) * (total / len(some))
+        if (held * np.ceil(held / block)).sum() > total * -(-total // block):  # on these data cells deal more copies than block pairs do: all vectors around one pivot
             pivots = pivots[:1]
     shared = spark.sparkContext.broadcast(pivots)  # MOST_PIVOTS vectors at most
+    ahead = spark.sparkContext.broadcast(leading(unit(np.array([v for v in sample if len(v) == width], float)), cosine) if widths else None)
     kind = classes.schema["v"].dataType.simpleString()
 
     def assign(batches):
@@ -148,7 +187,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str
 
     members = classes.select("v", "rep", "n").mapInArrow(assign, f"v {kind}, rep long, n long, cell long, far double, home boolean")
     sizes = members.select("cell").groupBy("cell").count()  # a row for each pivot or width
-    split = {r.cell: -(-r["count"] // BLOCK) for r in sizes.where(F.col("count") > BLOCK).collect()}
+    split = {r.cell: -(-r["count"] // block) for r in sizes.where(F.col("count") > block).collect()}
     if split:
         blocks = F.coalesce(F.create_map(*[F.lit(x) for kv in split.items() for x in kv])[F.col("cell")], F.lit(1))
     else:
@@ -157,31 +196,33 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str
     dealt = members.select("v", "rep", "n", "cell", "far", "home", "own", F.explode(F.expr("transform(sequence(0L, nb - 1), o -> struct(least(o, own) as x, greatest(o, own) as y))")).alias("pair"))
 
     def compare(table: pa.Table) -> pa.Table:
-        x = unit(matrix(table.column("v").combine_chunks()))
+        x = rows_of(table.column("v").combine_chunks())
+        axes = ahead.value if ahead.value is not None and ahead.value.shape[0] == x.shape[1] else None
         rep, n, home, far, own = (table.column(c).to_numpy() for c in ("rep", "n", "home", "far", "own"))
         first, second = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         count = np.zeros(len(x), np.int64)
         a, b, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-        for i, j in join_cell(x, home, far, None if first == second else (own == second), cosine):
+        waiting = 0
+        for i, j in join_cell(x, home, far, None if first == second else (own == second), cosine, axes):
             np.add.at(count, i, n[j])
             np.add.at(count, j, n[i])
             held.append((i, j))
-            if sum(len(p) for p, _ in held) > 2_000_000:
-                a, b, held = *_forest(len(x), a, b, held), []
+            waiting += len(i)
+            if waiting > 2_000_000 or len(held) > 2000:
+                a, b, held, waiting = *_forest(len(x), a, b, held), [], 0
         a, b = _forest(len(x), a, b, held)
         some = np.flatnonzero(count)
         return pa.table({
             "a": np.concatenate([rep[some], rep[a]]),
             "b": pa.array(np.concatenate([np.zeros(len(some), np.int64), rep[b]]), mask=np.arange(len(some) + len(a)) < len(some)),
-            "v": pa.concat_arrays([table.column("v").combine_chunks().take(pa.array(some)), pa.nulls(len(a), table.schema.field("v").type)]),
             "n": np.concatenate([count[some], np.zeros(len(a), np.int64)]),
         })
 
-    found = materialize(dealt.select("v", "rep", "n", "cell", "far", "home", "own", "pair.x", "pair.y").groupBy("cell", "x", "y").applyInArrow(compare, f"a long, b long, v {kind}, n long"))
+    found = materialize(dealt.select("v", "rep", "n", "cell", "far", "home", "own", "pair.x", "pair.y").groupBy("cell", "x", "y").applyInArrow(compare, "a long, b long, n long"))
     release(spark)
-    counts = found.where("b is null").groupBy("v").agg(F.sum("n").alias("links"))
+    counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     roots = components(found.where("b is not null").select("a", "b"))
-    known = classes.join(counts, "v", "left").join(roots, classes.rep == roots.node, "left")
+    known = classes.join(counts, "rep", "left").join(roots, classes.rep == roots.node, "left")
     known = known.select("v", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
     named = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("v").alias("own_v"), "n_links", "component_id")
     ok, rest = rows.where("ok"), rows.where("not ok")

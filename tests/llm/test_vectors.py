@@ -53,3 +53,39 @@ def test_one_pivot_where_cells_copy_more(spark, monkeypatch):
     for block in (100, 10):
         monkeypatch.setattr(m, "BLOCK", block)
         assert sorted(tuple(r) for r in m.near_duplicate_vectors(df).collect()) == want
+
+
+def test_near_pairs_are_judged_in_small_steps():
+    """3000 near equal vectors make 4.5 million pairs, which are all found without being held as vectors at once."""
+    import tracemalloc
+
+    from rillmap.llm import embedding_dedup as m
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal(64) + 0.01 * rng.standard_normal((3000, 64))
+    home, far = np.ones(3000, bool), np.zeros(3000)
+    for block, want in ((None, 3000 * 2999 // 2), (np.arange(3000) < 1000, 1000 * 2000)):
+        tracemalloc.start()
+        found = sum(len(i) for i, _ in m.join_cell(x, home, far, block, 0.95))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == want and peak < 150e6, (found, peak)
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_leading_directions_lose_no_pair(blocks):
+    from rillmap.llm import embedding_dedup as m
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1500, 64))
+    x[1000:] = x[:500] + rng.uniform(0.02, 0.06, (500, 1)) * 8 * rng.standard_normal((500, 64))
+    x = x.astype(np.float32)
+    unit = m.unit(x.astype(float))
+    axes = m.leading(unit, 0.95)
+    assert axes.shape[0] == 64 and axes.shape[1] < 40
+    block = None if blocks == 1 else rng.random(1500) < 0.4
+    near = np.argwhere(np.triu(unit @ unit.T >= 0.95, 1))
+    want = {(i, j) for i, j in near.tolist() if block is None or block[i] != block[j]}
+    far = np.arccos(np.clip(unit @ unit[0], -1, 1))
+    got = [(min(p), max(p)) for i, j in m.join_cell(x, np.ones(1500, bool), far, block, 0.95, axes) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
