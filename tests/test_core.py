@@ -230,3 +230,14 @@ def test_diagnostic_rows(spark):
     rows = [(1, "a of the"), (1, None), (2, "graph data"), (2, ""), (3, None), (3, "  ")]
     got = diagnostics(spark.createDataFrame(rows, "year int, title string"), F.col("title")).orderBy("year").collect()
     assert [(r.year, r.cluster_id, r.term, r.tfidf, r.docs, r.reason, r.n) for r in got] == [(1, None, "", 0.0, 0, "empty_vocabulary", 2), (3, None, "", 0.0, 0, "no_text", 2)]
+
+
+def test_large_vocabularies_are_whole(spark):
+    """More terms than the 120,000 that the vocabulary once kept."""
+    from pyspark.sql import functions as F
+
+    from rillmap.operators.tfidf import document_frequency, term_counts
+
+    docs = spark.range(15).selectExpr("id as doc_id", "array_join(transform(sequence(0, 4999), x -> concat('w', id * 5000 + x)), ' ') as title")
+    tf = term_counts(docs, F.col("title"))
+    assert document_frequency(tf, docs).count() == 15 * (5000 + 4999)
