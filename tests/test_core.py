@@ -241,3 +241,16 @@ def test_large_vocabularies_are_whole(spark):
     docs = spark.range(15).selectExpr("id as doc_id", "array_join(transform(sequence(0, 4999), x -> concat('w', id * 5000 + x)), ' ') as title")
     tf = term_counts(docs, F.col("title"))
     assert document_frequency(tf, docs).count() == 15 * (5000 + 4999)
+
+
+def test_titles_are_cut_before_the_dates_join(spark, tmp_path):
+    """Whole texts stay out of the joins where only titles are wanted."""
+    from rillmap.plans.papers import papers
+
+    spark.sql("select 1L doc_id, 'a title\\nand a text' text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.sql("select 1L o_orderkey, date'1999-02-03' o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("select 1L vec_id, array(1f) embedding, 3 label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = papers(spark, str(tmp_path)).select("doc_id", "year", "cluster_id", "title")
+    assert [tuple(r) for r in rows.collect()] == [(1, 1999, 3, "a title")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring_index" in plan and plan.rindex("Join") < plan.index("substring_index")
