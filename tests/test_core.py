@@ -254,3 +254,19 @@ def test_titles_are_cut_before_the_dates_join(spark, tmp_path):
     assert [tuple(r) for r in rows.collect()] == [(1, 1999, 3, "a title")]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "substring_index" in plan and plan.rindex("Join") < plan.index("substring_index")
+
+
+@pytest.mark.parametrize("name", ["flow_keywords", "names_offline"])
+def test_flow_words_count_terms_once(spark, monkeypatch, name):
+    from unittest.mock import MagicMock
+
+    from rillmap import catalog
+
+    counts, profiled, moved = [], [], []
+    monkeypatch.setattr(catalog.tfidf, "counted", lambda *a, **k: counts.append(MagicMock()) or counts[-1])
+    monkeypatch.setattr(catalog.tfidf, "cluster_terms", lambda *a, known=None, **k: profiled.append(known))
+    monkeypatch.setattr(catalog.transitions, "transitions", lambda *a, known=None, **k: moved.append(known))
+    for module, f in ((catalog.transitions, "flow_edges"), (catalog.flows, "flow_panel"), (catalog.flows, "flow_keywords"), (catalog.flows, "top_flows"), (catalog.naming, "name_groups"), (catalog, "papers"), (catalog, "_round")):
+        monkeypatch.setattr(module, f, MagicMock())
+    getattr(catalog, name)(spark, "")
+    assert len(counts) == 1 and profiled == moved == counts
