@@ -71,6 +71,34 @@ def test_rows_span_the_matrix_whatever_the_blocks(spark, monkeypatch):
         assert np.allclose(m @ m.T, (p + 1) ** 2 * (x @ x.T), atol=1e-8)
 
 
+def test_nothing_is_dealt_for_each_term(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.zeros((60, 2040))
+    x[:, :40] = rng.random((60, 9)) @ rng.random((9, 40))
+    for d in range(4):  # terms of one document alone, so that the rank is 13
+        x[d, 40 + 500 * d : 540 + 500 * d] = rng.random(500) / 4
+    rows = [(0, f"d{i}", f"t{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)]
+    dealt, own = [], lsa.cut
+
+    def watched(df):
+        df = own(df)
+        if "x" in df.columns:
+            dealt.append(df.agg(F.sum(F.length("x"))).first()[0])
+        return df
+
+    monkeypatch.setattr(lsa, "cut", watched)
+    for name, size in (("ROWS", 16), ("COLUMNS", 7), ("SLICE", 4)):
+        monkeypatch.setattr(lsa, name, size, raising=False)
+    docs, blocks = latent_rows(spark.createDataFrame(rows, "p int, doc string, term string, w double"), {0: 60}, most=5)
+    found = {r.b: np.frombuffer(r.x).reshape(r.height, -1) for r in blocks.collect()}
+    z = {r.doc: found[r.i][r.r] for r in docs.collect()}
+    m = np.array([z[f"d{i}"] for i in range(60)])
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    best = u[:, :5] * s[:5]
+    assert np.allclose(m @ m.T, best @ best.T, atol=1e-8)
+    assert max(dealt) < 50_000  # 21 numbers for each of 60 documents and some small squares; with rows for 2040 terms they were 212160 bytes
+
+
 def test_centroids_of_rows(spark):
     rows = [(1, f"d{i}", f"t{j}", 1.0 if i % 3 == j else 0.5) for i in range(9) for j in range(3)]
     docs, blocks = latent_rows(spark.createDataFrame(rows, "p int, doc string, term string, w double"), {1: 9}, most=10)
