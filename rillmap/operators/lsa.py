@@ -14,13 +14,15 @@ from rillmap.operators.blocks import HELD
 from rillmap.operators.blocks import matrix as _matrix
 from rillmap.operators.blocks import record as _record
 from rillmap.operators.blocks import summed
-from rillmap.operators.lineage import cut
+from rillmap.operators.lineage import cut, release
 
 #: Documents of a block; a dense block of documents is ROWS x (components + EXTRA) numbers, small enough for a row of a table.
 ROWS = 128
 #: Terms and entries of a slab, and directions of a slice: a task multiplies one slab by one slice at a time, and holds
 #: COLUMNS x SLICE numbers and the slab's entries.
-COLUMNS, NONZEROS, SLICE = 1 << 18, 1 << 21, 34
+COLUMNS, NONZEROS, SLICE = 1 << 17, 1 << 21, 68
+#: Blocks that lie in one task, so that its products of columns are few beside them.
+GROUP = 16
 #: Entries that are multiplied at once.
 STEP = 1 << 12
 #: Directions beyond the wanted ones, and rounds over the matrix that sharpen them.
@@ -64,7 +66,7 @@ def _blocks(entries: DataFrame, wide: dict[int, int]) -> DataFrame:
     That has x, the block's product with random directions of all terms, and d: of each document the squared weights of
     the terms that are its alone (without a slab).
     """
-    dealt = entries.repartition("p", "i").sortWithinPartitions("p", "i", "j", "r")
+    dealt = entries.repartition("p", F.floor(F.col("i") / GROUP)).sortWithinPartitions("p", "i", "j", "r")
 
     def gather(batches):
         for p, i, rows in _runs(batches, ("p", "i")):
@@ -168,7 +170,7 @@ def _around(cells: DataFrame, blocks: DataFrame, by: dict[int, np.ndarray], slab
         yield from back()
 
     parts = dealt.mapInArrow(multiply, "p int, b int, v int, height int, x binary")
-    met = blocks.withColumn("v", F.lit(-1)).unionByName(parts, allowMissingColumns=True).repartition("p", "b").sortWithinPartitions("p", "b", "v")
+    met = blocks.withColumn("v", F.lit(-1)).unionByName(parts, allowMissingColumns=True).repartition("p", F.floor(F.col("b") / GROUP)).sortWithinPartitions("p", "b", "v")
 
     def gather(batches):
         own, q, y, d, squares = None, None, None, None, {}
@@ -277,12 +279,14 @@ def latent_rows(w: DataFrame, sizes: dict[int, int], most: int = 256, seed: int
     placed = entries.join(docs, ["p", "doc"]).join(terms, ["p", "term"], "left").select("p", "i", "i_rows", "r", *(F.coalesce(c, F.lit(d)).alias(c) for c, d in (("j", -1), ("j_rows", 0), ("c", -1))), "w", F.xxhash64("p", "term", F.lit(seed)).alias("h"))
     made = cut(_blocks(placed, wide))
     cells, y = made.where("j >= 0"), made.where("j < 0").select("p", F.col("i").alias("b"), "height", "x", "d")
+    release(w.sparkSession)
     by = {p: np.eye(k) for p, k in wide.items()}
     covered = all(wide[p] == min(s.n, s.m) for p, s in shapes.items())  # then the first product spans all there is
     for _ in range(0 if covered else POWERS):
         made = cut(_around(cells, y, _orthogonal(y, by), slabs))
         # q's products with this are those of the transpose times q with itself: turned by them, it is the matrix times a basis of that
         y, by = made.where("b >= 0"), _unit(_squares(made.where("b < 0")))
+        release(w.sparkSession)
     by = _orthogonal(y, by, 2)
     turns = {}
     for p, g in _squares(_around(cells, y, by, slabs).where("b < 0")).items():
